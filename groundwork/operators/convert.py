@@ -1,0 +1,17 @@
+"""Documents to passages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import paragraphs
+
+
+def paragraph_passages(docs: DataFrame, text: str = "text", delimiter: str = r"\n\s*\n") -> DataFrame:
+    """One row per paragraph with page = i div 4 + 1 and paragraph = i mod 4 + 1."""
+    p = docs.select("*", F.posexplode(paragraphs(text, delimiter)).alias("_i", "passage"))
+    return p.select(
+        *[c for c in docs.columns if c != text], F.col("_i").cast("long").alias("pos"),
+        (F.floor(F.col("_i") / 4) + 1).alias("page"), (F.col("_i") % 4 + 1).cast("long").alias("paragraph"), "passage",
+    )
