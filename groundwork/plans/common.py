@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread, table
+from ..session import table, wide_table
 
 # Sources whose documents only the ``restricted`` scope may read.
 RESTRICTED = ("src4", "src9", "src14", "src19")
@@ -16,7 +16,7 @@ SQL_TOK = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """documents with an ACL; each document is one passage (its text has no blank lines)."""
-    d = spread(table(spark, sf, "documents"))
+    d = wide_table(spark, sf, "documents")
     acl = F.when(F.col("source").isin(*RESTRICTED), F.array(F.lit("restricted"))).otherwise(F.array(F.lit("public")))
     return d.withColumn("document_id", F.col("doc_id")).withColumn("passage_id", F.col("doc_id")).withColumn("acl", acl)
 

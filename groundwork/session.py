@@ -31,14 +31,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Rebalance a scan that comes in fewer pieces than there are cores.
+_FEW_SPLITS: dict[str, bool] = {}
 
-    Heavy per-row text work would otherwise run in as many tasks as the file has row groups. A
-    corpus with enough splits, which is every corpus of size, is returned as it is.
+
+def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A text-heavy table, rebalanced when it comes in fewer splits than there are cores.
+
+    Per-row text work would otherwise run in as many tasks as the file has row groups. A corpus
+    with enough splits, which is every corpus of size, is read as it is.
     """
-    want = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(want) if scan.rdd.getNumPartitions() * 2 <= want else scan
+    scan = table(spark, sf_dir, name)
+    want = spark.sparkContext.defaultParallelism
+    path = f"{sf_dir}/{name}"
+    if path not in _FEW_SPLITS:
+        _FEW_SPLITS[path] = scan.rdd.getNumPartitions() * 2 <= want
+    return scan.repartition(want) if _FEW_SPLITS[path] else scan
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
