@@ -107,8 +107,8 @@ def signals(spark: SparkSession, sf: str) -> DataFrame:
         s = s.join(other, "document_id", "left")
     s = s.fillna(0, ["passages", "citation_uses", "duplicate_passages", "duplicated_by", "contradiction_flags", "gap_hits"]).fillna(0.0, ["readability"])
     s = s.withColumn("authoritative", F.coalesce("authoritative", F.lit(False))).withColumn("orphan_ratio", F.coalesce("orphan_ratio", F.lit(1.0)))
-    # two more places than reported: sums of four-place parts then have no ties for two engines to break
-    return Q.suggest(Q.quality_score(s, places=6))
+    # more places than reported: sums of four-place parts then have no ties for two engines to break
+    return Q.suggest(Q.quality_score(s, places=12))
 
 
 _VOC = "[" + ",".join(f"'{v}'" for v in VOCAB) + "]"
@@ -123,7 +123,7 @@ sg AS (SELECT d.doc_id AS document_id, d.source, (d.n_chars % 800)::DOUBLE AS ag
   coalesce(l.toxic, 0) AS contradiction_flags, coalesce(l.quality = 1 AND l.toxic = 0, FALSE) AS authoritative, coalesce(orp.orphan_ratio, 1e0) AS orphan_ratio, coalesce(gh.gap_hits, 0) AS gap_hits
  FROM documents d LEFT JOIN rr USING (doc_id) LEFT JOIN orp USING (doc_id) LEFT JOIN us USING (doc_id) LEFT JOIN dp USING (doc_id) LEFT JOIN labels l USING (doc_id) LEFT JOIN gh USING (doc_id)),
 sc AS (SELECT *, CASE WHEN passages > 0 THEN duplicate_passages / passages ELSE 0e0 END AS share, round(least(1e0, greatest(0e0, 25e-2 * least(1e0, citation_uses / 3e0) + 15e-2 * (1e0 - least(1e0, age_days / 365)) + 2e-1 * (1e0 - CASE WHEN passages > 0 THEN duplicate_passages / passages ELSE 1e0 END)
-  + 1e-1 * (contradiction_flags = 0)::INTEGER + 1e-1 * readability + 1e-1 * coverage + 1e-1 * (1e0 - orphan_ratio) + CASE WHEN authoritative THEN 1e-1 ELSE 0e0 END)), 6) AS score FROM sg),
+  + 1e-1 * (contradiction_flags = 0)::INTEGER + 1e-1 * readability + 1e-1 * coverage + 1e-1 * (1e0 - orphan_ratio) + CASE WHEN authoritative THEN 1e-1 ELSE 0e0 END)), 12) AS score FROM sg),
 sk AS (SELECT *, (passages > 0 AND share >= 5e-1) AS dupd, (age_days > 365 AND citation_uses = 0) AS stale FROM sc),
 qq AS (SELECT *, CASE WHEN (dupd OR stale) AND authoritative THEN 'review' WHEN dupd OR stale THEN 'delete' WHEN citation_uses = 0 OR readability < 35e-2 OR contradiction_flags > 0 THEN 'review' ELSE 'keep' END AS suggestion FROM sk)"""
 
@@ -160,11 +160,11 @@ def quality_rollup(spark: SparkSession, sf: str) -> DataFrame:
 @query("curation_score", "Q13", f"""
 WITH {_SIG}, d AS (SELECT *, round(1e0 - least(1e0, age_days / 365), 4) AS currency, CASE WHEN passages > 0 THEN round(duplicate_passages / passages, 4) ELSE 0e0 END AS duplicate_pct, round(1e0 - orphan_ratio, 4) AS connectedness,
  round(least(1e0, 6e-1 * least(1e0, passages / 8e0) + 4e-1 * coverage), 4) AS depth, CASE WHEN passages > 0 THEN 1e0 ELSE 0e0 END AS traceability FROM qq),
-o AS (SELECT *, round(least(1e0, greatest(0e0, 18e-2 * depth + 15e-2 * connectedness + 12e-2 * traceability + 15e-2 * readability + 15e-2 * currency + 15e-2 * (1e0 - duplicate_pct) + 1e-1 * CASE WHEN contradiction_flags > 0 THEN 0e0 ELSE 1e0 END)), 6) AS overall FROM d)
-SELECT document_id, depth, currency, connectedness, overall, CASE WHEN duplicate_pct >= 5e-1 OR overall < 35e-2 THEN 'Delete' ELSE 'Keep' END AS recommendation FROM o
+o AS (SELECT *, round(least(1e0, greatest(0e0, 18e-2 * depth + 15e-2 * connectedness + 12e-2 * traceability + 15e-2 * readability + 15e-2 * currency + 15e-2 * (1e0 - duplicate_pct) + 1e-1 * CASE WHEN contradiction_flags > 0 THEN 0e0 ELSE 1e0 END)), 12) AS overall FROM d)
+SELECT document_id, depth, currency, connectedness, round(overall, 7) AS overall, CASE WHEN duplicate_pct >= 5e-1 OR overall < 35e-2 THEN 'Delete' ELSE 'Keep' END AS recommendation FROM o
 """)
 def curation_score(spark: SparkSession, sf: str) -> DataFrame:
-    return C.curation_score(signals(spark, sf), places=6).select("document_id", "depth", "currency", "connectedness", "overall", "recommendation")
+    return C.curation_score(signals(spark, sf), places=12).select("document_id", "depth", "currency", "connectedness", F.round("overall", 7).alias("overall"), "recommendation")
 
 
 @query("health_snapshot", "Q10 G10 A21", f"""
