@@ -132,12 +132,15 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
 def contains_join(needles: DataFrame, needle: str, hay: DataFrame, text: str) -> DataFrame:
     """All (needle row, hay row) pairs with ``needle`` a substring of ``text``, without a cross join.
 
-    Exact for needles of at least three characters: a text can only hold a needle when it holds
-    the needle's first three characters, so both sides meet on that gram and the hit is verified.
+    A text can only hold a needle when it holds the needle's first characters (three of them, or all
+    of a shorter needle), so both sides meet on that gram and the hit is verified. Grams no needle
+    starts with never leave the text's task.
     """
-    n = needles.where(F.length(needle) >= 3).withColumn("_gram", F.substring(needle, 1, 3))
-    grams = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit("(?s)(?=(.{3}))"), F.lit(1)))
-    h = hay.withColumn("_gram", F.explode(grams))
+    n = needles.where(F.length(needle) > 0).withColumn("_gram", F.substring(needle, 1, 3))
+    starts = n.select("_gram").distinct()
+    slide = lambda k: F.regexp_extract_all(F.col(text), F.lit("(?s)(?=(.{%d}))" % k), F.lit(1))
+    grams = F.array_distinct(F.concat(slide(3), slide(2), slide(1)))
+    h = hay.withColumn("_gram", F.explode(grams)).join(starts, "_gram", "left_semi")
     return n.join(h, "_gram").where(F.col(text).contains(F.col(needle))).drop("_gram")
 
 

@@ -161,10 +161,10 @@ def quality_rollup(spark: SparkSession, sf: str) -> DataFrame:
 WITH {_SIG}, d AS (SELECT *, round(1e0 - least(1e0, age_days / 365), 4) AS currency, CASE WHEN passages > 0 THEN round(duplicate_passages / passages, 4) ELSE 0e0 END AS duplicate_pct, round(1e0 - orphan_ratio, 4) AS connectedness,
  round(least(1e0, 6e-1 * least(1e0, passages / 8e0) + 4e-1 * coverage), 4) AS depth, CASE WHEN passages > 0 THEN 1e0 ELSE 0e0 END AS traceability FROM qq),
 o AS (SELECT *, round(least(1e0, greatest(0e0, 18e-2 * depth + 15e-2 * connectedness + 12e-2 * traceability + 15e-2 * readability + 15e-2 * currency + 15e-2 * (1e0 - duplicate_pct) + 1e-1 * CASE WHEN contradiction_flags > 0 THEN 0e0 ELSE 1e0 END)), 12) AS overall FROM d)
-SELECT document_id, depth, currency, connectedness, round(overall, 7) AS overall, CASE WHEN duplicate_pct >= 5e-1 OR overall < 35e-2 THEN 'Delete' ELSE 'Keep' END AS recommendation FROM o
+SELECT document_id, depth, currency, connectedness, round(overall, 10) AS overall, CASE WHEN duplicate_pct >= 5e-1 OR overall < 35e-2 THEN 'Delete' ELSE 'Keep' END AS recommendation FROM o
 """)
 def curation_score(spark: SparkSession, sf: str) -> DataFrame:
-    return C.curation_score(signals(spark, sf), places=12).select("document_id", "depth", "currency", "connectedness", F.round("overall", 7).alias("overall"), "recommendation")
+    return C.curation_score(signals(spark, sf), places=12).select("document_id", "depth", "currency", "connectedness", F.round("overall", 10).alias("overall"), "recommendation")
 
 
 @query("health_snapshot", "Q10 G10 A21", f"""
