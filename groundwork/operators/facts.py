@@ -207,7 +207,7 @@ def capability_insights(caps: DataFrame, reuse: DataFrame, k: int = 5) -> DataFr
     top = top_k(caps, ["capability"], [F.desc("confidence"), F.col("repo")], k)
     g = top.groupBy("capability").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "repo"))), lambda x: x["repo"]).alias("repos"))
     r = reuse.groupBy("capability").agg(F.min("component").alias("candidate"))
-    return g.join(r, "capability", "left").select("capability", "repos", F.coalesce("candidate", F.col("repos")[0]).alias("candidate"))
+    return g.join(r, "capability", "left").select("capability", "repos", F.coalesce("candidate", F.col("repos")[0].cast("string")).alias("candidate"))
 
 
 def repository_overview(repos: DataFrame, capabilities: DataFrame, dependencies: DataFrame) -> DataFrame:
