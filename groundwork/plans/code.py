@@ -215,6 +215,12 @@ def code_questions(spark: SparkSession, sf: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("query_id"), F.concat(F.when(F.col("p_size") % 5 == 0, "where is lookup").when(F.col("p_size") % 5 == 1, "what does draw").otherwise("how does Run"), F.col("p_partkey").cast("string"), F.lit(" work in m"), F.col("p_partkey").cast("string")).alias("text"))
 
 
+def brand_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """One question per brand, naming the first look-up function of its files."""
+    p = table(spark, sf, "part").where("p_size % 5 = 0").groupBy("p_brand").agg(F.min("p_partkey").alias("k"), F.min_by("p_name", "p_partkey").alias("n"))
+    return p.select(F.col("k").alias("query_id"), F.concat(F.lit("where is lookup_"), F.col("k").cast("string"), F.lit(" for the price of "), "n").alias("text"))
+
+
 def _qtok(q: DataFrame) -> DataFrame:
     from ..functions.text import content_tokens
 
@@ -235,12 +241,12 @@ def identifier_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("code_answers", "R32 R31")
 def code_answers(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.code_answer(_qtok(code_questions(spark, sf)), code_assets(spark, sf), "code")
+    return retrieval.code_answer(_qtok(brand_questions(spark, sf)), code_assets(spark, sf), "code")
 
 
 @query("asset_search", "R33")
 def asset_search(spark: SparkSession, sf: str) -> DataFrame:
-    a, q = code_assets(spark, sf), code_questions(spark, sf)
+    a, q = code_assets(spark, sf), brand_questions(spark, sf)
     lex = retrieval.bm25_topk(q.withColumn("accessible", F.array(F.lit("public"))), a.select("passage_id", "text").withColumn("acl", F.array(F.lit("public"))), 40)
     return retrieval.asset_search(lex, _qtok(q), a, 6)
 
@@ -248,7 +254,7 @@ def asset_search(spark: SparkSession, sf: str) -> DataFrame:
 @query("symbol_search", "R38 A15")
 def symbol_search(spark: SparkSession, sf: str) -> DataFrame:
     a = code_assets(spark, sf).withColumnRenamed("passage_id", "symbol_id")
-    return names.find_symbols(code_questions(spark, sf), a)
+    return names.find_symbols(brand_questions(spark, sf), a)
 
 
 @query("symbol_examples", "A15", f"""
