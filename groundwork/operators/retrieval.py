@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import TOKEN, tokens
 from ..session import cut_lineage
 from .skew import top_k
 
@@ -75,26 +80,116 @@ def _part(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def bm25_topk(
-    questions: DataFrame, passages: DataFrame, k: int, rare_share: float = 0.1, prune: bool = True
-) -> DataFrame:
+BROADCAST_QUESTIONS = 4096  # question rows that may travel with the tasks
+BROADCAST_CELLS = 20_000_000  # largest (terms x questions) weight matrix that may travel
+
+
+def bm25_topk(questions: DataFrame, passages: DataFrame, k: int, rare_share: float = 0.1, way: str = "auto") -> DataFrame:
     """BM25 top ``k`` passages per question.
 
     ``questions``: (query_id, text, accessible array); ``passages``: (passage_id, text, acl array),
     live rows only. Access is applied before any statistic is taken, so document frequency and
     mean length are those of the passages the asker may see.
 
+    A bounded question set (both limits above are checked) is turned into a weight matrix that is
+    shipped to the scan: two passes over the passages, one for document frequencies and one for
+    scores, no shuffle of postings, and k rows per question and batch leave a task. Any larger set
+    takes the relational way, see ``_relational``. ``way`` forces one of matrix, pruned or plain.
+    """
+    qs = questions.withColumn("access", access_key(F.col("accessible")))
+    seen = visible_passages(passages, qs.select("access", "accessible").dropDuplicates(["access"]))
+    if way in ("auto", "matrix"):
+        held = qs.select("query_id", "access", "text").limit(BROADCAST_QUESTIONS + 1).toPandas()
+        terms = {t for x in held["text"] for t in _words(x)}
+        if way == "matrix" or (len(held) <= BROADCAST_QUESTIONS and len(terms) * max(1, len(held)) <= BROADCAST_CELLS):
+            return _ranked(_matrix_scores(held, sorted(terms), seen.select("access", "passage_id", "text"), k), k)
+    return _relational(qs, seen, k, rare_share, way != "plain")
+
+
+_WORD = re.compile(TOKEN)
+
+
+def _words(text: str) -> list[str]:
+    return _WORD.findall((text or "").lower())
+
+
+def _matrix_scores(held: pd.DataFrame, terms: list[str], seen: DataFrame, k: int) -> DataFrame:
+    """Scores of the best ``k`` passages per question and batch, by one matrix product per block of passages."""
+    ids = {t: i for i, t in enumerate(terms)}
+    sc = seen.sparkSession.sparkContext
+    vocab = sc.broadcast(ids)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for access, part in b.groupby("access"):
+                freq = np.zeros(len(vocab.value), dtype=np.int64)
+                total = 0
+                for text in part["text"]:
+                    w = _words(text)
+                    total += len(w)
+                    hit = {vocab.value[t] for t in set(w) if t in vocab.value}
+                    freq[list(hit)] += 1
+                nz = np.nonzero(freq)[0]
+                rows = [(access, int(i), int(freq[i])) for i in nz] + [(access, -1, len(part)), (access, -2, total)]
+                yield pd.DataFrame(rows, columns=["access", "term", "n"])
+
+    stats = seen.mapInPandas(count, "access string, term int, n long").groupBy("access", "term").agg(F.sum("n").alias("n")).toPandas()
+    plans = {}
+    for access, mine in held.groupby("access"):
+        got = dict(zip(stats.loc[stats["access"] == access, "term"], stats.loc[stats["access"] == access, "n"]))
+        n = got.get(-1, 0)
+        if not n:
+            continue
+        used = sorted({ids[t] for x in mine["text"] for t in _words(x)})
+        col = {t: i for i, t in enumerate(used)}
+        w = np.zeros((len(used), len(mine)))
+        for j, x in enumerate(mine["text"]):
+            for t in _words(x):
+                df = got.get(ids[t], 0)
+                w[col[ids[t]], j] += math.log(1 + (n - df + 0.5) / (df + 0.5))
+        plans[access] = (w, {terms[t]: c for t, c in col.items()}, mine["query_id"].to_numpy(), got.get(-2, 0) / n)
+    shipped = sc.broadcast(plans)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for access, part in b.groupby("access"):
+                if access not in shipped.value:
+                    continue
+                w, col, qids, avgdl = shipped.value[access]
+                step = max(16, 2_000_000 // max(1, w.shape[0]))
+                for lo in range(0, len(part), step):
+                    block = part.iloc[lo : lo + step]
+                    tf = np.zeros((len(block), w.shape[0]))
+                    dl = np.zeros(len(block))
+                    for r, text in enumerate(block["text"]):
+                        toks = _words(text)
+                        dl[r] = len(toks)
+                        tf[r] = np.bincount([col[t] for t in toks if t in col], minlength=w.shape[0])
+                    r, c = np.nonzero(tf)
+                    v = tf[r, c]
+                    tf[r, c] = v * (K1 + 1) / (v + K1 * (1 - B + B * dl[r] / avgdl))
+                    s = np.round(tf @ w, 6)
+                    pid = block["passage_id"].to_numpy()
+                    order = np.lexsort((np.broadcast_to(pid[:, None], s.shape), -s), axis=0)[:k]
+                    top = np.take_along_axis(s, order, axis=0)
+                    rows, cols = np.nonzero(top > 0)
+                    yield pd.DataFrame({"query_id": qids[cols], "passage_id": pid[order[rows, cols]], "score": top[rows, cols]})
+
+    return seen.mapInPandas(score, "query_id long, passage_id long, score double")
+
+
+def _relational(qs: DataFrame, seen: DataFrame, k: int, rare_share: float, prune: bool) -> DataFrame:
+    """The same list by joins, for question sets of any size.
+
     Common words would pair nearly every passage with every question. With ``prune`` the scoring
     runs in two steps and stays exact: terms occurring in at most ``rare_share`` of the passages
     give each question a lower bound of its k-th best score; a passage without any term outside
     the tail whose summed upper bounds stay under that bound cannot reach the list, so the tail
     terms are looked up for the remaining candidates only, by passage and not by term.
     """
-    qs = questions.withColumn("access", access_key(F.col("accessible")))
-    classes = qs.select("access", "accessible").dropDuplicates(["access"])
     occ = qs.select("query_id", "access", F.explode(tokens("text")).alias("term"))
     qterms = occ.groupBy("query_id", "access", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    idx = build_index(visible_passages(passages, classes), occ.select("term").distinct())
+    idx = build_index(seen, occ.select("term").distinct())
     if prune:  # the postings are read several times: write them once instead of tokenising again
         idx = stored_index(idx)
     weights = qterms.join(idx.terms, ["access", "term"]).join(idx.stats, "access")

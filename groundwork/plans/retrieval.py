@@ -10,7 +10,7 @@ from ..functions.udfs import hash_embed
 from ..operators import fusion, retrieval, vectors
 from ..operators.skew import top_k
 from ..registry import query
-from ..session import table
+from ..session import cut_lineage, table
 from .common import SQL_RESTRICTED, documents, embeddings, questions
 
 _BM25 = f"""
@@ -160,6 +160,7 @@ def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 def document_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     d = documents(spark, sf)
     v = d.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("document_id"), F.col("doc_id").alias("seq"), hash_embed("text").alias("vec"))
+    v = cut_lineage(v)  # the stored vectors: embedded once, read several times
     return vectors.near_duplicates(v.where(F.exists("vec", lambda x: x != 0)))
 
 
@@ -287,7 +288,7 @@ def hybrid(spark: SparkSession, sf: str, k: int = 5) -> DataFrame:
     q, d = questions(spark, sf), documents(spark, sf)
     lex = retrieval.bm25_topk(q, d, 20)
     qv = q.select(F.col("query_id").alias("id"), hash_embed("text").alias("vec"), retrieval.access_key(F.col("accessible")).alias("access"))
-    dv = d.select(F.col("passage_id").alias("id"), hash_embed("text").alias("vec"), "acl")
+    dv = cut_lineage(d.select(F.col("passage_id").alias("id"), hash_embed("text").alias("vec"), "acl"))
     sem = None
     for access in ("public", "public,restricted"):
         seen = dv.where(F.arrays_overlap("acl", F.split(F.lit(access), ",")))
