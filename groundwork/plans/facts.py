@@ -252,7 +252,9 @@ def repository_overview(spark: SparkSession, sf: str) -> DataFrame:
     return A.repository_overview(r, capability_rows(spark, sf), dependencies(spark, sf))
 
 
-@query("issue_project_rollup", "A2 S8")
+@query("issue_project_rollup", "A2 S8", """
+WITH i AS (SELECT 'P' || (o_custkey % 5) AS project, o_orderstatus AS status, o_orderpriority AS priority, CASE WHEN o_custkey % 3 = 0 THEN 'Bug' ELSE 'Task' END AS type, CASE WHEN o_orderstatus = 'P' THEN 'Unassigned' ELSE 'user' || o_custkey END AS assignee FROM orders)
+""" + " UNION ALL ".join(f"SELECT project, '{d}' AS dimension, {d} AS bucket, count(*)::BIGINT AS n FROM i GROUP BY ALL" for d in ("status", "priority", "type", "assignee")) + " UNION ALL SELECT project, 'total', '', count(*)::BIGINT FROM i GROUP BY project")
 def issue_project_rollup(spark: SparkSession, sf: str) -> DataFrame:
     """Counts straight from the nested issue JSON."""
     return A.project_counts(R.flatten_issues(raw_issues(spark, sf), "https://t.example"))

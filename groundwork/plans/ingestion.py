@@ -313,3 +313,30 @@ def dataset_versions(spark: SparkSession, sf: str) -> DataFrame:
     hist = table(spark, sf, "region").select(F.lit("t1").alias("tenant"), (F.col("r_regionkey") + 1).cast("long").alias("version"))
     p = st.select("tenant", F.lit(None).cast("string").alias("superseded_by"))
     return V.bump_dataset(hist, changed, st, p)
+
+
+@query("ingest_batch", "V4 V1 V2 C3 G1 G5", f"""
+WITH {_SQL_STORE}, lex AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS term FROM part),
+w AS (SELECT status, uri, list_filter(list_transform(string_split(text, e'\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS ps FROM df WHERE status <> 'noop'),
+u AS (SELECT status, uri, unnest(ps) AS t, generate_subscripts(ps, 1) AS i FROM w), m AS (SELECT status, count(*) AS n FROM u, lex WHERE length(term) >= 3 AND contains(lower(t), term) GROUP BY 1)
+SELECT w.status, count(*)::BIGINT AS records, sum(len(ps))::BIGINT AS passages, coalesce(any_value(m.n), 0)::BIGINT AS typed_mentions FROM w LEFT JOIN m USING (status) GROUP BY w.status
+""")
+def ingest_batch(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.ingest import ingest_batch as batch
+    from .graph import lexicon
+
+    st = store(spark, sf)
+    out = batch(incoming(spark, sf), st, passages_of(st, 1), lexicon(spark, sf), r"\n")
+    key = out["status"].select("document_id", "status")
+    p = out["new_passages"].groupBy("document_id").agg(F.count(F.lit(1)).alias("p"))
+    m = out["mentions"].where("confidence = 0.9").groupBy("document_id").agg(F.count(F.lit(1)).alias("m"))
+    j = key.where("status <> 'noop'").join(p, "document_id", "left").join(m, "document_id", "left")
+    return j.groupBy("status").agg(F.count(F.lit(1)).alias("records"), F.sum("p").alias("passages"), F.coalesce(F.sum("m"), F.lit(0)).alias("typed_mentions"))
+
+
+@query("drop_folder", "S1")
+def drop_folder(spark: SparkSession, sf: str) -> DataFrame:
+    """The folder of the tables itself, scanned as files; bodies are not read."""
+    from ..sources.files import drop_folder as scan
+
+    return scan(spark, sf, "t1").select("tenant", "source", "uri", "title", "mime")
