@@ -158,7 +158,7 @@ def licence_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("capability_evidence", "K6", f"""
-WITH {_SF}, e AS (SELECT repo, path, 'caching' AS capability, unnest([7, 21, 23]) AS line_no FROM sf WHERE form = 0 UNION ALL SELECT repo, path, 'caching', 13 FROM sf WHERE FALSE UNION ALL SELECT repo, path, 'auth', 22 FROM sf WHERE form = 0),
+WITH {_SF}, e AS (SELECT repo, path, 'caching' AS capability, unnest([7, 13, 21, 23]) AS line_no FROM sf WHERE form = 0 UNION ALL SELECT repo, path, 'auth', 22 FROM sf WHERE form = 0),
 n AS (SELECT *, row_number() OVER (PARTITION BY repo, capability, path ORDER BY line_no) AS n FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY repo, capability ORDER BY n > 1, path, line_no) AS rank FROM n WHERE n <= 8)
 SELECT repo, capability, path, line_no::INTEGER AS line_no, rank::INTEGER AS rank FROM r WHERE rank <= 8
 """)
