@@ -127,21 +127,10 @@ SELECT query_id, id AS passage_id, round(sum(1e0 / (60 + rn)), 12) AS fused FROM
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
     v = embeddings(spark, sf)
     a = vectors.cosine_topk(v, v, 20, different="document_id")
-    b = label_topk(v, 20)
+    b = vectors.cosine_topk(v, v, 20, different="document_id", same="label")  # a second list under another filter
     return fusion.rrf(*[x.withColumnRenamed("id", "passage_id") for x in (a, b)])
 
 
-def label_topk(v: DataFrame, k: int) -> DataFrame:
-    """Top-k among vectors of the query's own label: a second list under another filter."""
-    labels = [r[0] for r in v.select("label").distinct().limit(64).collect()]
-    out = None
-    for lab in labels:
-        mine = v.where(F.col("label") == lab)
-        part = vectors.cosine_topk(mine, mine, k, different="document_id")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 @query("near_duplicates", "J10 Q6", """
 WITH v AS (SELECT vec_id AS id, vec_id // 4 AS document_id, embedding::DOUBLE[] AS vec FROM embeddings),
 p AS (SELECT a.id, b.id AS other, a.document_id AS da, b.document_id AS db, list_dot_product(a.vec, b.vec) AS c FROM v a JOIN v b ON a.document_id <> b.document_id
