@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, idfiles, mixing, quality, sharding, tokens, urls
+from . import decontaminate, dedup, idfiles, mixing, quality, sharding, tokens, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,11 +38,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(_table(spark, sf_dir, "documents"))
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.components(_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op3_decontamination, op5_url_filters, op6_sharding, op7_packed_ids, op8_quality_rules, op10_mixing)
+    f.__name__: f for f in (op1_token_counts, op3_decontamination, op5_url_filters, op6_sharding, op7_packed_ids, op8_quality_rules, op9_minhash_dedup, op10_mixing)
 }
 SQL: dict[str, str] = {}
