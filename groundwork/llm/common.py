@@ -59,17 +59,20 @@ def root_bits(n: int) -> int:
     return max(0, math.ceil(math.log2(max(1, n)) / 2))
 
 
-def rank_within(df: DataFrame, keys: Sequence[str], n: int, order: Sequence[str], rank: str, total: str | None = None, per_key: DataFrame | None = None) -> DataFrame:
+def rank_within(df: DataFrame, keys: Sequence[str], n: int, order: Sequence[str], rank: str, total: str | None = None, per_key: DataFrame | None = None, counted: DataFrame | None = None) -> DataFrame:
     """1-based rank of every row inside ``keys`` by (``order[0]``, a draw, then the rest of ``order``).
 
     A window over the keys would put a hot key into one task. Here each key is cut by the high bits
     of the draw; buckets are counted with map-side combine, their counts summed up per key, and only
     bucket-sized groups are sorted. Rows equal in all of ``order`` are interchangeable. ``per_key``
     adds its columns to the rows by way of the bucket counts, so that a hot key meets no row in a join.
+    ``counted`` is a narrower copy of ``df`` to count the buckets in, where ``df`` carries texts.
     """
     keys = list(keys)
-    d = df.withColumn("_bucket", F.shiftright(F.col(order[0]), DRAW_BITS - root_bits(n)))
-    counts = d.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
+    bucket = F.shiftright(F.col(order[0]), DRAW_BITS - root_bits(n))
+    d = df.withColumn("_bucket", bucket)
+    narrow = d if counted is None else counted.withColumn("_bucket", bucket)
+    counts = narrow.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
     run = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.withColumn("_before", F.coalesce(F.sum("_c").over(run), F.lit(0)))
     if total:

@@ -113,24 +113,13 @@ def _fit_source(h: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"_s": h._s, "size": h["size"], "_whole": whole, "_extra": extra})
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.0, most: int = MOST_TIMES, seed: int = SEED, carry: Sequence[str] = ()) -> DataFrame:
-    """How often each document enters the mixture, and the words it brings.
-
-    Output: doc_id, size (words ``[^\\x20\\x09-\\x0D]+`` of the text, null 0), source_size, target
-    (words its source should bring), taken (words taken, repeats counted), then ``carry``.
-    A source takes all its documents floor(target / size) times; the remaining budget is fitted per
-    exact document length (``fit``), and the documents of a length are taken in seeded order.
-    A source lacking documents of fitting length ends at the nearest sum the table reaches.
-
-    Null source is a source of its own; empty texts have no words and bring none; equal rows are
-    interchangeable; an empty table gives no rows; a source without words has target 0.
-    Only the (source, length) counts of one source, never its documents, meet in one task.
-    """
-    rows = docs.select(
+def _mixed(docs: DataFrame, carry: Sequence[str], weights: Sequence[int], share: float, most: int, seed: int) -> DataFrame:
+    """doc_id, size, source_size, target and times of every row, and its ``carry`` columns as _0, _1, ..."""
+    own = [
         F.col("doc_id"), F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
-        key_of(F.col("source")).alias("_s"), draw(seed, F.col("doc_id")).alias("_u"), *[F.col(c).alias(f"_carry_{c}") for c in carry],
-    )
-    rows = stage(rows, "mix-rows")
+        key_of(F.col("source")).alias("_s"), draw(seed, F.col("doc_id")).alias("_u"),
+    ]
+    rows = stage(docs.select(*own), "mix-rows")
     n = rows.count()
     hist = stage(rows.groupBy("_s", "size").agg(F.count(F.lit(1)).alias("_n")), "mix-lengths")
     sizes = hist.groupBy("_s").agg(F.sum(F.col("size") * F.col("_n")).alias("source_size"))
@@ -138,6 +127,31 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.0, m
     plan = hist.join(goal, "_s").groupBy("_s").applyInPandas(_fit_source, "_s string, size long, _whole long, _extra long")
     plan = stage(plan.join(goal, "_s"), "mix-plan")
     # documents of one source and length, in seeded order
-    ranked = rank_within(rows, ["_s", "size"], n, ["_u", "doc_id"], "_rank", per_key=plan)
+    wide = docs.select(*own, *[F.col(c).alias(f"_{i}") for i, c in enumerate(carry)]) if carry else rows
+    ranked = rank_within(wide, ["_s", "size"], n, ["_u", "doc_id"], "_rank", per_key=plan, counted=rows)
     times = F.col("_whole") + F.when(F.col("_rank") <= F.col("_extra"), 1).otherwise(0)
-    return ranked.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.cast("int").alias("times"), *[F.col(f"_carry_{c}").alias(c) for c in carry])
+    return ranked.withColumn("times", times.cast("int"))
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.0, most: int = MOST_TIMES, seed: int = SEED) -> DataFrame:
+    """How often each document enters the mixture, and the words it brings.
+
+    Output: doc_id, size (words ``[^\\x20\\x09-\\x0D]+`` of the text, null 0), source_size, target
+    (words its source should bring), taken (words taken, repeats counted), times.
+    A source takes all its documents floor(target / size) times; the remaining budget is fitted per
+    exact document length (``fit``), and the documents of a length are taken in seeded order.
+    A source lacking documents of fitting length ends at the nearest sum the table reaches.
+
+    Null source is a source of its own; empty texts have no words and bring none; equal rows are
+    interchangeable; an empty table gives no rows; a source without words has target 0; other columns don't
+    matter. Only the (source, length) counts of one source, never its documents, meet in one task.
+    """
+    m = _mixed(docs, (), weights, share, most, seed)
+    return m.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
+
+
+def repeat(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.0, most: int = MOST_TIMES, seed: int = SEED) -> DataFrame:
+    """``docs`` with every row as often as ``mix`` takes it, in the columns of ``docs``."""
+    m = _mixed(docs, docs.columns, weights, share, most, seed).where("times > 0")
+    m = m.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return m.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
