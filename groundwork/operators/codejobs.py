@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import ast
+import json
 import re
+import tomllib
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -43,6 +46,12 @@ def _name(node: ast.AST) -> str:
     return ""
 
 
+def _module_row(path: str, text: str, docstring: str = "", imports: list[str] | None = None) -> tuple:
+    """A whole file: its symbol is the file's name, its last line the last one with text or a line end."""
+    mod = _module(path)
+    return ("module", path.rsplit("/", 1)[-1], mod, None, mod, 1, max(1, len(text.splitlines())), "", docstring, [], imports or [])
+
+
 def _python(path: str, text: str) -> list[tuple]:
     tree = ast.parse(text)
     mod = _module(path)
@@ -52,12 +61,16 @@ def _python(path: str, text: str) -> list[tuple]:
             imports += [a.name for a in n.names]
         elif isinstance(n, ast.ImportFrom):
             imports += [f"{'.' * n.level}{n.module or ''}.{a.name}" for a in n.names]
-    rows = [("module", mod.split(".")[-1], mod, None, mod, 1, text.count("\n") + 1, "", ast.get_docstring(tree) or "", [], sorted(set(imports)))]
+    rows = [_module_row(path, text, ast.get_docstring(tree) or "", sorted(set(imports)))]
 
     def visit(body: list, prefix: str, cls: str | None) -> None:
         for n in body:
-            if isinstance(n, ast.ClassDef):
-                rows.append(("class", n.name, f"{prefix}.{n.name}", cls, mod, n.lineno, n.end_lineno, f"class {n.name}", ast.get_docstring(n) or "", [], []))
+            if isinstance(n, ast.ClassDef) and cls is None:
+                # the class itself ends where its first method begins; classes inside classes are no symbols
+                first = next((m.lineno for m in n.body if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef))), None)
+                bases = ", ".join(ast.unparse(b) for b in n.bases)
+                end = n.end_lineno if first is None else max(n.lineno, first - 1)
+                rows.append(("class", n.name, f"{prefix}.{n.name}", cls, mod, n.lineno, end, f"{n.name}({bases})" if bases else n.name, ast.get_docstring(n) or "", [], []))
                 visit(n.body, f"{prefix}.{n.name}", n.name)
             elif isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 calls = sorted({c for k in ast.walk(n) if isinstance(k, ast.Call) and (c := _name(k.func))})
@@ -70,16 +83,16 @@ def _python(path: str, text: str) -> list[tuple]:
 
 def _by_starts(path: str, text: str, language: str) -> list[tuple]:
     """Symbols of a language without a parser: a definition runs to the line before the next one."""
-    mod, lines = _module(path), text.split("\n")
+    mod, lines = _module(path), text.splitlines()
     rx = re.compile(STARTS[language])
     hits = [(i, m.group(1).strip().lower(), m.group(2)) for i, ln in enumerate(lines, 1) if (m := rx.match(ln))]
     kind = {"class": "class", "interface": "class", "enum": "class", "type": "class", "func": "function", "function": "function", "": "key"}
-    rows = [("module", mod.split(".")[-1], mod, None, mod, 1, len(lines), "", "", [], [])]
+    rows = [_module_row(path, text)]
     for j, (i, word, name) in enumerate(hits):
         end = hits[j + 1][0] - 1 if j + 1 < len(hits) else len(lines)
         body = "\n".join(lines[i:end])
         calls = [] if language in ("sql", "yaml") else sorted(set(re.findall(r"\b([A-Za-z_]\w*(?:\.\w+)*)\s*\(", body)) - {"if", "for", "while", "switch", "return", "catch", "func", "function"})
-        rows.append((kind.get(word, "statement"), name, f"{mod}.{name}", None, mod, i, end, lines[i - 1].strip()[:200], "", calls, []))
+        rows.append((kind.get(word, "statement"), name, f"{mod}.{name}", None, mod, i, end, lines[i - 1].strip(), "", calls, []))
     return rows
 
 
@@ -93,7 +106,7 @@ def extract_symbols(files: DataFrame) -> DataFrame:
                 try:
                     rows = _python(path, text) if lang == "python" else _by_starts(path, text, lang)
                 except SyntaxError:
-                    rows = [("module", _module(path).split(".")[-1], _module(path), None, _module(path), 1, text.count("\n") + 1, "", "", [], [])]
+                    rows = [_module_row(path, text)]
                 out += [(repo, path, lang, *r) for r in rows]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SYMBOLS.split(", ")])
 
@@ -145,39 +158,97 @@ def enclosing(points: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 # ---- manifests ----------------------------------------------------------------------------
-# One entry pattern per line-based manifest: (file name pattern, ecosystem, entry pattern with name and version).
-MANIFESTS = [
-    (r"(^|/)requirements[^/]*\.txt$", "pypi", r"^\s*([A-Za-z0-9][\w.-]*)(?:\[[^\]]*\])?\s*(?:[=~<>!]=?\s*([\w.*]+))?"),
-    (r"(^|/)pyproject\.toml$", "pypi", r'^\s*"([A-Za-z0-9][\w.-]*)(?:\[[^\]]*\])?\s*(?:[=~<>!]=?\s*([\w.*]+))?[^"]*",?\s*$'),
-    (r"(^|/)go\.mod$", "go", r"^\s*(?:require\s+)?([\w.-]+\.[a-z]+/\S+)\s+v([\w.-]+)"),
-    (r"(^|/)Cargo\.toml$", "crates", r'^\s*([\w-]+)\s*=\s*(?:"|\{[^"]*version\s*=\s*")([\w.^~*-]+)"'),
-    (r"(^|/)Gemfile$", "rubygems", r"^\s*gem\s+['\"]([\w-]+)['\"](?:\s*,\s*['\"][~<>= ]*([\w.]+)['\"])?"),
-    (r"(^|/)build\.gradle(\.kts)?$", "maven", r"^\s*(?:implementation|api|compile|testImplementation)\s*\(?['\"]([\w.-]+:[\w.-]+):([\w.-]+)['\"]"),
-    (r"\.csproj$", "nuget", r'PackageReference\s+Include="([\w.]+)"\s+Version="([\w.*-]+)"'),
+# Structured manifests by file name: format, ecosystem, and the sections that list dependencies
+# (``list`` of requirement strings, ``groups`` of such lists, ``map`` of name to version or table).
+STRUCTURED = {
+    "pyproject.toml": ("toml", "pypi", [("project.dependencies", "list"), ("project.optional-dependencies", "groups"), ("tool.poetry.dependencies", "map")]),
+    "Pipfile": ("toml", "pypi", [("packages", "map"), ("dev-packages", "map")]),
+    "Cargo.toml": ("toml", "cargo", [("dependencies", "map"), ("dev-dependencies", "map"), ("build-dependencies", "map")]),
+    "package.json": ("json", "npm", [("dependencies", "map"), ("devDependencies", "map"), ("peerDependencies", "map")]),
+    "composer.json": ("json", "packagist", [("require", "map"), ("require-dev", "map")]),
+}
+# Manifests read by pattern: file name, ecosystem, pattern with name and version.
+PATTERNED = [
+    (r"requirements.*\.txt$", "pypi", r"(?m)^[ \t]*(?!(?:#|-|git\+|http))([A-Za-z0-9][\w.-]*)[ \t]*(?:\[[^\]\n]*\])?[ \t]*([^;#\n]*)"),
+    (r"go\.mod$", "go", r"(?m)^(?:require[ \t]+|[ \t]+)([^\s/()]+/\S+)[ \t]+([^\s/]\S*)"),
+    (r"Gemfile$", "rubygems", r"(?m)^\s*gem\s+['\"]([^'\"]+)['\"]\s*(?:,\s*['\"]([^'\"]+)['\"])?"),
+    (r"build\.gradle(?:\.kts)?$", "maven", r"(?:implementation|api|compile|testImplementation|runtimeOnly|compileOnly)\s*\(?\s*['\"]([^'\":]+:[^'\":]+)(?::([^'\":]+))?[^'\"]*['\"]"),
 ]
-JSON_MANIFESTS = [(r"(^|/)package\.json$", "npm", ("dependencies", "devDependencies")), (r"(^|/)composer\.json$", "packagist", ("require", "require-dev"))]
-POM = r"(?s)<dependency>.*?<groupId>([^<]+)</groupId>.*?<artifactId>([^<]+)</artifactId>(?:.*?<version>([^<]+)</version>)?.*?</dependency>"
+REQUIREMENT = re.compile(r"\s*([A-Za-z0-9][\w.-]*)\s*(?:\[[^\]]*\])?\s*\(?([^;#)]*)")
+
+
+def _section(data: dict, path: str) -> object:
+    for k in path.split("."):
+        data = data.get(k) if isinstance(data, dict) else None
+    return data or {}
+
+
+def _structured(text: str, kind: str, sections: list[tuple[str, str]]) -> Iterator[tuple[str, str]]:
+    try:
+        data = tomllib.loads(text) if kind == "toml" else json.loads(text)
+    except ValueError:  # a broken file has no dependencies
+        return
+    for path, shape in sections:
+        part = _section(data, path)
+        if shape == "map":
+            for name, v in part.items() if isinstance(part, dict) else ():
+                version = v.get("version", "") if isinstance(v, dict) else v
+                if not (name.lower() == "python" and path.startswith("tool.poetry")):
+                    yield name, "" if version == "*" else str(version)
+            continue
+        lists = part.values() if shape == "groups" and isinstance(part, dict) else [part]
+        for entry in (e for x in lists if isinstance(x, list) for e in x):
+            if m := REQUIREMENT.match(str(entry)):
+                yield m[1], m[2]
+
+
+def _markup(text: str, name: str) -> Iterator[tuple[str, str]]:
+    """Dependencies of pom.xml and package references of .csproj files."""
+    try:
+        root = ElementTree.fromstring(text)
+    except ElementTree.ParseError:
+        return
+    for el in root.iter():
+        tag = el.tag.rsplit("}", 1)[-1]
+        if name == "pom.xml" and tag == "dependency":
+            part = {c.tag.rsplit("}", 1)[-1]: (c.text or "").strip() for c in el}
+            if part.get("artifactId"):
+                yield ":".join(x for x in (part.get("groupId"), part["artifactId"]) if x), part.get("version", "")
+        elif name != "pom.xml" and tag == "PackageReference" and el.get("Include"):
+            yield el.get("Include"), el.get("Version", "")
+
+
+def parse_manifest(path: str, text: str) -> list[tuple[int, str, str, str]]:
+    """(position, ecosystem, name, version as written) of the dependencies a manifest names."""
+    name = path.rsplit("/", 1)[-1]
+    if name in STRUCTURED:
+        kind, eco, sections = STRUCTURED[name]
+        found: Iterator[tuple[str, str]] = _structured(text, kind, sections)
+    elif name == "pom.xml" or name.endswith(".csproj"):
+        eco, found = ("maven" if name == "pom.xml" else "nuget"), _markup(text, name)
+    else:
+        rule = next(((e, rx) for ending, e, rx in PATTERNED if re.match(ending, name)), None)
+        if rule is None:
+            return []
+        eco = rule[0]
+        if eco == "go":  # only what follows require, alone or in a block
+            text = "\n".join(re.sub(r"//.*", "", x) for x in text.splitlines())
+            text = "\n".join([*re.findall(r"(?m)^require[ \t]+[^(\s].*", text), *re.findall(r"(?ms)^require\s*\((.*?)^\)", text)])
+        found = re.findall(rule[1], text)
+    return [(i, eco, n.strip(), v.strip().removeprefix("@").strip()) for i, (n, v) in enumerate(found) if n.strip()]
 
 
 def manifest_dependencies(files: DataFrame) -> DataFrame:
-    """Dependencies of manifest files, first per (repo, ecosystem, name): (repo, path, ecosystem, name, version)."""
-    f = files.select("repo", "path", "text")
-    ln = f.select("repo", "path", F.posexplode(F.split("text", r"\r?\n")).alias("i", "line")).where(~F.col("line").rlike(r"^\s*(#|//|-)"))
-    out = None
-    for rx, eco, entry in MANIFESTS:
-        part = ln.where(F.col("path").rlike(rx) & F.col("line").rlike(entry)).select("repo", "path", "i", F.lit(eco).alias("ecosystem"), F.regexp_extract("line", entry, 1).alias("name"), F.regexp_extract("line", entry, 2).alias("version"))
-        out = part if out is None else out.unionByName(part)
-    for rx, eco, keys in JSON_MANIFESTS:
-        schema = ", ".join(f"`{k}` map<string,string>" for k in keys)
-        j = f.where(F.col("path").rlike(rx)).withColumn("_j", F.from_json("text", schema))
-        for k in keys:
-            e = j.select("repo", "path", F.posexplode(F.map_entries(F.col("_j")[k])).alias("i", "e"))
-            out = out.unionByName(e.select("repo", "path", "i", F.lit(eco).alias("ecosystem"), F.col("e.key").alias("name"), F.regexp_replace("e.value", r"^[\^~>=<\s]+", "").alias("version")))
-    pom = f.where(F.col("path").rlike(r"(^|/)pom\.xml$")).select("repo", "path", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?s)(<dependency>.*?</dependency>)"), F.lit(1))).alias("i", "d"))
-    tag = lambda t: F.regexp_extract("d", rf"<{t}>\s*([^<\s]+)\s*</{t}>", 1)
-    out = out.unionByName(pom.select("repo", "path", "i", F.lit("maven").alias("ecosystem"), F.concat_ws(":", tag("groupId"), tag("artifactId")).alias("name"), tag("version").alias("version")))
+    """Dependencies of manifest files, first per (repo, ecosystem, name): (repo, ecosystem, path, name, version).
+
+    Sections are read as the formats define them, so package metadata and classifiers are no
+    dependencies. Versions stay as written, with their operators.
+    """
+    parse = F.udf(parse_manifest, "array<struct<i:int,ecosystem:string,name:string,version:string>>", useArrow=True)
+    is_manifest = F.col("path").rlike(r"(^|/)(requirements[^/]*\.txt|pyproject\.toml|Pipfile|package\.json|composer\.json|go\.mod|pom\.xml|build\.gradle(\.kts)?|Gemfile|Cargo\.toml|[^/]*\.csproj)$")
+    out = files.where(is_manifest & F.col("text").isNotNull()).select("repo", "path", F.explode(parse("path", "text")).alias("d")).select("repo", "path", "d.*")
     first = F.min(F.struct("path", "i", "name", "version"))
-    g = out.where("name <> ''").groupBy("repo", "ecosystem", F.lower("name").alias("_k")).agg(first.alias("f"))
+    g = out.groupBy("repo", "ecosystem", F.lower("name").alias("_k")).agg(first.alias("f"))
     return g.select("repo", "ecosystem", "f.path", "f.name", "f.version")
 
 

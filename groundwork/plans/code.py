@@ -64,16 +64,15 @@ def symbols(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("code_symbols", "K1", f"""
 WITH {_SF}, m AS (SELECT repo, path, k, form, 'src.m' || k AS mod FROM sf)
-SELECT repo, path, 'module' AS kind, mod AS qualified, 1 AS start_line, (CASE form WHEN 0 THEN 25 WHEN 1 THEN 10 WHEN 2 THEN 6 WHEN 3 THEN 4 ELSE 3 END)::INTEGER AS end_line FROM m
-UNION ALL SELECT repo, path, 'class', mod || '.Item' || k, 9, 17 FROM m WHERE form = 0 UNION ALL SELECT repo, path, 'method', mod || '.Item' || k || '.price', 12, 14 FROM m WHERE form = 0 UNION ALL SELECT repo, path, 'method', mod || '.Item' || k || '.base', 16, 17 FROM m WHERE form = 0
+SELECT repo, path, 'module' AS kind, mod AS qualified, 1 AS start_line, (CASE form WHEN 0 THEN 23 WHEN 1 THEN 9 WHEN 2 THEN 5 WHEN 3 THEN 3 ELSE 2 END)::INTEGER AS end_line FROM m
+UNION ALL SELECT repo, path, 'class', mod || '.Item' || k, 9, 11 FROM m WHERE form = 0 UNION ALL SELECT repo, path, 'method', mod || '.Item' || k || '.price', 12, 14 FROM m WHERE form = 0 UNION ALL SELECT repo, path, 'method', mod || '.Item' || k || '.base', 16, 17 FROM m WHERE form = 0
 UNION ALL SELECT repo, path, 'function', mod || '.lookup_' || k, 20, 23 FROM m WHERE form = 0
-UNION ALL SELECT repo, path, 'function', mod || '.show' || k, 2, 4 FROM m WHERE form = 1 UNION ALL SELECT repo, path, 'class', mod || '.Card' || k, 5, 6 FROM m WHERE form = 1 UNION ALL SELECT repo, path, 'function', mod || '.draw' || k, 7, 10 FROM m WHERE form = 1
-UNION ALL SELECT repo, path, 'function', mod || '.Run' || k, 3, 6 FROM m WHERE form = 2 UNION ALL SELECT repo, path, 'statement', mod || '.t' || k, 2, 2 FROM m WHERE form = 3 UNION ALL SELECT repo, path, 'statement', mod || '.v' || k, 3, 4 FROM m WHERE form = 3
-UNION ALL SELECT repo, path, 'key', mod || '.name', 1, 1 FROM m WHERE form = 4 UNION ALL SELECT repo, path, 'key', mod || '.steps', 2, 3 FROM m WHERE form = 4
+UNION ALL SELECT repo, path, 'function', mod || '.show' || k, 2, 4 FROM m WHERE form = 1 UNION ALL SELECT repo, path, 'class', mod || '.Card' || k, 5, 6 FROM m WHERE form = 1 UNION ALL SELECT repo, path, 'function', mod || '.draw' || k, 7, 9 FROM m WHERE form = 1
+UNION ALL SELECT repo, path, 'function', mod || '.Run' || k, 3, 5 FROM m WHERE form = 2 UNION ALL SELECT repo, path, 'statement', mod || '.t' || k, 2, 2 FROM m WHERE form = 3 UNION ALL SELECT repo, path, 'statement', mod || '.v' || k, 3, 3 FROM m WHERE form = 3
+UNION ALL SELECT repo, path, 'key', mod || '.name', 1, 1 FROM m WHERE form = 4 UNION ALL SELECT repo, path, 'key', mod || '.steps', 2, 2 FROM m WHERE form = 4
 """)
 def code_symbols(spark: SparkSession, sf: str) -> DataFrame:
-    s = symbols(spark, sf)
-    return s.select("repo", "path", "kind", "qualified", "start_line", F.when((F.col("kind") == "module") & (F.col("language") == "python"), 25).otherwise(F.col("end_line")).alias("end_line"))
+    return symbols(spark, sf).select("repo", "path", "kind", "qualified", "start_line", "end_line")
 
 
 @query("symbol_passages", "C10", f"""
@@ -122,21 +121,46 @@ def call_degrees(spark: SparkSession, sf: str) -> DataFrame:
     return graph.call_degrees(s, e).select("repo", "qualified", "degree", "rank")
 
 
+_MANIFESTS = (
+    ("requirements.txt", "# pinned\n%w==1.%s\n-r other.txt\nrequests[socks]>=2 ; python_version > '3'\n"),
+    ("package.json", '{"name": "x", "version": "1", "dependencies": {"%w": "^2.%s"}, "devDependencies": {"jest": "~29"}, "peerDependencies": {"react": "18"}}'),
+    ("pom.xml", "<project xmlns='urn:m'><version>9</version><dependencies><dependency><groupId>org.acme</groupId><artifactId>%w</artifactId><version>3</version></dependency></dependencies></project>"),
+    ("pyproject.toml", '[project]\nname = "x"\nversion = "1"\nclassifiers = [\n  "Programming Language :: Python :: 3",\n]\ndependencies = ["%w[all]>=1.%s", "numpy"]\n[project.optional-dependencies]\ntest = ["pytest~=8"]\n[tool.poetry.dependencies]\npython = "^3.12"\nhttpx = {version = "0.27"}\n'),
+    ("Pipfile", '[packages]\n%w = "*"\nflask = "==3.%s"\n[dev-packages]\nblack = {version = "24"}\n'),
+    ("Cargo.toml", '[package]\nname = "x"\nversion = "0.1"\nedition = "2021"\n[dependencies]\n%w = "1.%s"\n[dev-dependencies]\nserde = {version = "1", features = ["derive"]}\n'),
+    ("go.mod", "module a/b\ngo 1.22\nrequire c.io/%w v1.%s // direct\nrequire (\n\tgithub.com/x/y v2\n)\nreplace q.io/z => ../z\n"),
+    ("build.gradle.kts", 'plugins { id("a") }\nimplementation("org.g:%w:4.%s")\ntestImplementation("junit:junit")\n'),
+    ("Gemfile", "source 'https://r'\ngem '%w', '~> 5.%s'\ngem \"rails\"\n"),
+    ("app.csproj", '<Project><ItemGroup><PackageReference Include="%w" Version="6.%s" /><PackageReference Include="Serilog" /></ItemGroup></Project>'),
+)
+# what each of them names, in order: ecosystem, position, name, version
+_NAMED = (
+    (0, "pypi", 0, "%w", "==1.%s"), (0, "pypi", 1, "requests", ">=2"), (1, "npm", 0, "%w", "^2.%s"), (1, "npm", 1, "jest", "~29"), (1, "npm", 2, "react", "18"),
+    (2, "maven", 0, "org.acme:%w", "3"), (3, "pypi", 0, "%w", ">=1.%s"), (3, "pypi", 1, "numpy", ""), (3, "pypi", 2, "pytest", "~=8"), (3, "pypi", 3, "httpx", "0.27"),
+    (4, "pypi", 0, "%w", ""), (4, "pypi", 1, "flask", "==3.%s"), (4, "pypi", 2, "black", "24"), (5, "cargo", 0, "%w", "1.%s"), (5, "cargo", 1, "serde", "1"),
+    (6, "go", 0, "c.io/%w", "v1.%s"), (6, "go", 1, "github.com/x/y", "v2"), (7, "maven", 0, "org.g:%w", "4.%s"), (7, "maven", 1, "junit:junit", ""),
+    (8, "rubygems", 0, "%w", "~> 5.%s"), (8, "rubygems", 1, "rails", ""), (9, "nuget", 0, "%w", "6.%s"), (9, "nuget", 1, "Serilog", ""),
+)
+
+
 def manifests(spark: SparkSession, sf: str) -> DataFrame:
+    """One manifest per part, its kind by size."""
     p = table(spark, sf, "part")
-    k, w = F.col("p_partkey").cast("string"), F.replace("p_name", F.lit(" "), F.lit("-"))
-    form = F.col("p_size") % 3
-    path = F.concat(F.lit("m"), k, F.when(form == 0, "/requirements.txt").when(form == 1, "/package.json").otherwise("/pom.xml"))
-    text = F.when(form == 0, F.concat(F.lit("# pinned\n"), w, F.lit("==1."), F.col("p_size").cast("string"), F.lit("\nrequests>=2\n"))).when(
-        form == 1, F.to_json(F.struct(F.create_map(w, F.concat(F.lit("^2."), F.col("p_size").cast("string"))).alias("dependencies"), F.create_map(F.lit("jest"), F.lit("~29")).alias("devDependencies")))).otherwise(
-        F.concat(F.lit("<project><dependencies><dependency><groupId>org.acme</groupId><artifactId>"), w, F.lit("</artifactId><version>3</version></dependency></dependencies></project>")))
+    form = F.col("p_size") % len(_MANIFESTS)
+    pick = lambda j: F.element_at(F.array(*[F.lit(m[j]) for m in _MANIFESTS]), (form + 1).cast("int"))
+    text = F.replace(F.replace(pick(1), F.lit("%w"), F.replace("p_name", F.lit(" "), F.lit("-"))), F.lit("%s"), F.col("p_size").cast("string"))
+    path = F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit("/"), pick(0))
     return p.select(F.concat(F.lit("acme/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("")))).alias("repo"), path.alias("path"), text.alias("text"))
 
 
-@query("manifest_dependencies", "K3", """
-WITH p AS (SELECT 'acme/' || lower(replace(p_brand, '#', '')) AS repo, p_partkey::VARCHAR AS k, replace(p_name, ' ', '-') AS w, p_size, p_size % 3 AS form FROM part),
-d AS (SELECT repo, 'pypi' AS ecosystem, 'm' || k || '/requirements.txt' AS path, 1 AS i, w AS name, '1.' || p_size AS version FROM p WHERE form = 0 UNION ALL SELECT repo, 'pypi', 'm' || k || '/requirements.txt', 2, 'requests', '2' FROM p WHERE form = 0
- UNION ALL SELECT repo, 'npm', 'm' || k || '/package.json', 0, w, '2.' || p_size FROM p WHERE form = 1 UNION ALL SELECT repo, 'npm', 'm' || k || '/package.json', 0, 'jest', '29' FROM p WHERE form = 1 UNION ALL SELECT repo, 'maven', 'm' || k || '/pom.xml', 0, 'org.acme:' || w, '3' FROM p WHERE form = 2)
+_K3 = " UNION ALL ".join(
+    f"SELECT repo, '{eco}' AS ecosystem, 'm' || k || '/{_MANIFESTS[f][0]}' AS path, {i} AS i, replace('{n}', '%w', w) AS name, replace('{v}', '%s', p_size::VARCHAR) AS version FROM p WHERE form = {f}"
+    for f, eco, i, n, v in _NAMED
+)
+
+
+@query("manifest_dependencies", "K3", f"""
+WITH p AS (SELECT 'acme/' || lower(replace(p_brand, '#', '')) AS repo, p_partkey::VARCHAR AS k, replace(p_name, ' ', '-') AS w, p_size, p_size % {len(_MANIFESTS)} AS form FROM part), d AS ({_K3})
 SELECT repo, ecosystem, path, name, version FROM d QUALIFY row_number() OVER (PARTITION BY repo, ecosystem, lower(name) ORDER BY path, i, name, version) = 1
 """)
 def manifest_dependencies(spark: SparkSession, sf: str) -> DataFrame:

@@ -98,11 +98,14 @@ def _orphans(spark: SparkSession, sf: str) -> DataFrame:
 
 def signals(spark: SparkSession, sf: str) -> DataFrame:
     d = documents(spark, sf)
-    read = lines(spark, sf).groupBy("document_id").agg(F.count(F.lit(1)).alias("passages"))
+    # a document is as readable as its passages are on average; four-place parts are summed as whole numbers
+    parts = lines(spark, sf).select("document_id", F.round(10000 * Q.readability(F.col("text"))).cast("long").alias("r"))
+    read = parts.groupBy("document_id").agg(F.count(F.lit(1)).alias("passages"), F.sum("r").alias("_r"))
+    read = read.select("document_id", "passages", (F.expr("(2 * _r + passages) div (2 * passages)") / 10000).alias("readability"))
     dup = vectors.near_duplicates(embeddings(spark, sf), 0.45).withColumn("document_id", F.expr("id div 4"))
     dup = dup.groupBy("document_id").agg(F.count_if(F.col("originals") > 0).alias("duplicate_passages"), F.count_if(F.col("copies") > 0).alias("duplicated_by"))
     lab = table(spark, sf, "labels").select(F.col("doc_id").alias("document_id"), F.col("toxic").cast("long").alias("contradiction_flags"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("authoritative"))
-    s = d.select("document_id", "source", (F.col("n_chars") % 800).cast("double").alias("age_days"), Q.coverage(d, VOCAB).alias("coverage"), Q.readability(F.col("text")).alias("readability"))
+    s = d.select("document_id", "source", (F.col("n_chars") % 800).cast("double").alias("age_days"), Q.coverage(d, VOCAB).alias("coverage"))
     for other in (read, usage(spark, sf).withColumnRenamed("uses", "citation_uses"), dup, lab, _orphans(spark, sf), _gap_hits(spark, sf)):
         s = s.join(other, "document_id", "left")
     s = s.fillna(0, ["passages", "citation_uses", "duplicate_passages", "duplicated_by", "contradiction_flags", "gap_hits"]).fillna(0.0, ["readability"])
@@ -112,9 +115,8 @@ def signals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _VOC = "[" + ",".join(f"'{v}'" for v in VOCAB) + "]"
-_READ_DOC = _READ.replace("SELECT doc_id, pos, text, regexp", "SELECT doc_id, 0 AS pos, text, regexp").replace("FROM ln)", "FROM documents)")
-_SIG = f"""{_ORPH}, {_READ_DOC}, {_CITE}, {_GAP},
-rr AS (SELECT doc_id, r AS readability FROM rs),
+_SIG = f"""{_ORPH}, {_READ}, {_CITE}, {_GAP},
+rr AS (SELECT doc_id, (2 * sum(round(10000 * r)::BIGINT) + count(*)) // (2 * count(*)) / 1e4 AS readability FROM rs GROUP BY 1),
 v AS (SELECT vec_id AS id, vec_id // 4 AS document_id, embedding::DOUBLE[] AS vec FROM embeddings),
 pp AS (SELECT a.id, a.document_id AS da, b.document_id AS db FROM v a JOIN v b ON a.document_id <> b.document_id WHERE list_dot_product(a.vec, b.vec) >= 45e-2),
 dp AS (SELECT da AS doc_id, count(DISTINCT id) FILTER (db < da) AS dups, count(DISTINCT id) FILTER (db > da) AS dby FROM pp GROUP BY 1),
