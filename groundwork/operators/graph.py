@@ -157,16 +157,17 @@ def relevance_edges(nodes: DataFrame, edges: DataFrame, docs: DataFrame, limit:
     return out.orderBy(F.desc("weight"), "a", "b").limit(limit)
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest reachable node id per node, by minimum labels with pointer jumping.
 
     Every round takes the least label among the neighbours (an aggregate with map-side combine, so
-    a hub is no hot spot) and then the label of that label, which halves path lengths.
+    a hub is no hot spot) and then the label of that label, which halves path lengths. Labels only ever
+    fall, so the rounds end, and they end when nothing moves.
     """
     adj = cut_lineage(adjacency(edges))
     lab = nodes.select("node").distinct().withColumn("comp", F.col("node"))
     lab = cut_lineage(lab)
-    for _ in range(max_rounds):
+    while True:
         near = adj.join(lab.select(F.col("node").alias("nb"), "comp"), "nb").groupBy("node").agg(F.min("comp").alias("m"))
         step = lab.join(near, "node", "left").select("node", "comp", F.least("comp", F.coalesce("m", "comp")).alias("n1"))
         jump = lab.select(F.col("node").alias("n1"), F.col("comp").alias("c2"))
@@ -175,8 +176,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
         moved = new.where("new <> comp").limit(1).count()
         lab = new.select("node", F.col("new").alias("comp"))
         if not moved:
-            break
-    return lab
+            return lab
 
 
 def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFrame:

@@ -8,16 +8,17 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Number forms, row cap of a table query, words a table query must not hold.
+# Number forms, words a table query must not hold; calls that leave the engine.
 INT = r"^[+-]?\d{1,18}$"
 NUMBER = r"^[+-]?(\d[\d,]*\.?\d*|\.\d+)([eE][+-]?\d+)?%?$"
-MAX_ROWS = 200
 FORBIDDEN = (
     "ATTACH DETACH PRAGMA INSERT UPDATE DELETE DROP ALTER CREATE REPLACE VACUUM REINDEX TRUNCATE MERGE GRANT SET ADD CACHE REFRESH LOAD"
 ).split()
+CALLS_OUT = ("REFLECT", "TRY_REFLECT", "JAVA_METHOD")
 
 
 def cells(rows: DataFrame, sheet: str, row: str, values: str) -> DataFrame:
@@ -122,16 +123,21 @@ class TableQueryError(ValueError):
     pass
 
 
+# One pass from the left, so that a quote in a comment or a comment mark in a string opens nothing.
+_LITERALS = re.compile(r"'[^']*'|\"[^\"]*\"|`[^`]*`|(?P<mark>--|/\*|['\"`])")
+
+
 def check_select(sql: str) -> str:
-    """The statement when it is one SELECT over ``t``; raises TableQueryError otherwise.
+    """The statement when it is one query; raises TableQueryError otherwise.
 
-    Spark parses and plans the statement. This only looks at its words, with comments and string
-    literals blanked, so that nothing but a read of ``t`` reaches the session.
+    Looks at the words outside of literals. Comments, backslashes and unclosed literals are refused,
+    so that this reading and Spark's cannot differ. Which tables are read is checked on the plan.
     """
     if not isinstance(sql, str) or not sql.strip():
         raise TableQueryError("empty SQL")
-    bare = re.sub(r"--[^\n]*|/\*.*?\*/", " ", sql, flags=re.S)
-    bare = re.sub(r"'(?:[^']|'')*'", "''", bare)
+    if "\\" in sql or any(m["mark"] for m in _LITERALS.finditer(sql)):
+        raise TableQueryError("comments, backslashes and open quotes are not allowed")
+    bare = _LITERALS.sub(" '' ", sql)
     if ";" in bare.rstrip().rstrip(";"):
         raise TableQueryError("multiple statements are not allowed")
     words = re.findall(r"[A-Za-z_]\w*", bare)
@@ -140,19 +146,51 @@ def check_select(sql: str) -> str:
     for w in words:
         if w.upper() in FORBIDDEN and not re.search(rf"\b{w}\s*\(", bare):
             raise TableQueryError(f"'{w}' is not allowed in a table query")
-    ctes = {m.lower() for m in re.findall(r"(?:\bWITH|,)\s+([A-Za-z_]\w*)\s+AS\s*\(", bare, re.I)}
-    for ref in re.findall(r"\b(?:FROM|JOIN)\s+([`\"]?[A-Za-z_][\w.]*[`\"]?)", bare, re.I):
-        if ref.strip("`\"").lower() not in {"t", *ctes}:
-            raise TableQueryError(f"only the table 't' may be queried (saw {ref!r})")
+        if w.upper() in CALLS_OUT:
+            raise TableQueryError(f"'{w}' is not allowed in a table query")
+    if re.search(r"(?is)\b(?:TRANSFORM|MAP|REDUCE)\b.*\bUSING\s+''", bare):
+        raise TableQueryError("scripts are not allowed in a table query")
     return sql.strip().rstrip(";")
 
 
-def table_query(df: DataFrame, sql: str, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Run a checked SELECT over ``df`` as table ``t``; at most ``max_rows`` rows come back."""
-    stmt = check_select(sql)
-    spark = df.sparkSession
-    df.createOrReplaceTempView("t")
+def _relations(plan) -> list:  # noqa: ANN001  a plan of the JVM
+    """Leaf relations of an analysed plan and of the subqueries in its expressions."""
+    out, todo = [], [plan]
+    while todo:
+        p = todo.pop()
+        kids, inner = p.children(), p.subqueries()
+        todo += [x.apply(i) for x in (kids, inner) for i in range(x.size())]
+        if kids.size() == 0:
+            out.append(p)
+    return out
+
+
+def _only_reads(out: DataFrame, df: DataFrame) -> DataFrame:
+    """``out`` if it reads nothing but what ``df`` reads (or no relation at all)."""
+    allowed = _relations(df._jdf.queryExecution().analyzed())
+    for leaf in _relations(out._jdf.queryExecution().analyzed()):
+        kind = leaf.nodeName()
+        if kind not in ("OneRowRelation", "CTERelationRef") and not any(leaf.sameResult(x) for x in allowed):
+            raise TableQueryError(f"only the table 't' may be queried (saw {kind})")
+    return out
+
+
+def table_query(df: DataFrame, sql: str) -> DataFrame:
+    """Run a checked SELECT over ``df`` as table ``t``. Only ``t`` and the statement's own names can be read.
+
+    ``t`` is a common table expression of the statement itself, so no view of the session is set or
+    replaced; any other relation in the analysed plan is refused before anything runs.
+    """
+    stmt = check_select(sql).replace("{", "{{").replace("}", "}}")
+    rest = re.sub(r"(?i)^WITH\b(?!\s*RECURSIVE\b)", "", stmt)
     try:
-        return spark.sql(stmt).limit(max_rows)  # resolved here; the view can go
-    finally:
-        spark.catalog.dropTempView("t")
+        out = df.sparkSession.sql(f"WITH t AS (SELECT * FROM {{rows}}){', ' if rest != stmt else ' '}{rest}", rows=df)
+    except AnalysisException as e:
+        raise TableQueryError(str(e)) from e
+    return _only_reads(out, df)
+
+
+def table_page(df: DataFrame, sql: str, max_rows: int) -> tuple[DataFrame, bool]:
+    """The first ``max_rows`` rows of a table query, and whether there were more."""
+    out = table_query(df, sql)
+    return out.limit(max_rows), out.limit(max_rows + 1).count() > max_rows

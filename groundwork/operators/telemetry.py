@@ -133,8 +133,8 @@ def flat_events(spans: DataFrame) -> DataFrame:
     )
 
 
-def trace_spans(spans: DataFrame, trace_id: str) -> DataFrame:
-    return spans.where(F.col("trace_id") == trace_id).orderBy("id")
+def trace_spans(spans: DataFrame, tenant: str, trace_id: str) -> DataFrame:
+    return spans.where((F.col("tenant") == tenant) & (F.col("trace_id") == trace_id)).orderBy("id")
 
 
 def waterfall(spans: DataFrame) -> DataFrame:
@@ -511,8 +511,15 @@ def open_items(queue: DataFrame, kind: str) -> DataFrame:
     return queue.where((F.col("kind") == kind) & (F.col("status") == "open")).orderBy(F.desc("created_at"), F.desc("id"))
 
 
-def read_spans(spans: DataFrame, tenant: str, since: float, limit: int = 5000) -> DataFrame:
-    return spans.where((F.col("tenant") == tenant) & (F.col("started_at") >= since)).orderBy("started_at", "id").limit(limit)
+def read_spans(spans: DataFrame, tenant: str, since: float, after_id: str | int | None = None, limit: int | None = None) -> DataFrame:
+    """A tenant's spans from a cursor on: started_at ``since``, and ids after ``after_id`` at that very time.
+
+    A page of ``limit`` rows ends with the next cursor, so spans that start together are never passed over.
+    """
+    at, start = F.col("started_at"), F.lit(since)
+    new = at >= start if after_id is None else (at > start) | ((at == start) & (F.col("id") > after_id))
+    out = spans.where((F.col("tenant") == tenant) & new)
+    return out if limit is None else out.orderBy("started_at", "id").limit(limit)
 
 
 def source_cards(counts: DataFrame, health: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ so that no list of a document's passages is ever gathered into one value.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,22 +25,27 @@ def stable_id(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("\u0000", *parts), 256), 1, 24)
 
 
-def ingest_diff(incoming: DataFrame, documents: DataFrame) -> DataFrame:
+def ingest_diff(incoming: DataFrame, documents: DataFrame, order: Sequence[str] = ("content_hash",)) -> DataFrame:
     """Status of each incoming record by (tenant, source, uri): noop, updated or ok (new), with its version.
 
-    ``incoming`` has content_hash. The document table is only joined on its key columns.
+    ``incoming`` has content_hash. The document table is only joined on its key columns. Several
+    records of one key are taken one after the other, by ``order``: each is compared with the one
+    before it, and each change has a version of its own.
     """
     keys = ["tenant", "source", "uri"]
     known = documents.where("status = 'active'").select(
         *keys, F.col("document_id").alias("_id"), F.col("content_hash").alias("_h"), F.col("current_version").alias("_v")
     )
     j = incoming.join(known, keys, "left")
-    status = F.when(F.col("_id").isNull(), "ok").when(F.col("_h") == F.col("content_hash"), "noop").otherwise("updated")
+    w = Window.partitionBy(*keys).orderBy(*order)
+    j = j.withColumn("_new", ~F.coalesce(F.lag("content_hash").over(w), F.col("_h")).eqNullSafe(F.col("content_hash")))
+    changes = F.sum(F.col("_new").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    j = j.withColumn("version", (F.coalesce("_v", F.lit(0)) + changes).cast(dict(j.dtypes)["_v"]))
+    status = F.when(~F.col("_new"), "noop").when(F.col("_id").isNull() & (F.col("version") == 1), "ok").otherwise("updated")
     return (
         j.withColumn("status", status)
-        .withColumn("version", F.when(F.col("status") == "noop", F.col("_v")).otherwise(F.coalesce("_v", F.lit(0)) + 1))
         .withColumn("document_id", F.coalesce("_id", stable_id(*[F.col(k) for k in keys])))
-        .drop("_id", "_h", "_v")
+        .drop("_id", "_h", "_v", "_new")
     )
 
 
@@ -58,8 +65,8 @@ def supersede(passages: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def tombstone(documents: DataFrame, passages: DataFrame, vectors: DataFrame, deleted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Deleted (source, uri): mark the documents, drop their passages and vectors."""
-    keys = ["source", "uri"]
+    """Deleted (tenant, source, uri): mark the documents, drop their passages and vectors. Other tenants' stay."""
+    keys = ["tenant", "source", "uri"]
     gone = documents.join(deleted.select(*keys).distinct().withColumn("_x", F.lit(True)), keys, "left")
     docs = gone.withColumn("status", F.when(F.col("_x"), "tombstoned").otherwise(F.col("status"))).drop("_x")
     dead = docs.where("status = 'tombstoned'").select("document_id")
@@ -71,7 +78,7 @@ def tombstone(documents: DataFrame, passages: DataFrame, vectors: DataFrame, del
 def bulk_tombstone(documents: DataFrame, passages: DataFrame, vectors: DataFrame, match: Column, subject: str, at: Column) -> dict[str, DataFrame]:
     """Tombstone every active document matching a predicate, with one audit row each."""
     hit = documents.where(match & (F.col("status") == "active"))
-    d, p, v = tombstone(documents, passages, vectors, hit.select("source", "uri"))
+    d, p, v = tombstone(documents, passages, vectors, hit.select("tenant", "source", "uri"))
     audit = hit.select(
         F.lit(subject).alias("subject"), F.lit("document.delete").alias("action"),
         F.concat(F.lit("document:"), F.col("document_id").cast("string")).alias("resource"), F.lit("allow").alias("decision"), at.alias("at"),
@@ -199,8 +206,10 @@ def bump_dataset(history_: DataFrame, changes: DataFrame, documents: DataFrame,
     )
 
 
-def list_dataset_versions(history_: DataFrame, limit: int = 50) -> DataFrame:
-    return history_.orderBy(F.desc("version")).limit(limit)
+def list_dataset_versions(history_: DataFrame, tenant: str, limit: int | None = None) -> DataFrame:
+    """A tenant's dataset versions, newest first; the first ``limit`` if one is asked for."""
+    out = history_.where(F.col("tenant") == tenant).orderBy(F.desc("version"))
+    return out if limit is None else out.limit(limit)
 
 
 def lineage(passages: DataFrame, documents: DataFrame) -> DataFrame:
@@ -271,21 +280,21 @@ def run_listing(runs: DataFrame, limit: int | None = None) -> DataFrame:
 def sync(records: DataFrame, cursor: DataFrame, allow: DataFrame) -> dict[str, DataFrame]:
     """Delta pull of change records against a cursor table.
 
-    ``records``: (source, scope, uri, updated, deleted, ...); ``cursor``: (source, cursor, items);
-    ``allow``: (source, scope). Only allowed scopes newer than the cursor pass; the last change of a
+    ``records``: (tenant, source, scope, uri, updated, deleted, ...); ``cursor``: (tenant, source, cursor,
+    items); ``allow``: (tenant, source, scope). Only allowed scopes newer than the cursor pass; the last change of a
     uri wins; deletions split off; the cursor advances to the newest change and counts items.
     """
-    r = records.join(allow, ["source", "scope"], "left_semi").join(cursor.select("source", "cursor"), "source", "left")
+    r = records.join(allow, ["tenant", "source", "scope"], "left_semi").join(cursor.select("tenant", "source", "cursor"), ["tenant", "source"], "left")
     r = r.where(F.col("cursor").isNull() | (F.col("updated") > F.col("cursor"))).drop("cursor")
-    last = latest(r, ["source", "uri"], ["updated", "change_id"])
+    last = latest(r, ["tenant", "source", "uri"], ["updated", "change_id"])
     pulled = last.where("not deleted")
-    dead = last.where("deleted").select("source", "uri", "updated")
-    moved = last.groupBy("source").agg(
+    dead = last.where("deleted").select("tenant", "source", "uri", "updated")
+    moved = last.groupBy("tenant", "source").agg(
         F.max("updated").alias("_c"), F.count_if(~F.col("deleted")).alias("pulled"), F.count_if("deleted").alias("tombstoned")
     )
-    j = cursor.join(moved, "source", "full")
+    j = cursor.join(moved, ["tenant", "source"], "full")
     new = j.select(
-        "source", F.greatest("cursor", "_c").alias("cursor"),
+        "tenant", "source", F.greatest("cursor", "_c").alias("cursor"),
         (F.coalesce("items", F.lit(0)) + F.coalesce("pulled", F.lit(0))).alias("items"),
         F.coalesce("pulled", F.lit(0)).alias("pulled"), F.coalesce("tombstoned", F.lit(0)).alias("tombstoned"),
     )

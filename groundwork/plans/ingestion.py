@@ -25,6 +25,11 @@ def store(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def two_tenants(docs: DataFrame) -> DataFrame:
+    """The same documents in a second tenant, under other ids."""
+    return docs.unionByName(docs.withColumn("tenant", F.lit("t2")).withColumn("document_id", F.concat(F.lit("b"), "document_id")))
+
+
 def incoming(spark: SparkSession, sf: str) -> DataFrame:
     s = store(spark, sf).where("lang <> 'es'")
     s = s.withColumn("text", F.when(F.col("lang").isin("fr", "de"), F.expr(SHORT.replace("\\n", "\\\\n"))).otherwise(F.col("text")))
@@ -158,27 +163,30 @@ def lineage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("tombstone_sync", "J7 V21 J8 S5", """
-WITH d AS (SELECT doc_id, source, CASE WHEN l.quality = 0 AND l.toxic = 1 THEN 'tombstoned' ELSE 'active' END AS status FROM documents LEFT JOIN labels l USING (doc_id))
-SELECT source, status, count(*)::BIGINT AS documents, sum(CASE WHEN status = 'active' THEN 1 ELSE 0 END)::BIGINT AS passages_left FROM d GROUP BY ALL
+WITH d AS (SELECT doc_id, source, CASE WHEN l.quality = 0 AND l.toxic = 1 THEN 'tombstoned' ELSE 'active' END AS status FROM documents LEFT JOIN labels l USING (doc_id)),
+b AS (SELECT 't1' AS tenant, source, status FROM d UNION ALL SELECT 't2', source, 'active' FROM d)
+SELECT tenant, source, status, count(*)::BIGINT AS documents, sum(CASE WHEN status = 'active' THEN 1 ELSE 0 END)::BIGINT AS passages_left FROM b GROUP BY ALL
 """)
 def tombstone_sync(spark: SparkSession, sf: str) -> DataFrame:
-    st = store(spark, sf)
+    st = two_tenants(store(spark, sf))
     p = st.select(F.col("document_id").alias("passage_id"), "document_id")
     gone = table(spark, sf, "labels").where("quality = 0 and toxic = 1").select(F.col("doc_id").cast("string").alias("document_id"))
-    docs, left, _ = V.tombstone(st, p, p.select("passage_id"), st.join(gone, "document_id", "left_semi").select("source", "uri"))
+    docs, left, _ = V.tombstone(st, p, p.select("passage_id"), st.join(gone, "document_id", "left_semi").select("tenant", "source", "uri"))
     n = left.withColumn("_p", F.lit(1))
     j = docs.join(n.select("document_id", "_p"), "document_id", "left")
-    return j.groupBy("source", "status").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.coalesce("_p", F.lit(0))).cast("long").alias("passages_left"))
+    return j.groupBy("tenant", "source", "status").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.coalesce("_p", F.lit(0))).cast("long").alias("passages_left"))
 
 
 @query("bulk_tombstone", "V21", """
-SELECT 'curator' AS subject, 'document.delete' AS action, 'document:' || doc_id AS resource, 'allow' AS decision FROM documents WHERE 'doc://' || source || '/' || doc_id LIKE 'doc://src1/%'
+WITH hit AS (SELECT doc_id FROM documents WHERE 'doc://' || source || '/' || doc_id LIKE 'doc://src1/%')
+SELECT 'curator' AS subject, 'document.delete' AS action, 'document:' || doc_id AS resource, 'allow' AS decision, (SELECT count(*) FROM documents) AS other_tenant FROM hit
 """)
 def bulk_tombstone(spark: SparkSession, sf: str) -> DataFrame:
-    st = store(spark, sf)
+    st = two_tenants(store(spark, sf))
     p = st.select(F.col("document_id").alias("passage_id"), "document_id")
-    out = V.bulk_tombstone(st, p, p, F.col("uri").startswith("doc://src1/"), "curator", F.lit(0))
-    return out["audit"].drop("at")
+    out = V.bulk_tombstone(st, p, p, F.col("uri").startswith("doc://src1/") & (F.col("tenant") == "t1"), "curator", F.lit(0))
+    rest = out["documents"].where("tenant = 't2' and status = 'active'").agg(F.count(F.lit(1)).alias("other_tenant"))
+    return out["audit"].drop("at").crossJoin(rest)
 
 
 @query("changed_only", "J5", f"""
@@ -213,12 +221,12 @@ def sync_cursor(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     r = e.select(
-        F.col("event_id").alias("change_id"), F.col("event_type").alias("source"), F.col("event_type").alias("scope"), ms.alias("updated"),
+        F.lit("t1").alias("tenant"), F.col("event_id").alias("change_id"), F.col("event_type").alias("source"), F.col("event_type").alias("scope"), ms.alias("updated"),
         F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("uri"), (F.get_json_object("props", "$.k").cast("long") > 90).alias("deleted"),
     )
-    c = e.where("event_type <> 'signup'").groupBy(F.col("event_type").alias("source")).agg((F.min(ms) + 15 * 86400000).alias("cursor"), F.count_distinct("user_id").alias("items"))
-    allow = spark.createDataFrame([(s, s) for s in ("click", "view", "signup", "error")], "source string, scope string")
-    return V.sync(r, c, allow)["cursor"]
+    c = e.where("event_type <> 'signup'").groupBy(F.lit("t1").alias("tenant"), F.col("event_type").alias("source")).agg((F.min(ms) + 15 * 86400000).alias("cursor"), F.count_distinct("user_id").alias("items"))
+    allow = spark.createDataFrame([("t1", s, s) for s in ("click", "view", "signup", "error")], "tenant string, source string, scope string")
+    return V.sync(r, c, allow)["cursor"].drop("tenant")
 
 
 NOW_S = 1009843200  # 2002-01-01

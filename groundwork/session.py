@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,33 +33,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_FEW_SPLITS: dict[str, bool] = {}
-
-
 def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A text-heavy table, rebalanced when it comes in fewer splits than there are cores.
+    """A text-heavy table, dealt to all cores when its file comes in fewer splits than half of them.
 
-    Per-row text work would otherwise run in as many tasks as the file has row groups. A corpus
-    with enough splits, which is every corpus of size, is read as it is.
+    A file with few row groups would otherwise keep per-row text work in as many tasks.
     """
     scan = table(spark, sf_dir, name)
     want = spark.sparkContext.defaultParallelism
-    path = f"{sf_dir}/{name}"
-    if path not in _FEW_SPLITS:
-        _FEW_SPLITS[path] = scan.rdd.getNumPartitions() * 2 <= want
-    return scan.repartition(want) if _FEW_SPLITS[path] else scan
+    return scan.repartition(want) if scan.rdd.getNumPartitions() * 2 <= want else scan
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables, from ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir`` (shared storage on a cluster). Only a
-    session without that setting, such as a test, gets a folder of its own.
+    Without that setting, a session on one machine gets a temporary folder; on a cluster,
+    where no other machine would see such a folder, this is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-        )
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        folder = sc.getCheckpointDir()
+    elif sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the reliable checkpoint folder and read it back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,18 +67,22 @@ def stamp_meta(records: DataFrame, now_ms: int) -> DataFrame:
     return records.withColumn("meta", F.map_concat(rest, F.create_map(F.lit("source_kind"), kind, F.lit("citation_url"), cite, F.lit("arrived_at"), at))).withColumn("acl", acl)
 
 
+def parse_delimited(content: bytes, sep: str) -> list[list[str]]:
+    """Cells of all rows of a delimited text; quoted cells may hold separators and line breaks."""
+    text = content.decode("utf-8-sig", "replace")
+    return [row for row in csv.reader(io.StringIO(text, newline=""), delimiter=sep) if row]
+
+
 def delimited_sheets(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     """Sheets from .csv or .tsv files, all cells as text: (sheet_id, row, cells array).
 
-    ``row`` is an increasing number per file (split offset plus position in the split), so a file of
-    any size is read in parallel and no task has to count it through.
+    A file is a sheet and is read by one task, because only its start tells where a quoted cell
+    ends; files are spread over the cluster. Rows are numbered from 0 and keep all their cells.
     """
     sep = sep or ("\t" if path.lower().rstrip("*").endswith(".tsv") else ",")
-    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    n = spark.read.text(path).select(F.col("_metadata.file_name").alias("sheet_id"), (F.col("_metadata.file_block_start") + within).alias("row"), "value")
-    cells = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(64))), {"sep": sep})
-    width = F.size(F.split(F.regexp_replace("value", '"[^"]*"', ""), F.lit("\t" if sep == "\t" else sep)))
-    return n.select("sheet_id", "row", F.slice(F.array(*[cells[f"c{i}"] for i in range(64)]), F.lit(1), width).alias("cells"))
+    parse = F.udf(lambda b: parse_delimited(bytes(b), sep), "array<array<string>>", useArrow=True)
+    n = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("sheet_id"), "content")
+    return n.select("sheet_id", F.posexplode(parse("content")).alias("row", "cells"))
 
 
 LEDGER = T.StructType([

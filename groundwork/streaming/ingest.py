@@ -15,18 +15,21 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.skew import latest
 from ..operators.versions import content_hash, stable_id
 
-RECORD = "source string, uri string, updated timestamp, deleted boolean, body string"
-KEYS = ["source", "uri"]
+RECORD = "tenant string, source string, uri string, updated timestamp, deleted boolean, body string"
+KEYS = ["tenant", "source", "uri"]
 
 
 def watch(spark: SparkSession, folder: str, glob: str | None = None, per_trigger: int | None = None) -> DataFrame:
-    """Change records as they land in a folder of JSON lines; malformed lines arrive in ``_bad``."""
+    """Change records as they land in a folder of JSON lines; malformed lines arrive in ``_bad``.
+
+    A record that names no tenant belongs to the tenant ``default``.
+    """
     r = spark.readStream.schema(RECORD + ", _bad string").option("columnNameOfCorruptRecord", "_bad").option("mode", "PERMISSIVE")
     if glob:
         r = r.option("pathGlobFilter", glob)
     if per_trigger:
         r = r.option("maxFilesPerTrigger", per_trigger)
-    return r.json(folder)
+    return r.json(folder).withColumn("tenant", F.coalesce("tenant", F.lit("default")))
 
 
 def _hashed(records: DataFrame) -> DataFrame:
@@ -43,20 +46,20 @@ def fresh(records: DataFrame, lateness: str) -> DataFrame:
 
 
 def storm_dedupe(records: DataFrame, lateness: str) -> DataFrame:
-    """One copy of each (source, uri, content) within the watermark, whatever the number of submissions."""
+    """One copy of each (tenant, source, uri, content) within the watermark, whatever the number of submissions."""
     r = _hashed(records).withWatermark("updated", lateness)
     return r.dropDuplicatesWithinWatermark([*KEYS, "content_hash", "deleted"])
 
 
 def split_late(batch: DataFrame, floor: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(in time, late): rows at or below their source's cursor are late. ``floor``: (source, cursor)."""
-    j = batch.join(floor, "source", "left")
+    """(in time, late): rows at or below their source's cursor are late. ``floor``: (tenant, source, cursor)."""
+    j = batch.join(floor, ["tenant", "source"], "left")
     late = F.col("cursor").isNotNull() & (F.col("updated") <= F.col("cursor"))
     return j.where(~late).drop("cursor"), j.where(late).drop("cursor")
 
 
 def _bad() -> Column:
-    return F.col("_bad").isNotNull() | F.col("uri").isNull() | F.col("source").isNull()
+    return F.col("_bad").isNotNull() | F.col("uri").isNull() | F.col("source").isNull() | F.col("tenant").isNull()
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, root: str) -> None:

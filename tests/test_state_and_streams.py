@@ -124,6 +124,9 @@ def test_drop_folder_office_and_sheets(spark, tmp_path):
     assert len(doc) == 5 and doc[4][1:3] == (2, 1) and "&" in doc[0][3]
     sh = files.delimited_sheets(spark, str(tmp_path / "t.csv"))
     assert [list(r.cells) for r in sh.orderBy("row").collect()] == [["name", "total"], ["a, b", "3"], ["c", "4"]]
+    (tmp_path / "wide.csv").write_text(",".join(f"c{i}" for i in range(100)) + '\n"two\nlines, one cell",2\n')
+    wide = {r.row: r.cells for r in files.delimited_sheets(spark, str(tmp_path / "wide.csv")).collect()}
+    assert len(wide[0]) == 100 and wide[1] == ["two\nlines, one cell", "2"] and len(wide) == 2
 
 
 def test_ledger_roundtrip_prunes_days(spark, tmp_path):
@@ -146,9 +149,21 @@ def test_typed_sheet_golden_values(spark):
     q = lambda s: sheets.table_query(d, s).collect()
     assert q("SELECT COUNT(*) AS n FROM t WHERE priority = 'critical'")[0].n == 2
     assert q("WITH x AS (SELECT SUM(story_points) AS s FROM t) SELECT s FROM x")[0].s == 29
-    for bad in ("DROP TABLE t", "SELECT 1; SELECT 2", "SELECT * FROM other", "SELECT * FROM t JOIN secrets ON 1=1", "", "WITH x AS (SELECT 1) DELETE FROM t"):
+    spark.createDataFrame([("hidden",)], "x string").createOrReplaceTempView("secrets")
+    spark.createDataFrame([("mine",)], "x string").createOrReplaceTempView("t")
+    bad = (
+        "DROP TABLE t", "SELECT 1; SELECT 2", "SELECT * FROM other", "SELECT * FROM t JOIN secrets ON 1=1", "", "WITH x AS (SELECT 1) DELETE FROM t", "SELECT * FROM t, secrets",
+        "SELECT '--', x.* FROM secrets x", "SELECT '/*', x.* FROM secrets x --'*/", "SELECT \"'\" AS a, x FROM secrets WHERE x <> \"'\"", "SELECT (SELECT max(x) FROM secrets) FROM t",
+        "WITH t AS (SELECT * FROM secrets) SELECT * FROM t", "SELECT reflect('java.lang.System', 'getenv', 'PATH') FROM t", "SELECT * FROM parquet.`/root/testdata/sf0.001/region.parquet`",
+        "SELECT TRANSFORM(key) USING 'cat' AS (k) FROM t", "SELECT r'\\' FROM t", "FROM t INSERT OVERWRITE DIRECTORY '/tmp/x' SELECT *",
+    )
+    for text in bad:
         with pytest.raises(sheets.TableQueryError):
-            sheets.check_select(bad)
+            sheets.table_query(d, text)
+    assert spark.table("t").first().x == "mine"
+    assert q("SELECT concat('{', key, '}') AS k FROM t WHERE key IN (SELECT key FROM t WHERE story_points > 8)")[0].k == "{D-4}"
+    rows, cut = sheets.table_page(d, "SELECT * FROM t ORDER BY key", 3)
+    assert rows.count() == 3 and cut and not sheets.table_page(d, "SELECT * FROM t", 4)[1]
 
 
 def test_rich_text_and_html():
@@ -187,3 +202,31 @@ def test_grading_rules(spark):
     rows = [("1,284 commits", 1284.0, None, None), ("1,285 commits", 1284.0, None, None), ("avg 4.83", 4.8333, None, None), ("Alpha and beta", None, ["alpha", "Beta"], None), ("none", None, None, "x")]
     d = spark.createDataFrame(rows, "answer string, expect_number double, expect_list array<string>, expect_text string")
     assert [r.ok for r in evaluate.grade(d).collect()] == [True, False, True, True, False]
+
+
+def test_tenants_and_order_inside_a_batch(spark):
+    d = spark.createDataFrame([("t1", "1", "s", "u", "h", 1, "active"), ("t2", "2", "s", "u", "h", 1, "active")], "tenant string, document_id string, source string, uri string, content_hash string, current_version long, status string")
+    p = spark.createDataFrame([("p1", "1"), ("p2", "2")], "passage_id string, document_id string")
+    docs, left, vec = V.tombstone(d, p, p, d.where("tenant = 't1'").select("tenant", "source", "uri"))
+    assert {r.tenant: r.status for r in docs.collect()} == {"t1": "tombstoned", "t2": "active"}
+    assert [r.passage_id for r in left.collect()] == [r.passage_id for r in vec.collect()] == ["p2"]
+    batch = [("t1", "s", "u", "h", 1), ("t1", "s", "u", "a", 2), ("t1", "s", "u", "a", 3), ("t1", "s", "u", "h", 4), ("t1", "s", "new", "n", 5), ("t1", "s", "new", "m", 6)]
+    got = V.ingest_diff(spark.createDataFrame(batch, "tenant string, source string, uri string, content_hash string, arrival int"), d, ["arrival"])
+    assert [(r.arrival, r.status, r.version) for r in got.orderBy("arrival").collect()] == [(1, "noop", 1), (2, "updated", 2), (3, "noop", 2), (4, "updated", 3), (5, "ok", 1), (6, "updated", 2)]
+
+
+def test_span_pages_pass_over_nothing(spark):
+    s = spark.createDataFrame([("t1", i, 5.0) for i in range(7)] + [("t1", 9, 6.0), ("t2", 8, 5.0)], "tenant string, id long, started_at double")
+    seen, at, last = [], 0.0, None
+    while page := telemetry.read_spans(s, "t1", at, last, limit=3).collect():
+        seen += [r.id for r in page]
+        at, last = page[-1].started_at, page[-1].id
+    assert seen == [0, 1, 2, 3, 4, 5, 6, 9]
+
+
+def test_chain_is_one_component(spark):
+    from groundwork.operators.graph import connected_components
+
+    n = spark.range(200).select(F.col("id").alias("node"))
+    e = spark.range(199).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert connected_components(n, e).select("comp").distinct().count() == 1
