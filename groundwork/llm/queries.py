@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontaminate, dedup, idfiles, languages, mixing, quality, sharding, tokens, urls
+from . import classifier, decontaminate, dedup, idfiles, languages, mixing, oracles, quality, sharding, tokens, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,4 +61,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_sharding, op7_packed_ids, op8_quality_rules, op9_minhash_dedup, op10_mixing,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = oracles.SQL
