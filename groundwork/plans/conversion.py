@@ -34,7 +34,7 @@ def route_classify(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("p_partkey", K.classify(mime, uri).alias("route"), K.source_kind(mime, uri).alias("kind"))
 
 
-@query("html_paragraphs", "C4 S16")
+@query("html_paragraphs", "C4")
 def html_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     return K.html_passages(wide_table(spark, sf, "pages").select("page_id", "url", "html"))
 
@@ -118,7 +118,7 @@ def order_sheets(spark: SparkSession, sf: str) -> DataFrame:
     return S.cells(rows.unionByName(head), "sheet", "row", "cells")
 
 
-@query("sheet_headers", "C14 C15 S4", """
+@query("sheet_headers", "C14 C15", """
 WITH s AS (SELECT DISTINCT o_orderpriority AS sheet_id FROM orders) SELECT sheet_id, unnest([0, 1, 2, 3, 4]) AS col, CASE WHEN sheet_id = '5-LOW' THEN unnest(['col1','col2','col3','col4','col5']) ELSE unnest(['key','order state','total','share','Total_2']) END AS name, sheet_id <> '5-LOW' AS had_header FROM s
 """)
 def sheet_headers(spark: SparkSession, sf: str) -> DataFrame:
@@ -166,7 +166,7 @@ def sheet_summary(spark: SparkSession, sf: str) -> DataFrame:
 _TQ = "WITH x AS (SELECT o_orderpriority AS p, sum(o_totalprice) AS s FROM t GROUP BY o_orderpriority) SELECT p, round(s, 2) AS total FROM x WHERE s > (SELECT avg(o_totalprice) FROM t) ORDER BY p"
 
 
-@query("table_query", "C22 C21", _TQ.replace("FROM t", "FROM orders"))
+@query("table_query", "C22", _TQ.replace("FROM t", "FROM orders"))
 def table_query(spark: SparkSession, sf: str) -> DataFrame:
     return S.table_query(table(spark, sf, "orders"), _TQ)
 

@@ -115,7 +115,7 @@ def version_diff_rows(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("document_id", "change", "pos", F.md5("text").alias("text_md5"))
 
 
-@query("rollback", "V10 V7 V8 V11", f"""
+@query("rollback", "V10 V8 V11", f"""
 WITH {_SQL_PASS}, n1 AS (SELECT document_id, count(*) AS n FROM p1 GROUP BY 1), n2 AS (SELECT document_id, count(*) AS n FROM p2 GROUP BY 1)
 SELECT u.document_id, 1::BIGINT AS to_version, n1.n IS NOT NULL AS ok, CASE WHEN n1.n IS NOT NULL THEN 3 END::BIGINT AS new_version, n1.n::BIGINT AS reactivated,
   CASE WHEN n1.n IS NOT NULL THEN coalesce(n2.n, 0) END::BIGINT AS superseded
@@ -311,7 +311,7 @@ def run_listing(spark: SparkSession, sf: str) -> DataFrame:
     return V.run_listing(g).select("run_id", F.round("started_at", 3).alias("started_at"), F.round("ended_at", 3).alias("ended_at"), "active", "duration_s")
 
 
-@query("dataset_versions", "V11 V12 V14", f"""
+@query("dataset_versions", "V11 V14", f"""
 WITH {_SQL_STORE} SELECT 't1' AS tenant, 6::BIGINT AS version, 'ingest' AS reason, (SELECT count(*) FROM st)::BIGINT AS documents, (SELECT count(*) FROM st)::BIGINT AS passages
 WHERE EXISTS (SELECT 1 FROM df WHERE status <> 'noop')
 """)
@@ -340,11 +340,3 @@ def ingest_batch(spark: SparkSession, sf: str) -> DataFrame:
     m = out["mentions"].where("confidence = 0.9").groupBy("document_id").agg(F.count(F.lit(1)).alias("m"))
     j = key.where("status <> 'noop'").join(p, "document_id", "left").join(m, "document_id", "left")
     return j.groupBy("status").agg(F.count(F.lit(1)).alias("records"), F.sum("p").alias("passages"), F.coalesce(F.sum("m"), F.lit(0)).alias("typed_mentions"))
-
-
-@query("drop_folder", "S1")
-def drop_folder(spark: SparkSession, sf: str) -> DataFrame:
-    """The folder of the tables itself, scanned as files; bodies are not read."""
-    from ..sources.files import drop_folder as scan
-
-    return scan(spark, sf, "t1").select("tenant", "source", "uri", "title", "mime")

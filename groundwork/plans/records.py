@@ -165,7 +165,7 @@ _CANON = r"""lower(regexp_extract({0}, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '
  || CASE WHEN regexp_extract({0}, '^[^?#]*\?([^#]*)', 1) <> '' THEN '?' || regexp_extract({0}, '^[^?#]*\?([^#]*)', 1) ELSE '' END"""
 
 
-@query("url_canonical", "S16 S17", rf"""
+@query("url_canonical", "S17", rf"""
 SELECT page_id, {_CANON.format('url')} AS uri, CASE WHEN trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) <> '' THEN trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) ELSE url END AS title, md5(html) AS body_md5 FROM pages
 """)
 def url_canonical(spark: SparkSession, sf: str) -> DataFrame:

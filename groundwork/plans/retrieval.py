@@ -145,7 +145,7 @@ def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.near_duplicates(embeddings(spark, sf), 0.45)
 
 
-@query("document_near_duplicates", "J10 R2 S23")
+@query("document_near_duplicates", "J10 R2")
 def document_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     d = documents(spark, sf)
     v = d.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("document_id"), F.col("doc_id").alias("seq"), hash_embed("text").alias("vec"))

@@ -261,7 +261,7 @@ _SUM = """count(*)::BIGINT AS calls, sum(input_tokens)::BIGINT AS input_tokens,
  sum(cache_read)::BIGINT AS cache_read, sum(cache_write)::BIGINT AS cache_write, round(sum(cost_usd), 6) AS cost_usd"""
 
 
-@query("ledger_summary", "M12 M13 S20", f"WITH {_LED} SELECT {_SUM}, count(DISTINCT model)::BIGINT AS models FROM l")
+@query("ledger_summary", "M12 M13", f"WITH {_LED} SELECT {_SUM}, count(DISTINCT model)::BIGINT AS models FROM l")
 def ledger_summary(spark: SparkSession, sf: str) -> DataFrame:
     return M.ledger_summary(ledger(spark, sf))
 
@@ -308,7 +308,7 @@ def prompt_waste(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("repo", w.alias("waste_tokens"), pct.alias("waste_pct"))
 
 
-@query("burn_rate", "M22 S19", f"""
+@query("burn_rate", "M22", f"""
 WITH {_LED}, t AS (SELECT sum(cost_usd) AS t FROM l WHERE day >= '1998-01-01')
 SELECT round(t / (7 * 24e0), 6) AS cost_per_hour, round(t / (7 * 24e0) * 24e0, 6) AS projected_per_day, round(t, 6) AS cost_usd, 168e0 AS hours FROM t
 """)
