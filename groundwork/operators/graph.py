@@ -8,6 +8,7 @@ neighbour list, and pair discovery uses the degree-bounded and overlap-filtered
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -344,20 +345,27 @@ def uri_entity(uri: Column, doc_id: Column) -> tuple[Column, Column]:
     return k, i
 
 
-def mention_edges(documents: DataFrame, known: DataFrame, max_chars: int | None = None, pattern: str = ISSUE_KEY) -> DataFrame:
-    """One ``mentions`` edge per document and known issue key in its title and text, never to itself.
+def mention_pairs(documents: DataFrame, known: DataFrame, kinds: Sequence[str] | None = None, max_chars: int | None = None, pattern: str = ISSUE_KEY) -> DataFrame:
+    """(subject_kind, subject_id, key, document_id) of documents that name a known issue key, never their own.
 
-    ``documents``: (document_id, uri, title, text); ``known``: (key). The whole text is read unless
-    ``max_chars`` is given.
+    ``documents``: (document_id, uri, title, text); ``known``: (key). ``kinds`` narrows the documents before
+    their texts are searched. The whole text is read unless ``max_chars`` is given.
     """
+    if kinds is not None:
+        documents = documents.where(uri_entity(F.col("uri"), F.col("document_id"))[0].isin(*kinds))
     kind, sid = uri_entity(F.col("uri"), F.col("document_id"))
     body = F.coalesce("text", F.lit(""))
     body = body if max_chars is None else F.substring(body, 1, max_chars)
     hay = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), body)
     d = documents.select(kind.alias("subject_kind"), sid.alias("subject_id"), "document_id", F.explode(F.array_distinct(F.regexp_extract_all(hay, F.lit(pattern), F.lit(1)))).alias("key"))
-    e = d.where("key <> subject_id").join(known.select("key"), "key", "left_semi")
-    eid = F.sha1(F.concat_ws("|", "subject_kind", "subject_id", F.lit("mentions"), F.lit("issue"), "key"))
-    return e.select(eid.alias("edge_id"), "subject_kind", "subject_id", F.col("key").alias("object_id"), "document_id").dropDuplicates(["edge_id"])
+    return d.where("key <> subject_id").join(known.select("key"), "key", "left_semi")
+
+
+def mention_edges(documents: DataFrame, known: DataFrame, max_chars: int | None = None, pattern: str = ISSUE_KEY) -> DataFrame:
+    """One ``mentions`` edge per subject and known issue key, with the smallest document that states it."""
+    e = mention_pairs(documents, known, None, max_chars, pattern).groupBy("subject_kind", "subject_id", F.col("key").alias("object_id")).agg(F.min("document_id").alias("document_id"))
+    eid = F.sha1(F.concat_ws("|", "subject_kind", "subject_id", F.lit("mentions"), F.lit("issue"), "object_id"))
+    return e.select(eid.alias("edge_id"), "subject_kind", "subject_id", "object_id", "document_id")
 
 
 def mentions_of(edges: DataFrame, object_id: str, kinds: list[str] | None = None) -> DataFrame:

@@ -309,7 +309,9 @@ def cross_source_verdict(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").where("o_orderpriority <> '1-URGENT'")
     st = F.when(F.col("o_orderstatus") == "F", "Done").when(F.col("o_orderstatus") == "O", "Open").otherwise("In Progress")
     issues = o.select(F.concat(F.lit("ORD-"), F.col("o_orderkey").cast("string")).alias("key"), st.alias("status"))
-    return G.cross_source_verdict(issues, issue_edges(spark, sf).withColumnRenamed("object_id", "key"))
+    known = table(spark, sf, "orders").where("o_orderpriority <> '5-LOW'").select(F.concat(F.lit("ORD-"), F.col("o_orderkey").cast("string")).alias("key"))
+    pairs = G.mention_pairs(change_documents(spark, sf), known, ("commit", "pull_request"))
+    return G.cross_source_verdict(issues, pairs.select("subject_kind", "subject_id", "key").distinct())
 
 
 @query("graph_expand", "R14", f"""
