@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import query
@@ -30,8 +30,11 @@ def drain(df: DataFrame, spark: SparkSession) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{root}/out")
 
 
-# users belong to one of two tenants
-_TENANT = F.concat(F.lit("t"), (F.col("user_id") % 2).cast("string")).alias("tenant")
+def _tenant() -> Column:
+    """Users belong to one of two tenants."""
+    return F.concat(F.lit("t"), (F.col("user_id") % 2).cast("string")).alias("tenant")
+
+
 _K = "json_extract_string(props, '$.k')::BIGINT"
 
 
@@ -55,7 +58,7 @@ def stream_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
 SELECT DISTINCT event_type AS source, 'u' || user_id AS uri, sha256({_K}::VARCHAR) AS content_hash, value > 100 AS deleted FROM events
 """)
 def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    e = event_stream(spark, sf).select(_TENANT, F.col("event_type").alias("source"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("uri"), F.col("ts").cast("timestamp").alias("updated"), (F.col("value") > 100).alias("deleted"), F.get_json_object("props", "$.k").alias("body"))
+    e = event_stream(spark, sf).select(_tenant(), F.col("event_type").alias("source"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("uri"), F.col("ts").cast("timestamp").alias("updated"), (F.col("value") > 100).alias("deleted"), F.get_json_object("props", "$.k").alias("body"))
     return drain(ingest.storm_dedupe(e, "60 days"), spark).select("source", "uri", "content_hash", "deleted")
 
 
@@ -66,7 +69,7 @@ l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY source, uri ORDER
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     e = event_stream(spark, sf)
     k = F.get_json_object("props", "$.k")
-    r = e.select(_TENANT, F.col("event_type").alias("source"), F.when(k != "13", F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("uri"), F.col("ts").cast("timestamp").alias("updated"), (F.col("value") > 100).alias("deleted"), k.alias("body"), F.lit(None).cast("string").alias("_bad"))
+    r = e.select(_tenant(), F.col("event_type").alias("source"), F.when(k != "13", F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("uri"), F.col("ts").cast("timestamp").alias("updated"), (F.col("value") > 100).alias("deleted"), k.alias("body"), F.lit(None).cast("string").alias("_bad"))
     root = scratch(spark)
     ingest.run(ingest.fresh(r, "60 days"), root).awaitTermination()
     return ingest.current(spark, root).select("source", "uri", "content_hash")

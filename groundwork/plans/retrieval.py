@@ -278,11 +278,9 @@ def hybrid(spark: SparkSession, sf: str, k: int = 5) -> DataFrame:
     lex = retrieval.bm25_topk(q, d, 20)
     qv = q.select(F.col("query_id").alias("id"), hash_embed("text").alias("vec"), retrieval.access_key(F.col("accessible")).alias("access"))
     dv = cut_lineage(d.select(F.col("passage_id").alias("id"), hash_embed("text").alias("vec"), "acl"))
-    sem = None
-    for access in ("public", "public,restricted"):
-        seen = dv.where(F.arrays_overlap("acl", F.split(F.lit(access), ",")))
-        part = vectors.cosine_topk(qv.where(F.col("access") == access), seen, 20)
-        sem = part if sem is None else sem.unionByName(part)
+    classes = q.select(retrieval.access_key(F.col("accessible")).alias("access"), "accessible").dropDuplicates(["access"])
+    seen = retrieval.visible_passages(dv.withColumnRenamed("id", "passage_id"), classes).withColumnRenamed("passage_id", "id")
+    sem = vectors.cosine_topk(qv, seen, 20, same="access")
     sem = sem.withColumnRenamed("id", "passage_id")
     fused = fusion.rrf(lex, sem)
     w = Window.partitionBy("query_id").orderBy(F.desc("fused"), F.col("passage_id"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,3 +67,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read it back."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, which import it for the Arrow functions; once per session.
+
+    Workers see neither the driver's ``sys.path`` nor, on a cluster, its files.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_groundwork_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-"), "groundwork"), "zip", root, "groundwork"))
+    sc._groundwork_shipped = True
