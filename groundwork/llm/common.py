@@ -3,28 +3,18 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HELD_OUT_FOLDS = 5
-
+from ..session import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only a session without it gets one of its own."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(folder)
-        folder = sc.getCheckpointDir()
-    return folder.rstrip("/")
+HELD_OUT_FOLDS = 5
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -84,6 +74,31 @@ def rank_within(df: DataFrame, keys: Sequence[str], n: int, order: Sequence[str]
     return out.withColumn(rank, F.col("_before") + F.col("_r")).drop("_r", "_before", "_bucket")
 
 
+def connected(edges: DataFrame, name: str) -> DataFrame:
+    """(node, component) of every node of the (src, dst) edges; the component is its smallest node.
+
+    Each round every node takes its smallest neighbour as parent (an aggregate with map-side combine, so a hub
+    is no hot spot), the parent's parent after that, and the edges are drawn between what the nodes
+    have become. Edges inside one part vanish, so the graph shrinks until none is left.
+    """
+    e = stage(edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), f"{name}-edges")
+    label = None
+    while True:
+        ends = e.select(F.col("src").alias("node"), F.col("src").alias("least")).unionByName(e.select(F.col("dst").alias("node"), F.col("src").alias("least")))
+        p = stage(ends.groupBy("node").agg(F.min("least").alias("parent")), f"{name}-parents")
+        up = p.select(F.col("node").alias("parent"), F.col("parent").alias("_top"))
+        p = stage(p.join(up, "parent").select("node", F.col("_top").alias("parent")), f"{name}-tops")
+        if label is None:
+            label = p.withColumnRenamed("parent", "component")
+        else:
+            label = label.join(p.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("parent", "component").alias("component"))
+            label = stage(label, f"{name}-labels")
+        e = e.join(p.select(F.col("node").alias("src"), F.col("parent").alias("a")), "src").join(p.select(F.col("node").alias("dst"), F.col("parent").alias("b")), "dst")
+        e = stage(e.where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), f"{name}-edges")
+        if not e.head(1):
+            return label
+
+
 # ---- text columns in Arrow batches -------------------------------------------------------------
 
 def text_slices(col: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -23,8 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import connected_components
-from .common import find_words, mix, span_hashes, stage, text_slices, window_hashes
+from .common import connected, find_words, mix, span_hashes, stage, text_slices, window_hashes
 
 SHINGLE = 5
 SIMILARITY = 75  # in per cent
@@ -214,11 +214,11 @@ def cluster_ties(classes: DataFrame) -> DataFrame:
         F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2"),
     ).where("n > 1")
     buckets = buckets.groupBy("n", "least", "most", "x1", "x2").agg(F.min("band").alias("band"))
-    buckets = stage(buckets.select("band", "n", "least"), "dedup-buckets")
-    large = keyed.join(buckets.where(F.col("n") > BLOCK), "band").select(F.col("least").alias("src"), F.col("node").alias("dst")).where("src <> dst")
-    small = keyed.join(buckets.where(F.col("n") <= BLOCK).select("band"), "band").join(classes.select("node", "sig"), "node")
+    found = stage(keyed.join(buckets.select("band", "n", "least"), "band"), "dedup-buckets")
+    large = found.where((F.col("n") > BLOCK) & (F.col("node") != F.col("least"))).select(F.col("least").alias("src"), F.col("node").alias("dst"))
+    small = found.where(F.col("n") <= BLOCK).select("band", "node").join(classes.select("node", "sig"), "node")
     members = small.groupBy("band").agg(F.collect_list(F.struct("node", "sig")).alias("members"))  # at most BLOCK
-    return large.unionByName(members.select("members").mapInArrow(_bucket_ties, "src long, dst long")).distinct()
+    return large.unionByName(members.select("members").mapInArrow(_bucket_ties, "src long, dst long"))
 
 
 # ---- step 3 ------------------------------------------------------------------------------------
@@ -276,43 +276,49 @@ def _inside(members: DataFrame) -> DataFrame:
     return rows.where(F.size("members") > 1).select("members").mapInArrow(_verify, "src long, dst long")
 
 
-def _relabel(members: DataFrame, links: DataFrame, name: str) -> DataFrame:
-    nodes = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    top = connected_components(nodes, links).select(F.col("node").alias("label"), F.col("comp").alias("_to"))
-    return stage(members.join(top, "label", "left").withColumn("label", F.coalesce("_to", "label")).drop("_to"), name)
+def _relabel(members: DataFrame, tops: DataFrame, name: str) -> DataFrame:
+    """Members with ``tops`` (label, _to) applied."""
+    return stage(members.join(tops, "label", "left").withColumn("label", F.coalesce("_to", "label")).drop("_to"), name)
 
 
-def _large_clusters(members: DataFrame) -> DataFrame:
-    """(node, label) of the members of clusters of several blocks, after block-wise comparison."""
-    labels, seed = None, 1
-    links = stage(_inside(members), "dedup-links")
-    m = _relabel(members, links, "dedup-part")
-    while True:
+def _stars(links: DataFrame) -> DataFrame:
+    """Links found inside blocks that share no label are stars, so they name each label's part as they are."""
+    return links.where("src <> dst").select(F.col("dst").alias("label"), F.col("src").alias("_to"))
+
+
+def _large_clusters(m: DataFrame) -> DataFrame:
+    """(node, label) of the members of clusters of several blocks, whose blocks have been compared inside."""
+    before = None
+    for seed in itertools.count(1):
         # one member for each connected part; parts merge through them without comparing their members
-        parts = m.select("cluster", "label").distinct().groupBy("cluster").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-        now = parts.agg(F.sum("k")).first()[0] or 0
-        if now == 0:
+        parts = m.groupBy("cluster").agg(F.count_distinct("label").alias("k")).where("k > 1")
+        now = parts.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("all"), F.coalesce(F.max("k"), F.lit(0)).alias("most")).first()
+        if now["all"] == 0:
             return m.select("node", "label")
-        if labels is not None and now >= labels:
+        # another round pays while it merges a quarter of the parts; what is left apart is compared below
+        if before is not None and (before["most"] <= BLOCK or 4 * now["all"] > 3 * before["all"]):
             break
-        labels, seed = now, seed + 1
-        first = m.groupBy("label").agg(F.min(F.struct("node", "d1")).alias("_f"))
-        pick = m.join(first, "label").where("node = _f.node and d1 = _f.d1").drop("_f", "blocks", "block").join(parts.select("cluster"), "cluster", "left_semi")
+        before = now
+        drawn = F.struct(F.xxhash64("node", F.lit(seed)).alias("u"), "node", "d1", "d2")
+        first = m.groupBy("cluster", "label").agg(F.min(drawn).alias("_f"))
+        pick = m.join(first, ["cluster", "label"]).where("node = _f.node and d1 = _f.d1 and d2 = _f.d2").drop("_f", "blocks", "block")
         links = stage(_inside(_blocks(pick, ["cluster"], seed)), "dedup-links")
-        m = _relabel(m, links, "dedup-part")
+        m = _relabel(m, _stars(links), "dedup-part")
     # every pair of different labels has a member outside the largest part of its cluster
     parts = m.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
     main = parts.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("_m"), F.count(F.lit(1)).alias("_k")).where("_k > 1").select("cluster", F.col("_m.label").alias("main"))
-    m = m.drop("blocks", "block").join(main, "cluster")
-    all_ = _blocks(m, ["cluster"], 0)
-    outside = _blocks(m.where("label <> main"), ["cluster"], 1)
+    open_ = m.drop("blocks", "block").join(main, "cluster")
+    all_ = _blocks(open_, ["cluster"], 0)
+    outside = _blocks(open_.where("label <> main"), ["cluster"], 1)
     grid = all_.groupBy("cluster").agg(F.max("blocks").alias("nj")).join(outside.groupBy("cluster").agg(F.max("blocks").alias("ni")), "cluster")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = outside.join(grid, "cluster").withColumn("j", each("nj")).select("cluster", F.col("block").alias("i"), "j", F.struct(*_MEMBER).alias("o"), F.lit(None).cast("struct<node:bigint,label:bigint,d1:bigint,d2:bigint,sig:binary,text:string>").alias("x"))
-    right = all_.join(grid, "cluster").withColumn("i", each("ni")).select("cluster", "i", F.col("block").alias("j"), F.lit(None).cast("struct<node:bigint,label:bigint,d1:bigint,d2:bigint,sig:binary,text:string>").alias("o"), F.struct(*_MEMBER).alias("x"))
+    nothing = F.lit(None).cast(all_.select(F.struct(*_MEMBER).alias("m")).schema["m"].dataType)
+    left = outside.join(grid, "cluster").withColumn("j", each("nj")).select("cluster", F.col("block").alias("i"), "j", F.struct(*_MEMBER).alias("o"), nothing.alias("x"))
+    right = all_.join(grid, "cluster").withColumn("i", each("ni")).select("cluster", "i", F.col("block").alias("j"), nothing.alias("o"), F.struct(*_MEMBER).alias("x"))
     rows = left.unionByName(right).groupBy("cluster", "i", "j").agg(F.collect_list("o").alias("others"), F.collect_list("x").alias("members"))
-    links = stage(rows.select("others", "members").mapInArrow(_verify, "src long, dst long"), "dedup-links")
-    return _relabel(m.select("node", "label"), links, "dedup-part")
+    links = rows.select("others", "members").mapInArrow(_verify, "src long, dst long")
+    tops = connected(links, "dedup-cross").select(F.col("node").alias("label"), F.col("component").alias("_to"))
+    return _relabel(m.select("node", "label"), tops, "dedup-part")
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -332,17 +338,16 @@ def components(docs: DataFrame) -> DataFrame:
     reps = prints.withColumnRenamed("doc_id", "node").join(named, ["node", "d1", "d2"], "left_semi").dropDuplicates(["node", "d1", "d2"])
     reps = stage(reps, "dedup-reps")
 
-    ties = stage(cluster_ties(reps), "dedup-ties")
-    tied = ties.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    clusters = connected_components(tied, ties).select("node", F.col("comp").alias("cluster"))
+    clusters = connected(cluster_ties(reps), "dedup-ties").withColumnRenamed("component", "cluster")
     members = reps.select("node", "d1", "d2", "sig", "n_shingles").join(clusters, "node").withColumn("label", F.col("node"))
     members = stage(_blocks(members, ["cluster"], 0), "dedup-members")
-    full = members.join(text.withColumnRenamed("doc_id", "node"), "node")
-    small = _inside(full.where("blocks = 1")).select(F.col("dst").alias("node"), F.col("src").alias("label"))
-    labels = small
-    if members.where("blocks > 1").limit(1).count():
-        labels = small.unionByName(_large_clusters(stage(full.where("blocks > 1"), "dedup-large")).select("node", "label"))
-    labels = stage(labels.groupBy("node").agg(F.min("label").alias("label")), "dedup-labels")
+    full = stage(members.join(text.withColumnRenamed("doc_id", "node"), "node"), "dedup-texts")
+    links = stage(_inside(full), "dedup-links")
+    labels = _stars(links).select(F.col("label").alias("node"), F.col("_to").alias("label"))
+    if members.where("blocks > 1").head(1):
+        large = _large_clusters(_relabel(full.where("blocks > 1"), _stars(links), "dedup-part")).select("node", "label")
+        labels = labels.unionByName(large)
+    labels = labels.groupBy("node").agg(F.min("label").alias("label"))
 
     named = named.join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("component_id"))
     out = prints.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
