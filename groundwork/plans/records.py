@@ -40,6 +40,16 @@ def repository_files(spark: SparkSession, sf: str) -> DataFrame:
     return f.groupBy("kind", "area").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
 
 
+@query("repository_skips", "S12", f"""
+WITH rf AS (SELECT 'd' || l_suppkey || '/' || ({'[' + ','.join(f"'{x}'" for x in _PATHS) + ']'})[l_partkey % {len(_PATHS)} + 1] AS path, floor(l_extendedprice * 8)::BIGINT AS length FROM lineitem),
+k AS (SELECT *, CASE WHEN regexp_matches(path, '(?i)\\.(png|svg)$') THEN 5000000 WHEN regexp_matches(path, '\\.(py|js|ts|rb|md|txt|yml|json)$') THEN 512000 END AS cap FROM rf),
+r AS (SELECT length, CASE WHEN path LIKE '%node_modules/%' THEN 'folder' WHEN cap IS NULL THEN 'kind' WHEN length <= 0 THEN 'empty' WHEN length > cap THEN 'oversize' END AS reason FROM k)
+SELECT reason, count(*)::BIGINT AS files, sum(length)::BIGINT AS bytes FROM r WHERE reason IS NOT NULL GROUP BY reason
+""")
+def repository_skips(spark: SparkSession, sf: str) -> DataFrame:
+    return S.skipped_files(repo_files(spark, sf)).groupBy("reason").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+
+
 @query("issue_flatten", "S8 S9 S5", """
 SELECT 'ORD-' || o_orderkey AS key, 'P' || (o_custkey % 5) AS project, 'Order ' || o_orderkey AS summary, 'Para one' || e'\\n\\n' || 'state ' || o_orderstatus AS description, o_orderstatus AS status, CASE WHEN o_orderstatus = 'P' THEN 'Unassigned' ELSE 'user' || o_custkey END AS assignee, o_orderpriority AS priority,
  CASE WHEN o_orderstatus = 'F' THEN 'S2' ELSE 'S1' END AS sprint, CASE WHEN o_orderstatus = 'O' THEN 0 ELSE 1 END AS comments, CASE WHEN o_orderstatus = 'O' THEN 'is blocked by ORD-' || (o_orderkey + 1) ELSE 'blocks ORD-' || (o_orderkey + 1) END AS link, 'https://t.example/browse/ORD-' || o_orderkey AS url FROM orders

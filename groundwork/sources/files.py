@@ -116,14 +116,28 @@ def merge_facts(stored: DataFrame, block: DataFrame, keys: list[str]) -> DataFra
 SKIP_DIR = r"(^|/)(\.git|node_modules|vendor|dist|build|target|__pycache__|\.venv|venv)/"
 
 
-def repository_files(files: DataFrame, repo: str, branch: str) -> DataFrame:
-    """Classify clone files (path, length[, content]) by kind, area and mime; oversize and empty ones go."""
+def _file_kind() -> Column:
     p = F.col("path")
-    kind = F.when(p.rlike(IMAGE_FILE), "image").when(p.rlike(CODE_FILE), "code").when(p.rlike(DOC_FILE), "doc").when(p.rlike(MANIFEST), "manifest").when(p.rlike(CONFIG_FILE), "config")
+    return F.when(p.rlike(IMAGE_FILE), "image").when(p.rlike(CODE_FILE), "code").when(p.rlike(DOC_FILE), "doc").when(p.rlike(MANIFEST), "manifest").when(p.rlike(CONFIG_FILE), "config")
+
+
+def _skip_reason() -> Column:
+    """Why a file of a clone is left out; null for files that are read."""
+    kind = _file_kind()
     cap = F.when(kind == "image", MAX_IMAGE).otherwise(MAX_FILE)
-    keep = kind.isNotNull() & ~p.rlike(SKIP_DIR) & (F.col("length") > 0) & (F.col("length") <= cap)
+    return F.when(F.col("path").rlike(SKIP_DIR), "folder").when(kind.isNull(), "kind").when(F.col("length") <= 0, "empty").when(F.col("length") > cap, "oversize")
+
+
+def repository_files(files: DataFrame, repo: str, branch: str) -> DataFrame:
+    """Classify clone files (path, length[, content]) by kind, area and mime; ``skipped_files`` lists the others."""
+    p, kind = F.col("path"), _file_kind()
     area = F.when((kind == "doc") | F.lower(p).startswith("docs/"), "Architecture").otherwise("Code")
     mime = F.when(kind == "image", mime_of(p)).when(kind == "code", "text/x-code").when(F.lower(p).endswith(".md"), "text/markdown").otherwise("text/plain")
-    return files.where(keep).select(
+    return files.where(_skip_reason().isNull()).select(
         *files.columns, kind.alias("kind"), area.alias("area"), mime.alias("mime"), F.concat(F.lit(f"github://{repo}/"), p).alias("uri"), F.concat(F.lit(f"https://github.com/{repo}/blob/{branch}/"), p).alias("citation_url"),
     )
+
+
+def skipped_files(files: DataFrame) -> DataFrame:
+    """Clone files that are left out, with the reason: folder, kind, empty or oversize."""
+    return files.withColumn("reason", _skip_reason()).where("reason is not null").select("path", "length", "reason")

@@ -145,7 +145,7 @@ def activity_passages(pulls: DataFrame, commits: DataFrame, commit_cap: int = 20
     parts = F.concat(
         F.array(one("pull_request", head)), F.filter(F.array(one("pull_request_body", s("body"))), lambda x: x["passage"] != ""),
         F.transform("reviews", lambda r: one("review", F.concat(F.lit("Review by "), r["author"], F.lit(" ("), r["state"], F.lit("): "), F.coalesce(r["body"], F.lit(""))))),
-        F.filter(F.array(one("files", F.concat(F.lit("Files changed: "), F.array_join(F.slice("files", 1, 50), ", ")))), lambda x: x["passage"] != "Files changed: "),
+        F.filter(F.array(one("files", F.concat(F.lit("Files changed: "), F.array_join("files", ", ")))), lambda x: x["passage"] != "Files changed: "),
     )
     p = pulls.select("repo", F.concat(F.lit("github://"), "repo", F.lit("/pulls/"), s("number")).alias("uri"), F.posexplode(parts).alias("pos", "x")).select("repo", "uri", F.col("pos").cast("long").alias("pos"), "x.*")
     w = Window.partitionBy("repo").orderBy(F.desc("at"), "sha")
