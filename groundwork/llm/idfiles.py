@@ -15,6 +15,7 @@ few dozen shifts over whole arrays, and any run of ids can be read from the bloc
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder, stage
+from .common import find_words, shared_folder, span_hashes, stage, text_slices
 
 MAGIC = b"IDBITS01"
 HEAD = struct.Struct("<8sIIQQQ")
@@ -118,33 +119,83 @@ def open_ids(path: str) -> IdFile:
     return IdFile(fs.open_input_file(at))
 
 
+# Lower-case Latin letters with at most one mark of punctuation: one pre-token, and one more for the mark.
+_PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
+_PIECE = np.ones(256, bool)
+_PIECE[[32, 9, 10, 13]] = False
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, called once per new blank-separated piece.
 
     The tokenizer drops white space and no rule of it reaches across, so the ids of a text are those
     of its pieces. Pieces are cut at plain blanks and line breaks only; other white space
-    stays inside a piece and is left to the library. At most ``most`` pieces are remembered.
+    stays inside a piece and is left to the library. If the vocabulary marks ends of words, new plain words
+    are encoded together and told apart by these marks. Up to ``most`` pieces are remembered by
+    64-bit hashes in flat arrays (some 25 bytes each); two of them share a hash with a chance below 1e-6.
     """
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 4_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
         self.vocabulary = self.tool.get_vocab_size(with_added_tokens=True)
-        self.known: dict[str, bytes] = {"": b""}
+        self.ends = np.zeros(self.vocabulary, bool)
+        self.ends[[i for t, i in self.tool.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
+        # marks end words only where blanks and case do not matter
+        self.marked = self._ids("Aa B") == self._ids("aa") + self._ids("b") and bool(self.ends.any())
+        self.signs = {c: np.array(self._ids(c), np.uint32) for c in ("", *".,;:!?")}
         self.most = most
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        pieces = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.known) > self.most:
-            self.known = {"": b""}
-        new = list(set().union(*pieces) - self.known.keys())
-        for p, e in zip(new, self.tool.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+        self._forget()
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tool.encode(text, add_special_tokens=False).ids
+
+    def _forget(self) -> None:
+        self.keys, self.start, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint16 if self.vocabulary <= 1 << 16 else np.uint32)
+
+    def _words(self, words: list[str]) -> dict[str, np.ndarray] | None:
+        """Ids of plain words from one call; None if the marks do not tell them apart."""
+        ids = np.array(self._ids(" ".join(words)), np.uint32)
+        cut = np.flatnonzero(self.ends[ids]) + 1
+        if len(cut) != len(words) or cut[-1] != len(ids):
+            return None
+        at = cut.tolist()
+        return {w: ids[i:j] for w, i, j in zip(words, [0, *at], at, strict=False)}
+
+    def ids_of(self, pieces: list[str]) -> list[np.ndarray]:
+        plain = [_PLAIN.fullmatch(p.lower()) if self.marked else None for p in pieces]
+        words = list({m[1] for m in plain if m})
+        known = (self._words(words) if words else {}) or {}
+        rest = [p for p, m in zip(pieces, plain, strict=True) if not m or m[1] not in known]
+        known |= {p: np.array(e.ids, np.uint32) for p, e in zip(rest, self.tool.encode_batch_fast(rest, add_special_tokens=False), strict=True)}
+        return [known[p] if p in known else np.concatenate([known[m[1]], self.signs[m[2]]]) if m[2] else known[m[1]] for p, m in zip(pieces, plain, strict=True)]
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts of a slice one after the other, and how many each text has."""
+        starts, ends, first = find_words(_PIECE, data, off)
+        hashes, at, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.keys) > self.most:
+            self._forget()
+        place = np.searchsorted(self.keys, hashes)
+        new = np.ones(len(hashes), bool)
+        inside = place < len(self.keys)
+        new[inside] = self.keys[place[inside]] != hashes[inside]
+        if new.any():
+            text = data.tobytes()
+            found = self.ids_of([text[i:j].decode("utf-8", "surrogatepass") for i, j in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            self.keys = np.insert(self.keys, place[new], hashes[new])
+            self.start = np.insert(self.start, place[new], len(self.flat) + np.cumsum(n) - n)
+            self.count = np.insert(self.count, place[new], n)
+            self.flat = np.concatenate([self.flat, *found]).astype(self.flat.dtype)
+            place = np.searchsorted(self.keys, hashes)
+        n, s = self.count[place][inverse], self.start[place][inverse]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = self.flat[np.repeat(s - upto[:-1], n) + np.arange(upto[-1])].astype("<u4")
+        return ids, np.diff(upto[first])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -157,7 +208,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 1, slice_chars: int = 1 << 20) -> DataFrame:
+def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 1, slice_bytes: int = 1 << 21) -> DataFrame:
     """Write the ids of all texts to ``folder`` in ascending doc_id order; returns the files' list.
 
     Output, one row per file: part, seq, file, n_docs, n_ids, start (ids in all files before). Null
@@ -169,18 +220,18 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 1, slice_ch
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path)
         bits = width(max(tool.vocabulary, end_id + 1))
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         keys: list[int | None] = []
         lengths: list[int] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         seq = total = 0
 
         def close() -> pa.RecordBatch:
             name = f"part-{part:06d}-{seq:06d}-{attempt}.ids"
-            ids = np.frombuffer(b"".join(held), "<u4")
+            ids = np.concatenate(held)
             with fs.open_output_stream(f"{root}/{name}") as out:
                 out.write(file_bytes(keys, np.array(lengths, np.int64), ids, bits))
             row = [[part], [seq], [f"{folder}/{name}"], [len(keys)], [len(ids)]]
@@ -188,24 +239,19 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 1, slice_ch
             return pa.RecordBatch.from_arrays([pa.array(x) for x in row], ["part", "seq", "file", "n_docs", "n_ids"])
 
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            ids = b.column("doc_id").to_pylist()
-            at = 0
-            while at < len(texts):
-                upto, size = at, 0
-                while upto < len(texts) and (upto == at or size + len(texts[upto]) <= slice_chars):
-                    size += len(texts[upto])
-                    upto += 1
-                for key, packed in zip(ids[at:upto], tool.encode(texts[at:upto]), strict=True):
-                    n = len(packed) // 4 + 1
+            names = b.column("doc_id").to_pylist()
+            for i, _, data, off in text_slices(b.column("text"), slice_bytes):
+                ids, counts = tool.encode(data, off)
+                upto = np.cumsum(counts).tolist()
+                for k, (lo, hi) in enumerate(zip([0, *upto], upto, strict=False)):
+                    n = hi - lo + 1
                     if keys and (total + n > FILE_IDS or len(keys) >= FILE_DOCS):
                         yield close()
                         seq, total = seq + 1, 0
-                    keys.append(key)
+                    keys.append(names[i + k])
                     lengths.append(n)
-                    held += (packed, end)
+                    held += (ids[lo:hi], end)
                     total += n
-                at = upto
         if keys:
             yield close()
 
