@@ -74,7 +74,7 @@ def train(samples: Sequence[tuple[int, np.ndarray, np.ndarray]], epochs: int = E
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (1 << BUCKET_BITS, DIM)).astype(np.float32)
     layer, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
-    bagged = [(y, ids.astype(np.int64), (n / max(1, n.sum())).astype(np.float32)) for y, ids, n in samples]
+    bagged = [(y, ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)) for y, ids, n in samples]
     if bagged:
         share = np.clip(sum(y for y, *_ in bagged) / len(bagged), 0.01, 0.99)
         bias[:] = np.log([1 - share, share])
