@@ -10,8 +10,10 @@ from .common import key_of, stage
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PCT = 30
-#: Groups with fewer documents than this lean on their language, and languages on the whole corpus.
+#: Groups with fewer documents than this lean on their language, and languages on the whole corpus, but for OWN_LEVEL.
 MIN_DOCS = 200
+#: What is ordinary here differs by language: a small language is judged by its own figures only, with a reach that widens as its documents get fewer.
+OWN_LEVEL = ("word_length",)
 #: How many spreads (the distance of the quartiles, or the metric's least spread if larger) from the median a value may lie.
 SPREADS = 6
 #: metric -> (least spread, whether low values are judged too); metrics are whole numbers.
@@ -112,10 +114,16 @@ def bounds(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return q.groupBy(*keys).agg(F.max("_docs").alias("_docs"), *cols)
 
 
+def _wider(docs: Column) -> Column:
+    """Factor of the reach for so few documents: about two standard errors of median and quartiles, 1 at MIN_DOCS."""
+    return F.greatest(F.lit(1.0), 1 + 3 * (1 / F.sqrt(docs) - 1 / F.sqrt(F.lit(MIN_DOCS))))
+
+
 def thresholds(measured: DataFrame) -> DataFrame:
     """Bounds for each (_lang, _source), taken from the narrowest group with MIN_DOCS documents.
 
-    Documents that fail the base rules don't count. The corpus as a whole is used whatever its size.
+    Documents that fail the base rules don't count. The corpus as a whole is used whatever its size,
+    but never for the metrics of OWN_LEVEL: a language below MIN_DOCS is held against its own median there.
     """
     s = stage(sketch(measured.where(~F.col("base_failed"))), "quality-sketch")
     names = [f"_hi_{m}" for m in METRICS] + [f"_lo_{m}" for m, (_, low) in METRICS.items() if low]
@@ -123,7 +131,15 @@ def thresholds(measured: DataFrame) -> DataFrame:
     lang = bounds(s, ["_lang"]).select("_lang", F.col("_docs").alias("_docs_l"), *[F.col(c).alias(f"{c}_l") for c in names])
     whole = bounds(s.withColumn("_one", F.lit(1)), ["_one"]).select("_one", *[F.col(c).alias(f"{c}_c") for c in names])
     t = own.join(lang, "_lang").withColumn("_one", F.lit(1)).join(whole, "_one")
-    pick = lambda c: F.when(F.col("_docs") >= MIN_DOCS, F.col(c)).when(F.col("_docs_l") >= MIN_DOCS, F.col(f"{c}_l")).otherwise(F.col(f"{c}_c"))
+
+    def small(c: str) -> Column:
+        m = c[4:]
+        if m not in OWN_LEVEL:
+            return F.col(f"{c}_c")
+        middle = (F.col(f"_hi_{m}_l") + F.col(f"_lo_{m}_l")) / 2
+        return middle + (F.col(f"{c}_l") - middle) * _wider(F.col("_docs_l"))
+
+    pick = lambda c: F.when(F.col("_docs") >= MIN_DOCS, F.col(c)).when(F.col("_docs_l") >= MIN_DOCS, F.col(f"{c}_l")).otherwise(small(c))
     return stage(t.select("_lang", "_source", *[pick(c).alias(c) for c in names]), "quality-bounds")
 
 

@@ -107,6 +107,19 @@ def test_quality_adapts_and_keeps_columns(spark, docs_of):
     assert quality.keep(d.limit(0)).count() == 0 and quality.assess(docs_of([])).count() == 0
 
 
+@pytest.mark.parametrize("n", [3, 60, 198, 199])
+def test_quality_keeps_clean_rare_languages(spark, docs_of, n):
+    rng = np.random.default_rng(2)
+    words = lambda lo, hi: ["".join(rng.choice(list("abcdefgh"), k)) for k in rng.integers(lo, hi, 500)]
+    short, long, junk = words(4, 7), words(12, 16), words(80, 90)
+    rows = [(i, " ".join(rng.choice(short, 60)), "en", "s") for i in range(600)]
+    rows += [(1000 + i, " ".join(rng.choice(long, 60)), "fi", "s") for i in range(n)]
+    rows += [(5000, " ".join(rng.choice(junk, 60)), "en", "s")] + [(5001, " ".join(rng.choice(junk, 60)), "fi", "s")] * (n > 3)
+    want = {i for i, *_ in rows if i < 5000}
+    assert {r.doc_id for r in quality.assess(docs_of(rows)).where("kept").collect()} == want
+    assert {r.doc_id for r in quality.keep(docs_of(rows)).collect()} == want
+
+
 # ---- sharding ----------------------------------------------------------------------------------
 
 def check_shards(placed, rows, shards=16):
