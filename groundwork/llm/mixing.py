@@ -47,17 +47,39 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their words come as near ``budget`` as can be.
 
-    Lengths first give their proportional share, rounded down; what then is missing is filled from
-    the longest on until at most TABLE words are missing, and these are fitted exactly
-    by a bounded knapsack over the documents left.
+    All lengths, rare ones too, give their share: running counts are rounded from the shortest to the longest
+    length, so that runs of neighbouring lengths are in proportion. The last words are
+    fitted by a bounded knapsack over the documents left. If its sums miss the budget, the
+    shares leave more words to it, up to TABLE, and the nearest fit is taken.
     """
     total = int((lengths * counts).sum())
     if budget <= 0 or total == 0:
         return np.zeros_like(counts)
     if budget >= total:
         return counts.copy()
+    best, miss, room = np.zeros_like(counts), budget, 0
+    while True:
+        take = _fit_last(lengths, counts, _shares(lengths, counts, (budget - room) / total), budget)
+        off = abs(int((take * lengths).sum()) - budget)
+        if off < miss:
+            best, miss = take, off
+        if miss == 0 or room >= min(TABLE, budget):
+            return best
+        room = min(TABLE, budget, max(4 * room, int(lengths.max())))
+
+
+def _shares(lengths: np.ndarray, counts: np.ndarray, share: float) -> np.ndarray:
+    """``share`` of the documents in the order of their lengths: rounded running counts, so off by less than one in any run."""
+    order = np.argsort(lengths, kind="stable")
     # the share of a count may overflow 64 bits in whole numbers, so floats, rounded down and bounded
-    take = np.minimum(counts, np.floor(counts * (budget / total)).astype(np.int64))
+    upto = np.floor(np.cumsum(counts[order]) * share + 0.5).astype(np.int64)
+    take = np.zeros_like(counts)
+    take[order] = np.clip(np.diff(upto, prepend=0), 0, counts[order])
+    return take
+
+
+def _fit_last(lengths: np.ndarray, counts: np.ndarray, take: np.ndarray, budget: int) -> np.ndarray:
+    """``take`` with the words fitted that it lacks, or has too many of."""
     rest = budget - int((lengths * take).sum())
     order = np.argsort(-lengths, kind="stable")
     for i in order:
@@ -77,13 +99,18 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
             rest -= more * int(lengths[i])
     if rest <= 0:
         return take
-    size = rest + 256  # a little beyond, as the nearest sum may lie above
     left = counts - take
+    if rest > 2 * TABLE:  # every document left is longer than the rest: the shortest of them or none
+        i = min(np.flatnonzero((lengths > 0) & (left > 0)), key=lambda i: lengths[i], default=None)
+        if i is not None and lengths[i] - rest < rest:
+            take[i] += 1
+        return take
+    size = 2 * rest  # the nearest sum may lie above, but none beyond this is nearer than taking nothing
     usable = np.flatnonzero((lengths > 0) & (lengths <= size) & (left > 0))
     item, used = np.full(size + 1, -1, np.int64), np.zeros(size + 1, np.int64)
     reached = np.zeros(size + 1, bool)
     reached[0] = True
-    for i in usable:
+    for i in usable[np.argsort(-lengths[usable], kind="stable")]:  # longest first: few documents, so the shares hardly change
         n, most = int(lengths[i]), int(left[i])
         rows = -(-(size + 1) // n)
         grid = np.zeros(rows * n, bool)

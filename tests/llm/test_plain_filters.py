@@ -213,6 +213,16 @@ def test_mixing_odd_rows(spark, docs_of):
     assert [r.taken for r in mixing.mix(docs_of([(1, None, "en", "a"), (2, " ", "en", "b")])).collect()] == [0, 0]
 
 
+def test_fit_of_long_documents_and_rare_lengths():
+    words = lambda lengths, counts, budget: int((mixing.fit(np.array(lengths), np.array(counts), budget) * np.array(lengths)).sum())
+    assert words([5000], [3], 9000) == 10_000 and words([5000], [3], 7000) == 5000
+    assert words([1_000_000], [1], 900_000) == 1_000_000 and words([1_000_000], [1], 400_000) == 0
+    lengths = np.arange(1, 4001)  # every length is rare
+    take = mixing.fit(lengths, np.ones(4000, np.int64), int(lengths.sum()) // 2)
+    assert int((take * lengths).sum()) == int(lengths.sum()) // 2
+    assert all(abs(take[k : k + 400].mean() - 0.5) < 0.05 for k in range(0, 4000, 400))
+
+
 def test_fit_is_exact_where_it_can_be():
     rng = np.random.default_rng(5)
     for _ in range(200):
@@ -236,4 +246,4 @@ def test_query_columns(spark, sf):
     }
     for name, cols in want.items():
         assert queries.QUERIES[name](spark, sf).columns == cols
-    assert isinstance(queries.QUERIES["op10_mixing"](spark, sf).limit(3).toPandas(), pd.DataFrame)
+    assert isinstance(queries.QUERIES["op10_mixing"](spark, sf).limit(3).toPandas(), pd.DataFrame)
\ No newline at end of file
