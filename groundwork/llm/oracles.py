@@ -75,4 +75,13 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN c USING (doc_id)
 """
 
-SQL = {"op3_decontamination": DECONTAMINATION, "op5_url_filters": URLS, "op6_sharding": SHARDS, "op8_quality_rules": QUALITY, "op9_minhash_dedup": DEDUP}
+LEXICAL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents), c AS (SELECT doc_id, len(w) AS n, w FROM d WHERE len(w) > 0),
+s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM c), it AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[a-z0-9\x{{80}}-\x{{10FFFF}}]+')) AS t FROM benchmark),
+tf AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS t FROM c) SEMI JOIN it USING (t) GROUP BY ALL), df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM df, s),
+sc AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score FROM it JOIN tf USING (t) JOIN w USING (t), s GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM sc WHERE score > 0 QUALIFY rank <= 10
+"""
+
+SQL = {"op3_decontamination": DECONTAMINATION, "op5_url_filters": URLS, "op6_sharding": SHARDS, "op8_quality_rules": QUALITY, "op9_minhash_dedup": DEDUP, "op13_lexical_search": LEXICAL}

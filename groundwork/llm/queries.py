@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontaminate, dedup, idfiles, languages, mixing, oracles, quality, sharding, tokens, urls
+from . import bpe, classifier, decontaminate, dedup, idfiles, languages, lexical, mixing, oracles, quality, sharding, tokens, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,11 +54,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_language_id, op3_decontamination, op4_quality_classifier, op5_url_filters,
         op6_sharding, op7_packed_ids, op8_quality_rules, op9_minhash_dedup, op10_mixing,
+        op11_byte_bpe, op13_lexical_search,
     )
 }
 SQL: dict[str, str] = oracles.SQL
