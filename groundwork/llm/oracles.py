@@ -84,4 +84,22 @@ sc AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (1
 SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM sc WHERE score > 0 QUALIFY rank <= 10
 """
 
-SQL = {"op3_decontamination": DECONTAMINATION, "op5_url_filters": URLS, "op6_sharding": SHARDS, "op8_quality_rules": QUALITY, "op9_minhash_dedup": DEDUP, "op13_lexical_search": LEXICAL}
+TRIE = r"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS r,
+  coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+tab AS (SELECT list_transform(range(256), lambda v: list_reduce([v, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t8),
+cs AS (SELECT c, xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode(c::VARCHAR)), '..'), lambda x: ('0x' || x)::BIGINT), lambda a, b: xor(a >> 8, t8[(xor(a, b) & 255) + 1]))) % 6 AS h
+  FROM (SELECT DISTINCT c FROM t), tab),
+turns AS (SELECT cs.c, 0 AS own, t.r, t.role, t.text FROM cs JOIN t ON t.c = cs.c - cs.c % 100 AND t.r <= cs.h UNION ALL SELECT cs.c, 1, t.r, t.role, t.text FROM cs JOIN t ON t.c = cs.c AND t.r > cs.h),
+pos AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, r) AS d, length(text) AS cp, md5(length(role)::VARCHAR || ':' || role || text) AS m FROM turns),
+p AS (SELECT c, d, cp, string_agg(m, '') OVER (PARTITION BY c ORDER BY d) AS k FROM pos UNION ALL SELECT c, 0, 0, '' FROM cs),
+n AS (SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, max(cp) AS cp FROM p GROUP BY ALL), l AS (SELECT c, max(d) AS len FROM p GROUP BY 1),
+e AS (SELECT k, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS ends FROM p JOIN l USING (c) WHERE d = len GROUP BY 1),
+kid AS (SELECT substr(k, 1, (d - 1) * 32) AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+under AS (SELECT DISTINCT a.k AS top, b.k AS k FROM p a JOIN p b ON a.c = b.c AND b.d >= a.d),
+s AS (SELECT top AS k, count(*) FILTER (kid.k IS NULL) AS n_leaves, sum((n_convs - 1) * cp)::BIGINT AS saved_tokens FROM under JOIN n USING (k) LEFT JOIN kid USING (k) GROUP BY 1)
+SELECT n.conv_id, n.d::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM n JOIN s USING (k) LEFT JOIN kid USING (k) LEFT JOIN e USING (k) LEFT JOIN n up ON up.d = n.d - 1 AND up.k = substr(n.k, 1, (n.d - 1) * 32)
+"""
+
+SQL = {"op3_decontamination": DECONTAMINATION, "op5_url_filters": URLS, "op6_sharding": SHARDS, "op8_quality_rules": QUALITY, "op9_minhash_dedup": DEDUP, "op12_prefix_trie": TRIE, "op13_lexical_search": LEXICAL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classifier, decontaminate, dedup, idfiles, languages, lexical, mixing, oracles, quality, sharding, tokens, urls
+from . import bpe, classifier, decontaminate, dedup, idfiles, languages, lexical, mixing, oracles, quality, sharding, tokens, tries, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -67,7 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_token_counts, op2_language_id, op3_decontamination, op4_quality_classifier, op5_url_filters,
         op6_sharding, op7_packed_ids, op8_quality_rules, op9_minhash_dedup, op10_mixing,
-        op11_byte_bpe, op13_lexical_search,
+        op11_byte_bpe, op12_prefix_trie, op13_lexical_search,
     )
 }
 SQL: dict[str, str] = oracles.SQL
