@@ -24,9 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import text_slices
 
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 SHORT = 64
-SLICE_BYTES = 1 << 23
 
 
 class RankQueue:
@@ -71,13 +70,22 @@ class RankQueue:
         return rank, position
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """The entries of a rank file: bytes and rank, which is also the id."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+
 def library_class(name: str) -> set[str]:
     """The characters that the library's pattern engine counts as ``name``."""
     engine = tiktoken.Encoding("class", pat_str=name, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
-    return set(bytes(engine.encode_ordinary("".join(_EVERY))).decode())
+    found = set()
+    for i in range(0, 0x110000, 0x800):  # the surrogates are no characters, and fill whole steps
+        if not 0xD800 <= i < 0xE000:
+            found.update(bytes(engine.encode_ordinary("".join(map(chr, range(i, i + 0x800))))).decode())
+    return found
 
 
-_EVERY = [*map(chr, range(0xD800)), *map(chr, range(0xE000, 0x110000))]
 #: What a character of a class beyond ASCII is split as; any other one is split as "!".
 STAND_INS = {r"\p{L}": (b"z", b"a-zA-Z"), r"\p{N}": (b"0", b"0-9"), r"\s": (b"\t", rb"\s")}
 
@@ -112,7 +120,7 @@ class Splitter:
 
 
 class Coder(dict):
-    """A rank file as an encoder, a cache from pre-token to ids, and as the bytes of every id.
+    """A rank file as an encoder, and a cache from pre-token to ids.
 
     What is remembered is bounded: beyond ``REMEMBERED`` pre-tokens all are forgotten, longer ones are
     never kept. The ids don't depend on it, nor on which pre-tokens are merged side by side.
@@ -120,11 +128,9 @@ class Coder(dict):
 
     def __init__(self, path: str, pattern: str) -> None:
         super().__init__()
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.bytes_of = {i: t for t, i in self.ranks.items()}
+        self.ranks = read_ranks(path)
         self.longest = max(map(len, self.ranks))
-        self.size = max(self.bytes_of) + 1
+        self.size = max(self.ranks.values()) + 1
         self.queue = RankQueue(self.size)
         self.splitter = Splitter(pattern)
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
@@ -293,7 +299,7 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN)
         tool = coder(path, pattern)
         for b in batches:
             texts = b.column("text")
-            for i, j, _, _ in text_slices(texts, SLICE_BYTES):
+            for i, j, _, _ in text_slices(texts):
                 parts = tool.encode([t or "" for t in texts.slice(i, j - i).to_pylist()])
                 ends = np.cumsum([0] + [len(p) // 4 for p in parts], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32)))
@@ -303,14 +309,14 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN)
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, ids array<int>")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, decoded) with the bytes that the ids stand for; null ids count as none.
 
     Bytes, since ids cut anywhere may end inside a character. An id that the file lacks is an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entry = coder(path, pattern).bytes_of.__getitem__
+        entry = {i: t for t, i in read_ranks(path).items()}.__getitem__
         for b in batches:
             ids = b.column("ids")
             for i in range(0, b.num_rows, 256):
@@ -324,6 +330,6 @@ def decode(encoded: DataFrame, path: str, pattern: str = public_tokenizers.PATTE
 
 def digests(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """doc_id, n_tokens, SHA-256 of the decimal ids joined by commas and of the decoded bytes."""
-    d = decode(encode(docs, path, pattern), path, pattern)
+    d = decode(encode(docs, path, pattern), path)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")
     return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
