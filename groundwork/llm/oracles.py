@@ -30,20 +30,27 @@ SELECT doc_id, (n + 1)::BIGINT AS size, crc::BIGINT AS text_crc32, 'rows' AS law
 _METRIC = {"word_length": "100 * word_chars // greatest(n_words, 1)", "symbols": "1000 * n_symbols // greatest(n_words, 1)", "dup_lines": "1000 * n_dup_lines // greatest(n_lines, 1)", "repeats": "1000 * n_repeat_words // greatest(n_words, 1)"}
 
 
-def _bounds(level: str, keys: str) -> str:
-    """Quartiles of every metric per level, from the bucket counts."""
+_QS = (*quality.QUARTILES, *quality.TAIL)
+
+
+def _quantiles(level: str, keys: str) -> str:
+    """Percentiles of every metric per level, from the bucket counts."""
     on = f"{keys}, " if keys else ""
     value = "CASE WHEN bucket < 1024 THEN bucket ELSE floor(1024 * pow(2e0, (bucket - 1024) / 64))::BIGINT END"
     run = f"OVER (PARTITION BY {on}metric ORDER BY bucket)"
+    picks = ", ".join(f"min(v) FILTER (100 * cum >= {q} * total)::BIGINT AS q{q}" for q in _QS)
     return f"""
-{level}_c AS (SELECT {on}metric, bucket, sum(n) AS n FROM sk GROUP BY ALL), {level}_r AS (SELECT {on}metric, {value} AS v, sum(n) {run} AS cum, sum(n) OVER (PARTITION BY {on}metric) AS total FROM {level}_c),
-{level} AS (SELECT {on}metric, max(total) AS docs, min(v) FILTER (100 * cum >= 25 * total) AS q1, min(v) FILTER (100 * cum >= 50 * total) AS q2, min(v) FILTER (100 * cum >= 75 * total) AS q3 FROM {level}_r GROUP BY ALL)"""
+{level}_c AS (SELECT {on}metric, bucket, sum(n)::BIGINT AS n FROM sk GROUP BY ALL), {level}_r AS (SELECT {on}metric, {value} AS v, sum(n) {run} AS cum, sum(n) OVER (PARTITION BY {on}metric) AS total FROM {level}_c),
+{level} AS (SELECT {on}metric, max(total)::BIGINT AS docs, {picks} FROM {level}_r GROUP BY ALL)"""
 
 
-_LEAST = " ".join(f"WHEN '{m}' THEN {least}" for m, (least, _) in quality.METRICS.items())
-_LOWS = ", ".join(f"'{m}'" for m, (_, low) in quality.METRICS.items() if low)
+_P = quality.PARENT_DOCS
+_DRAWN_L = ", ".join(f"CASE WHEN metric = 'word_length' THEN lg.q{q} ELSE (lg.docs * lg.q{q} + {_P} * al.q{q}) // (lg.docs + {_P}) END AS q{q}" for q in _QS)
+_DRAWN = ", ".join(f"(own.docs * own.q{q} + {_P} * lp.q{q}) // (own.docs + {_P}) AS q{q}" for q in _QS)
+_ABOVE = " ".join(f"WHEN '{m}' THEN {n}" for m, n in quality.ABOVE_TAIL.items())
+_GROUP = "CASE WHEN {0} IS NULL THEN '' ELSE '=' || {0} END"
 QUALITY = rf"""
-WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text, {_SPACED.format("text")} AS w, list_filter(string_split(coalesce(text, ''), e'\n'), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+WITH d AS (SELECT doc_id, {_GROUP.format("lang")} AS lang, {_GROUP.format("source")} AS source, coalesce(text, '') AS text, {_SPACED.format("text")} AS w, list_filter(string_split(coalesce(text, ''), e'\n'), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
 pos AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, w FROM d WHERE len(w) >= 8), win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM pos),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1), range(8) r(k) GROUP BY 1),
 m AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
@@ -51,11 +58,12 @@ m AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_st
 b AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PCT} * n_words AS base_failed FROM m),
 v AS (SELECT doc_id, lang, source, base_failed, unnest([{", ".join(f"{{'metric': '{k}', 'v': {e}}}" for k, e in _METRIC.items())}], recursive := true) FROM b),
 sk AS (SELECT lang, source, metric, CASE WHEN v < 1024 THEN v ELSE 1024 + floor(64 * log2(v / 1024))::BIGINT END AS bucket, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL),
-{_bounds("own", "lang, source")}, {_bounds("lg", "lang")}, {_bounds("al", "")},
-pick AS (SELECT own.lang, own.source, own.metric, unnest(CASE WHEN own.docs >= {quality.MIN_DOCS} THEN {{'a': own.q1, 'b': own.q2, 'c': own.q3}} WHEN lg.docs >= {quality.MIN_DOCS} THEN {{'a': lg.q1, 'b': lg.q2, 'c': lg.q3}} ELSE {{'a': al.q1, 'b': al.q2, 'c': al.q3}} END)
-  FROM own JOIN lg USING (lang, metric) JOIN al USING (metric)),
-lim AS (SELECT *, {quality.SPREADS} * greatest(c - a, CASE metric {_LEAST} END) AS reach FROM pick),
-ok AS (SELECT doc_id, bool_and(v <= b + reach AND (metric NOT IN ({_LOWS}) OR v >= b - reach)) AS inside FROM v JOIN lim USING (lang, source, metric) GROUP BY 1)
+{_quantiles("own", "lang, source")}, {_quantiles("lg", "lang")}, {_quantiles("al", "")},
+lp AS (SELECT lang, metric, lg.docs AS docs, {_DRAWN_L} FROM lg JOIN al USING (metric)),
+pick AS (SELECT own.lang, own.source, own.metric, lp.docs AS docs_l, {_DRAWN} FROM own JOIN lp USING (lang, metric)),
+lim AS (SELECT *, ({quality.SPREADS} * greatest(q75 - q25, {quality.LEAST_SPREAD}) * (docs_l + {quality.DOUBT_DOCS})) // docs_l AS reach FROM pick),
+ok AS (SELECT doc_id, bool_and(CASE WHEN metric = 'word_length' THEN v BETWEEN q50 - reach AND q50 + reach ELSE v <= CASE metric {_ABOVE} END + ({" + ".join(f"q{q}" for q in quality.TAIL)}) // {len(quality.TAIL)} END) AS inside
+  FROM v JOIN lim USING (lang, source, metric) GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(inside, FALSE) AS kept FROM b LEFT JOIN ok USING (doc_id)
 """
 

@@ -10,14 +10,16 @@ from .common import key_of, stage
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PCT = 30
-#: Groups with fewer documents than this lean on their language, and languages on the whole corpus, but for OWN_LEVEL.
-MIN_DOCS = 200
-#: What is ordinary here differs by language: a small language is judged by its own figures only, with a reach that widens as its documents get fewer.
-OWN_LEVEL = ("word_length",)
-#: How many spreads (the distance of the quartiles, or the metric's least spread if larger) from the median a value may lie.
-SPREADS = 6
-#: metric -> (least spread, whether low values are judged too); metrics are whole numbers.
-METRICS = {"word_length": (25, True), "symbols": (50, False), "dup_lines": (100, False), "repeats": (50, False)}
+#: What a group's parent (its language, or the corpus) counts for in the group's quantiles, in documents.
+PARENT_DOCS = 200
+#: Word length differs by language, so a language's own figures stand alone; its reach is widened as if by so many documents of doubt.
+DOUBT_DOCS = 50
+#: How many spreads (the distance of the quartiles, or the least spread if larger) a word length may lie from the median.
+SPREADS, LEAST_SPREAD = 6, 25
+#: The other metrics are zero in most documents, so their bounds come from the upper tail: this much above the mean of the TAIL percentiles.
+ABOVE_TAIL = {"symbols": 50, "dup_lines": 250, "repeats": 150}
+METRICS = ("word_length", *ABOVE_TAIL)
+QUARTILES, TAIL = (25, 50, 75), (80, 85, 90, 95)
 WHITE = r"[\x20\x09-\x0D]"
 
 
@@ -96,51 +98,40 @@ def sketch(measured: DataFrame) -> DataFrame:
     return rows.groupBy("_lang", "_source", "metric", bucket.cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def bounds(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """Per ``keys``: _docs, and for each metric the lowest and highest value kept."""
+def quantiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """Per ``keys`` and metric: docs and the percentiles q25 .. q95, from the bucket counts."""
     merged = sketches.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
     run = Window.partitionBy(*keys, "metric").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     cum = merged.withColumn("_cum", F.sum("n").over(run)).withColumn("_all", F.sum("n").over(Window.partitionBy(*keys, "metric")))
     value = F.when(F.col("bucket") < 1024, F.col("bucket")).otherwise(F.floor(1024 * F.pow(F.lit(2.0), (F.col("bucket") - 1024) / 64)))
-    at = lambda q: F.min(F.when(100 * F.col("_cum") >= q * F.col("_all"), value))
-    q = cum.groupBy(*keys, "metric").agg(F.max("_all").alias("_docs"), at(25).alias("q1"), at(50).alias("q2"), at(75).alias("q3"))
-    cols = []
-    for m, (least, low) in METRICS.items():
-        of = F.col("metric") == m
-        reach = SPREADS * F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
-        cols.append(F.max(F.when(of, F.col("q2") + reach)).alias(f"_hi_{m}"))
-        if low:
-            cols.append(F.max(F.when(of, F.col("q2") - reach)).alias(f"_lo_{m}"))
-    return q.groupBy(*keys).agg(F.max("_docs").alias("_docs"), *cols)
-
-
-def _wider(docs: Column) -> Column:
-    """Factor of the reach for so few documents: about two standard errors of median and quartiles, 1 at MIN_DOCS."""
-    return F.greatest(F.lit(1.0), 1 + 3 * (1 / F.sqrt(docs) - 1 / F.sqrt(F.lit(MIN_DOCS))))
+    at = lambda q: F.min(F.when(100 * F.col("_cum") >= q * F.col("_all"), value)).alias(f"q{q}")
+    return cum.groupBy(*keys, "metric").agg(F.max("_all").alias("docs"), *[at(q) for q in (*QUARTILES, *TAIL)])
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
-    """Bounds for each (_lang, _source), taken from the narrowest group with MIN_DOCS documents.
+    """Highest (and for word length lowest) value kept, per (_lang, _source) and metric.
 
-    Documents that fail the base rules don't count. The corpus as a whole is used whatever its size,
-    but never for the metrics of OWN_LEVEL: a language below MIN_DOCS is held against its own median there.
+    Documents that fail the base rules don't count. Every quantile of a group is drawn towards that
+    of its language, and that towards the corpus's, as if the parent's were PARENT_DOCS documents more; so a group of
+    any size has bounds of its own and one document more or less moves them a little. Word length knows no
+    corpus: a language stands alone there, with a reach that widens as its documents get fewer.
     """
     s = stage(sketch(measured.where(~F.col("base_failed"))), "quality-sketch")
-    names = [f"_hi_{m}" for m in METRICS] + [f"_lo_{m}" for m, (_, low) in METRICS.items() if low]
-    own = bounds(s, ["_lang", "_source"])
-    lang = bounds(s, ["_lang"]).select("_lang", F.col("_docs").alias("_docs_l"), *[F.col(c).alias(f"{c}_l") for c in names])
-    whole = bounds(s.withColumn("_one", F.lit(1)), ["_one"]).select("_one", *[F.col(c).alias(f"{c}_c") for c in names])
-    t = own.join(lang, "_lang").withColumn("_one", F.lit(1)).join(whole, "_one")
-
-    def small(c: str) -> Column:
-        m = c[4:]
-        if m not in OWN_LEVEL:
-            return F.col(f"{c}_c")
-        middle = (F.col(f"_hi_{m}_l") + F.col(f"_lo_{m}_l")) / 2
-        return middle + (F.col(f"{c}_l") - middle) * _wider(F.col("_docs_l"))
-
-    pick = lambda c: F.when(F.col("_docs") >= MIN_DOCS, F.col(c)).when(F.col("_docs_l") >= MIN_DOCS, F.col(f"{c}_l")).otherwise(small(c))
-    return stage(t.select("_lang", "_source", *[pick(c).alias(c) for c in names]), "quality-bounds")
+    named = lambda df, tag: df.withColumnsRenamed({c: f"{c}_{tag}" for c in df.columns if c[0] not in "_m"})
+    own = named(quantiles(s, ["_lang", "_source"]), "o")
+    t = own.join(named(quantiles(s, ["_lang"]), "l"), ["_lang", "metric"]).join(named(quantiles(s, []), "c"), "metric")
+    drawn = lambda n, q, parent: F.expr(f"({n} * {q} + {PARENT_DOCS} * {parent}) div ({n} + {PARENT_DOCS})")
+    for q in TAIL:
+        t = t.withColumn(f"q{q}_l", F.when(F.col("metric") == "word_length", F.col(f"q{q}_l")).otherwise(drawn("docs_l", f"q{q}_l", f"q{q}_c")))
+    for q in (*QUARTILES, *TAIL):
+        t = t.withColumn(f"q{q}", drawn("docs_o", f"q{q}_o", f"q{q}_l"))
+    reach = F.expr(f"({SPREADS} * greatest(q75 - q25, {LEAST_SPREAD}) * (docs_l + {DOUBT_DOCS})) div docs_l")
+    above = F.expr(" ".join(["case metric", *[f"when '{m}' then {n}" for m, n in ABOVE_TAIL.items()], "end"]))
+    tail = F.expr(f"({' + '.join(f'q{q}' for q in TAIL)}) div {len(TAIL)}")
+    long = F.col("metric") == "word_length"
+    t = t.withColumn("hi", F.when(long, F.col("q50") + reach).otherwise(above + tail)).withColumn("lo", F.when(long, F.col("q50") - reach))
+    of = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
+    return stage(t.groupBy("_lang", "_source").agg(*[of(m, "hi").alias(f"_hi_{m}") for m in METRICS], of("word_length", "lo").alias("_lo_word_length")), "quality-bounds")
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -151,10 +142,9 @@ def measure(docs: DataFrame) -> DataFrame:
 def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     """Add ``kept``: base rules passed and every metric inside the bounds of the row's group."""
     inside = F.lit(True)
-    for m, (_, low) in METRICS.items():
+    for m in METRICS:
         inside = inside & (F.col(f"_m_{m}") <= F.col(f"_hi_{m}"))
-        if low:
-            inside = inside & (F.col(f"_m_{m}") >= F.col(f"_lo_{m}"))
+    inside = inside & (F.col("_m_word_length") >= F.col("_lo_word_length"))
     # a group without bounds has only rows that failed the base rules
     return measured.join(limits, ["_lang", "_source"], "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
 
@@ -178,10 +168,10 @@ def assess(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs`` and no others.
 
-    The figures are computed a second time beside the text instead of joining them to it, so no
-    text is shuffled; the bounds are a small table of known size.
+    Nulls, empty texts, repeated rows and empty tables: as in ``assess``; columns may have any names. The rows are
+    staged with their figures, so a text is read once and none is shuffled; the bounds are one row a group.
     """
     cols = docs.columns
-    own = docs.select(F.struct(*docs.columns).alias("_row"), "text", "lang", "source", F.lit(None).alias("doc_id"))
-    limits = thresholds(stage(measure(docs.select("text", "lang", "source")).drop("text", "lang", "source", "_n_lines"), "quality-figures"))
-    return judge(measure(own), limits).where("kept").select(*[F.col("_row").getField(c).alias(c) for c in cols])
+    own = docs.select(F.struct(*cols).alias("_row"), "text", "lang", "source", F.lit(None).cast("long").alias("doc_id"))
+    m = stage(measure(own).drop("text", "lang", "source", "doc_id", "_n_lines", *OUT), "quality-rows")
+    return judge(m, thresholds(m)).where("kept").select(*[F.col("_row").getField(c).alias(c) for c in cols])

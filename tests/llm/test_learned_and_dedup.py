@@ -186,11 +186,12 @@ def test_pipeline_stages_match_brute_force(spark, sf, docs_of):
     ids = {k: Counter(r.doc_id for r in v.select("doc_id").collect()) for k, v in after.items()}
     rows = {r.doc_id: r for r in docs.collect()}
 
-    from .test_plain_filters import plain_figures, plain_targets
+    from .test_plain_filters import plain_figures, plain_kept, plain_targets
     from .test_tokens_and_files import plain
 
     base_ok = {i for i, r in rows.items() if (f := plain_figures(r.text))[0] >= 20 and 100 * f[4] <= 30 * f[0]}
     one = set(ids["quality_rules"])
+    assert one == plain_kept([(r.doc_id, r.text, r.lang, r.source) for r in rows.values()])
     assert one <= base_ok and len(one) > 0.8 * len(base_ok)
     comp = plain_components([(i, rows[i].text) for i in one])
     two = {i for i in one if comp[i] == i}

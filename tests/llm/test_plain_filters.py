@@ -120,6 +120,91 @@ def test_quality_keeps_clean_rare_languages(spark, docs_of, n):
     assert {r.doc_id for r in quality.keep(docs_of(rows)).collect()} == want
 
 
+def plain_kept(rows):
+    """doc_ids that the base rules and the bounds of language and source keep; rows: (doc_id, text, lang, source)."""
+    def bucket(v):
+        b = v if v < 1024 else 1024 + int(64 * np.log2(v / 1024))
+        return b if b < 1024 else int(1024 * 2.0 ** ((b - 1024) / 64))
+
+    measured = []
+    for i, text, lang, source in rows:
+        words, chars, symbols, dups, repeats = plain_figures(text)
+        n_lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (text or "").split("\n"))
+        if words >= 20 and 100 * repeats <= 30 * words:
+            measured.append((i, lang, source, {"word_length": 100 * chars // words, "symbols": 1000 * symbols // words, "dup_lines": 1000 * dups // max(n_lines, 1), "repeats": 1000 * repeats // words}))
+    held = defaultdict(list)
+    for _, lang, source, m in measured:
+        for name, v in m.items():
+            for key in ((lang, source), (lang,), ()):
+                held[key, name].append(v)
+    held = {k: sorted(v) for k, v in held.items()}
+    q = lambda key, name, p: bucket(held[key, name][-(-p * len(held[key, name]) // 100) - 1])
+    drawn = lambda n, own, parent: (n * own + 200 * parent) // (n + 200)
+
+    def inside(lang, source, name, v):
+        own, of_lang = len(held[(lang, source), name]), len(held[(lang,), name])
+        if name == "word_length":
+            a, b, c = (drawn(own, q((lang, source), name, p), q((lang,), name, p)) for p in (25, 50, 75))
+            reach = 6 * max(c - a, 25) * (of_lang + 50) // of_lang
+            return b - reach <= v <= b + reach
+        above = {"symbols": 50, "dup_lines": 250, "repeats": 150}[name]
+        return v <= above + sum(drawn(own, q((lang, source), name, p), drawn(of_lang, q((lang,), name, p), q((), name, p))) for p in (80, 85, 90, 95)) // 4
+
+    return {i for i, lang, source, m in measured if all(inside(lang, source, k, v) for k, v in m.items())}
+
+
+def mixed_quality_rows():
+    """Small languages, null and empty names, and rows that exactly one metric rejects."""
+    rng = np.random.default_rng(3)
+    word = lambda lo, hi: "".join(rng.choice(list("abcdefghijk"), rng.integers(lo, hi)))
+    text = lambda n=60, lo=4, hi=7: " ".join(word(lo, hi) for _ in range(n))
+    groups = [("en", "a"), ("en", "b"), ("de", "a"), (None, "a"), ("", "a"), ("fi", None), ("fi", "")]
+    rows = [(k, text(lo=12 if lang == "fi" else 4, hi=16 if lang == "fi" else 7), lang, source) for k, (lang, source) in enumerate(groups * 30)]
+    eight, line = text(8), text(7)
+    only = {"word_length": text(lo=30, hi=40), "symbols": text(40) + " # # # # # #", "dup_lines": "\n".join([line, line, line, text(300), text(9), text(9)]), "repeats": f"{text(20)} {eight} {text(20)} {eight} {text(8)}"}
+    return rows + [(9000 + k, t, "en", "a") for k, t in enumerate(only.values())], only
+
+
+def test_every_metric_rejects_and_bounds_match_brute_force(spark, docs_of, tmp_path):
+    import duckdb
+
+    rows, only = mixed_quality_rows()
+    got = {r.doc_id for r in quality.assess(docs_of(rows)).where("kept").collect()}
+    assert got == plain_kept(rows) and not got & set(range(9000, 9004)) and len(got) == 210
+    assert {r.doc_id for r in quality.keep(docs_of(rows)).collect()} == got
+    measured = quality.measure(docs_of(rows))
+    limits = quality.thresholds(measured)
+    out = {}
+    for r in measured.join(limits, ["_lang", "_source"]).where("doc_id >= 9000").collect():
+        out[list(only)[r.doc_id - 9000]] = [m for m in quality.METRICS if r[f"_m_{m}"] > r[f"_hi_{m}"] or m == "word_length" and r._m_word_length < r._lo_word_length]
+        assert not r.base_failed
+    assert out == {m: [m] for m in quality.METRICS}
+    docs_of(rows).write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    cur = con.execute(queries.SQL["op8_quality_rules"])
+    at = [c[0] for c in cur.description].index("kept")
+    assert {r[0] for r in cur.fetchall() if r[at]} == got
+
+
+def test_bounds_differ_between_groups_and_never_jump(spark, docs_of):
+    limits = quality.thresholds(quality.measure(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))).collect()
+    assert len(limits) == 80
+    for m in quality.METRICS:
+        assert len({r[f"_hi_{m}"] for r in limits}) > 5, m
+    assert all(r._hi_repeats < 300 for r in limits)  # the base rule's cutoff
+    rng = np.random.default_rng(4)
+    rows = [(k, " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(40)) + " #" * int(k % 7 == 0) * 3, ("en", "fi")[k % 3 == 0], "s") for k in range(900)]
+    few = [r for r in rows if r[2] == "en"][:300]
+    before = None
+    for n in (1, 2, 100, 198, 199, 200, 201, 250):
+        fi = [r for r in rows if r[2] == "fi"][:n]
+        now = next(r for r in quality.thresholds(quality.measure(docs_of(few + fi))).collect() if r._lang == "=fi")
+        if before is not None and n in (199, 200, 201):
+            assert all(abs(now[c] - before[c]) <= 5 for c in now.__fields__ if c[:3] in ("_hi", "_lo"))
+        before = now
+
+
 # ---- sharding ----------------------------------------------------------------------------------
 
 def check_shards(placed, rows, shards=16):
