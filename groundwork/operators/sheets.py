@@ -12,13 +12,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Number forms, words a table query must not hold; calls that leave the engine.
+# Number forms; calls that leave the engine; the kinds of plan node that a query is made of.
 INT = r"^[+-]?\d{1,18}$"
 NUMBER = r"^[+-]?(\d[\d,]*\.?\d*|\.\d+)([eE][+-]?\d+)?%?$"
-FORBIDDEN = (
-    "ATTACH DETACH PRAGMA INSERT UPDATE DELETE DROP ALTER CREATE REPLACE VACUUM REINDEX TRUNCATE MERGE GRANT SET ADD CACHE REFRESH LOAD"
-).split()
 CALLS_OUT = ("REFLECT", "TRY_REFLECT", "JAVA_METHOD")
+QUERY_NODES = (
+    "UnresolvedWith SubqueryAlias UnresolvedSubqueryColumnAliases UnresolvedRelation OneRowRelation UnresolvedInlineTable LocalRelation Project Filter UnresolvedHaving "
+    "Aggregate Window WithWindowDefinition Sort Distinct GlobalLimit LocalLimit Offset Join LateralJoin Generate Union Except Intersect Pivot Unpivot UnresolvedPivot UnresolvedUnpivot Sample"
+).split()
 
 
 def cells(rows: DataFrame, sheet: str, row: str, values: str) -> DataFrame:
@@ -128,10 +129,10 @@ _LITERALS = re.compile(r"'[^']*'|\"[^\"]*\"|`[^`]*`|(?P<mark>--|/\*|['\"`])")
 
 
 def check_select(sql: str) -> str:
-    """The statement when it is one query; raises TableQueryError otherwise.
+    """The statement without its closing semicolon; raises TableQueryError unless it begins as one query.
 
-    Looks at the words outside of literals. Comments, backslashes and unclosed literals are refused,
-    so that this reading and Spark's cannot differ. Which tables are read is checked on the plan.
+    Comments, backslashes and unclosed literals are refused, so that this reading and Spark's cannot
+    differ. What the statement does and which tables it reads is checked on its plan.
     """
     if not isinstance(sql, str) or not sql.strip():
         raise TableQueryError("empty SQL")
@@ -144,15 +145,32 @@ def check_select(sql: str) -> str:
     if not words or words[0].upper() not in ("SELECT", "WITH"):
         raise TableQueryError("only a single SELECT statement is allowed")
     for w in words:
-        if w.upper() in FORBIDDEN and not re.search(rf"\b{w}\s*\(", bare):
-            raise TableQueryError(f"'{w}' is not allowed in a table query")
         if w.upper() in CALLS_OUT:
             raise TableQueryError(f"'{w}' is not allowed in a table query")
-    if re.search(r"(?is)\b(?:TRANSFORM|MAP|REDUCE)\b.*\bUSING\s+''", bare):
-        raise TableQueryError("scripts are not allowed in a table query")
     return sql.strip().rstrip(";")
 
 
+def _only_query_nodes(df: DataFrame, sql: str) -> None:
+    """Parse ``sql`` without running it; raise unless every node of the parsed plan, at any depth, only reads.
+
+    Spark runs a command as soon as its statement is given to ``sql``, so this comes before. Kinds of node
+    that are not listed are refused: inserts, commands, scripts, table functions, hints.
+    """
+    try:
+        plan = df.sparkSession._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except Exception as e:
+        raise TableQueryError(str(e)) from e
+    todo = [plan]
+    while todo:
+        p = todo.pop()
+        kind = p.getClass().getSimpleName().rstrip("$")
+        if kind not in QUERY_NODES:
+            raise TableQueryError(f"{kind} is not allowed in a table query")
+        for group in (p.children(), p.innerChildren(), p.subqueries()):
+            for x in (group.apply(i) for i in range(group.size())):
+                todo.append(x)
+
+
 def _relations(plan) -> list:  # noqa: ANN001  a plan of the JVM
     """Leaf relations of an analysed plan and of the subqueries in its expressions."""
     out, todo = [], [plan]
@@ -179,12 +197,15 @@ def table_query(df: DataFrame, sql: str) -> DataFrame:
     """Run a checked SELECT over ``df`` as table ``t``. Only ``t`` and the statement's own names can be read.
 
     ``t`` is a common table expression of the statement itself, so no view of the session is set or
-    replaced; any other relation in the analysed plan is refused before anything runs.
+    replaced; a statement that does anything but read, at any depth, is refused after parsing, and any
+    other relation in the analysed plan before anything runs.
     """
-    stmt = check_select(sql).replace("{", "{{").replace("}", "}}")
+    stmt = check_select(sql)
     rest = re.sub(r"(?i)^WITH\b(?!\s*RECURSIVE\b)", "", stmt)
+    whole = f"{', ' if rest != stmt else ' '}{rest}"
+    _only_query_nodes(df, f"WITH t AS (SELECT * FROM rows){whole}")
     try:
-        out = df.sparkSession.sql(f"WITH t AS (SELECT * FROM {{rows}}){', ' if rest != stmt else ' '}{rest}", rows=df)
+        out = df.sparkSession.sql("WITH t AS (SELECT * FROM {rows})" + whole.replace("{", "{{").replace("}", "}}"), rows=df)
     except AnalysisException as e:
         raise TableQueryError(str(e)) from e
     return _only_reads(out, df)

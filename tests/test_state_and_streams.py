@@ -2,6 +2,8 @@
 
 import io
 import json
+import os
+import tempfile
 import zipfile
 
 import pytest
@@ -161,6 +163,18 @@ def test_typed_sheet_golden_values(spark):
         with pytest.raises(sheets.TableQueryError):
             sheets.table_query(d, text)
     assert spark.table("t").first().x == "mine"
+    out = tempfile.mkdtemp()
+    writes = (
+        f"WITH x AS (SELECT * FROM t AS INSERT (a)) INSERT OVERWRITE DIRECTORY '{out}/d' USING parquet SELECT a FROM x", "WITH x AS (SELECT 1 AS a) INSERT INTO t SELECT a FROM x",
+        f"WITH x AS (SELECT key FROM t) FROM x INSERT OVERWRITE DIRECTORY '{out}/e' USING parquet SELECT key", "WITH x AS (SELECT 1) CREATE TABLE made AS SELECT * FROM x", "SELECT * FROM range(9)",
+        "WITH x AS (SELECT key FROM t) SELECT TRANSFORM(key) USING 'touch' FROM x", "WITH x AS (SELECT 1) SET spark.app.name=changed", "SELECT * FROM t WHERE key IN (SELECT id FROM range(3))",
+    )
+    for text in writes:
+        with pytest.raises(sheets.TableQueryError):
+            sheets.table_query(d, text)
+    assert os.listdir(out) == [] and not spark.catalog.tableExists("made") and spark.conf.get("spark.app.name") != "changed"
+    assert q("SELECT priority, MAX(story_points) AS m, COUNT(*) OVER () AS n FROM t GROUP BY priority HAVING MAX(story_points) > 5 ORDER BY m LIMIT 1")[0].m == 8
+    assert len(q("SELECT key AS insert_key FROM t UNION ALL (SELECT priority FROM t WHERE EXISTS (SELECT 1 FROM t AS u WHERE u.key = t.key)) EXCEPT SELECT 'low'")) == 6
     assert q("SELECT concat('{', key, '}') AS k FROM t WHERE key IN (SELECT key FROM t WHERE story_points > 8)")[0].k == "{D-4}"
     rows, cut = sheets.table_page(d, "SELECT * FROM t ORDER BY key", 3)
     assert rows.count() == 3 and cut and not sheets.table_page(d, "SELECT * FROM t", 4)[1]
