@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("retrieval", "answering", "ingestion", "graph", "telemetry", "quality", "conversion", "records", "facts", "code", "events", "sinks")
+MODULES = ("retrieval", "searching", "answering", "ingestion", "graph", "telemetry", "quality", "conversion", "records", "facts", "code", "events", "sinks")
 
 
 def load_all() -> None:

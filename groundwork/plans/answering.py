@@ -15,7 +15,7 @@ from ..registry import query
 from ..session import cut_lineage, table, wide_table
 from .common import documents, questions
 from .conversion import _QSQL, _SENT, question_log
-from .retrieval import _BM25, _SUBJ, _bm25, subjects
+from .retrieval import _BM25, _SUBJ, bm25, subjects
 
 _STOPS = "('the','a','an','of','to','in','on','for','and','or','is','are','what','which','how','who','when','where','does','do','did','was','were','be','with','that','this','it','as','by','at','from','our','we','you','i','can','will','should','must','may')"
 _CT = "list_filter(list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+')), lambda t: t NOT IN " + _STOPS + ")"
@@ -26,7 +26,7 @@ sel AS (SELECT s.query_id, s.doc_id, s.rn AS pick, s.score, round(1e0 / (60 + s.
 
 def selected(spark: SparkSession, sf: str) -> DataFrame:
     """First five lexical hits per question with their text."""
-    hits = cut_lineage(_bm25(spark, sf, 5))
+    hits = cut_lineage(bm25(spark, sf, 5))
     d = documents(spark, sf).select("passage_id", "document_id", "text", "source")
     return hits.join(d, "passage_id").select(
         "query_id", "passage_id", "document_id", F.col("rank").alias("pick"), F.round(1.0 / (60 + F.col("rank")), 12).alias("fused"), F.round(F.least(F.lit(1.0), F.col("score") / 50.0), 6).alias("vscore"), "text", "source",
@@ -109,7 +109,7 @@ SELECT se.query_id, se.doc_id AS passage_id, (rn + CASE WHEN NOT has AND sw.doc_
 UNION ALL SELECT query_id, sw.doc_id, 1 FROM sw JOIN has USING (query_id) WHERE NOT has
 """)
 def ensure_subject(spark: SparkSession, sf: str) -> DataFrame:
-    c = cut_lineage(_bm25(spark, sf)).select("query_id", "passage_id", F.col("passage_id").alias("document_id"), F.col("rank").alias("pos"))
+    c = cut_lineage(bm25(spark, sf)).select("query_id", "passage_id", F.col("passage_id").alias("document_id"), F.col("rank").alias("pos"))
     sel = c.where("pos <= 3").withColumnRenamed("pos", "pick")
     return fusion.ensure_subject(sel, c, subjects(spark, sf)).select("query_id", "passage_id", F.col("pick").cast("long").alias("pick"))
 
@@ -196,7 +196,7 @@ o AS (SELECT query_id, k AS hit_key, max(score) AS score FROM u GROUP BY ALL)
 SELECT query_id, hit_key, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hit_key)::BIGINT AS rank FROM o QUALIFY rank <= 6
 """)
 def discover_merge(spark: SparkSession, sf: str) -> DataFrame:
-    b = cut_lineage(_bm25(spark, sf))
+    b = cut_lineage(bm25(spark, sf))
     one = b.select("query_id", F.lit("").alias("url"), "passage_id", F.lit(None).cast("string").alias("path"), "score", F.lit("lexical").alias("searcher"))
     src = b.join(documents(spark, sf).select("passage_id", "source"), "passage_id").select("query_id", F.col("source").alias("url"), F.lit(None).cast("long").alias("passage_id"), F.lit(None).cast("string").alias("path"), (F.col("score") * 2).alias("score"), F.lit("source").alias("searcher"))
     return merge_hits(one.unionByName(src), 6).select("query_id", "hit_key", "score", F.col("rank").cast("long").alias("rank"))
@@ -252,7 +252,7 @@ def plan_log(spark: SparkSession, sf: str) -> DataFrame:
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), t.alias("text"))
 
 
-@query("plan_outcome", "R43 R25", """
+@query("plan_outcome", "R43", """
 WITH e AS (SELECT user_id AS query_id, event_id AS step, CASE WHEN event_id % 3 = 0 THEN 'condition' ELSE 'lookup' END AS kind, CASE WHEN event_type = 'error' AND value > 60 THEN 'gap' WHEN event_type = 'signup' AND value > 60 THEN 'clarify' ELSE 'answer' END AS ak, round(least(1e0, value / 1e2), 3) AS c, CASE WHEN value > 5 THEN TRUE END AS cond FROM events WHERE event_type <> 'view'),
 g AS (SELECT query_id, min(step) FILTER (ak = 'gap') AS gap, min(step) FILTER (ak = 'clarify') AS clar, min(step) FILTER (kind = 'condition' AND ak = 'answer' AND cond IS NULL) AS und, min(c) FILTER (ak = 'answer') AS low, count(*) FILTER (ak = 'answer') AS na, count(*) AS n FROM e GROUP BY 1),
 k AS (SELECT *, CASE WHEN gap IS NOT NULL THEN 'gap' WHEN clar IS NOT NULL OR und IS NOT NULL THEN 'clarify' WHEN na > 0 THEN 'answer' ELSE 'gap' END AS kind, CASE WHEN na > 0 THEN round(low * na / n, 3) ELSE 0e0 END AS cf FROM g)
@@ -268,7 +268,7 @@ def plan_outcome(spark: SparkSession, sf: str) -> DataFrame:
     return A.finalise(r)
 
 
-@query("citation_numbers", "R25", """
+@query("citation_numbers", "", """
 SELECT user_id AS query_id, json_extract_string(props, '$.k')::BIGINT AS passage_id, row_number() OVER (PARTITION BY user_id ORDER BY min(event_id))::INTEGER AS number FROM events GROUP BY 1, 2
 """)
 def citation_numbers(spark: SparkSession, sf: str) -> DataFrame:

@@ -75,7 +75,7 @@ def stated_relations(spark: SparkSession, sf: str) -> DataFrame:
     return X.relations(statements(spark, sf))
 
 
-@query("contradictions", "G8 G10 Q3", f"""
+@query("contradictions", "G8 G10", f"""
 WITH {_REL}, o AS (SELECT *, passage_id * 10 + sentence AS arrival FROM st)
 SELECT a.passage_id::BIGINT AS passage_id, a.src, a.relation, a.dst, (relation IN ('complies_with', 'belongs_to') AND EXISTS (SELECT 1 FROM o b WHERE b.src = a.src AND b.relation = a.relation AND b.dst <> a.dst AND b.arrival < a.arrival)) AS conflict FROM o a
 """)

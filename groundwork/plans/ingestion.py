@@ -134,7 +134,7 @@ def rolled_back(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     return V.rollback(docs, allp, summary, rows, req)
 
 
-@query("rollback_passages", "V10 J6 P4", f"""
+@query("rollback_passages", "V10 J6", f"""
 WITH {_SQL_PASS}, a AS (SELECT document_id, version, pos, NULL AS superseded_by FROM p1 UNION ALL SELECT document_id, version, pos, 'v3' FROM p2)
 SELECT document_id, version::BIGINT AS version, pos::BIGINT AS pos, superseded_by FROM a
 """)
@@ -271,7 +271,7 @@ def due_schedules(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("source", F.col("next_run").cast("double").alias("next_run"), V.back_off(F.lit(NOW_S), F.col("interval_s"), F.col("error_count")).cast("double").alias("backed_off"))
 
 
-@query("refresh_health", "V17 M33", f"""
+@query("refresh_health", "V17", f"""
 WITH {_SQL_SCHED}, j AS (SELECT coalesce(s.source, c.source) AS source, enabled AND connector_enabled AS en, interval_s, coalesce(error_count, 0) AS ec, coalesce(items, 0) AS items,
   round(greatest(0e0, {NOW_S} - greatest(last_run::DOUBLE, last_sync / 1000e0)) / 60e0, 1) AS fresh FROM sched s FULL JOIN cur c ON s.source = c.source)
 SELECT source, coalesce(en, FALSE) AS enabled, fresh AS freshness_minutes, ec::BIGINT AS error_count, items::BIGINT AS items,

@@ -477,7 +477,7 @@ def volume_expectations(spark: SparkSession, sf: str) -> DataFrame:
     return E.volume_expectations(e, d.where("lang = 'es'").groupBy("source").agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("policy_check", "P6 P1 P3", """
+@query("policy_check", "P6", """
 WITH r AS (SELECT c_custkey AS request_id, c_mktsegment AS seg, c_acctbal FROM customer)
 SELECT request_id, (seg <> 'FURNITURE') AND NOT (seg = 'BUILDING' AND c_acctbal <= 0) AND seg <> 'HOUSEHOLD' AS allowed,
  CASE WHEN seg IN ('FURNITURE', 'HOUSEHOLD') THEN 'role' WHEN seg = 'BUILDING' AND c_acctbal <= 0 THEN 'budget' ELSE 'ok' END AS reason FROM r

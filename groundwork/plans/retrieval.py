@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import abstract, overview, paragraphs, tokens, content_tokens
 from ..functions.udfs import hash_embed
-from ..operators import fusion, retrieval, vectors
+from ..operators import fusion, retrieval, search, vectors
 from ..operators.skew import top_k
 from ..registry import query
-from ..session import cut_lineage, table
+from ..session import cut_lineage, shared_folder, table
 from .common import SQL_RESTRICTED, documents, embeddings, questions
 
 _BM25 = f"""
@@ -34,8 +36,19 @@ sc AS (SELECT qt.query_id, po.doc_id,
 """
 
 
-def _bm25(spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
-    return retrieval.bm25_topk(questions(spark, sf), documents(spark, sf), k)
+def stored_index(spark: SparkSession, sf: str) -> str:
+    """Folder of the lexical index over ``documents``, written by the first query of the session that needs it."""
+    sc = spark.sparkContext
+    known = sc.__dict__.setdefault("_groundwork_indexes", {})
+    if sf not in known:
+        path = f"{shared_folder(spark)}/lexical-{uuid.uuid4().hex}"
+        search.add_segment(documents(spark, sf).withColumn("tenant", F.lit("t1")), path)
+        known[sf] = path
+    return known[sf]
+
+
+def bm25(spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
+    return search.search(spark, stored_index(spark, sf), questions(spark, sf).withColumn("tenant", F.lit("t1")), k)
 
 
 @query("passages_paragraphs", "C3 C13 S18", """
@@ -82,21 +95,16 @@ p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL)
 SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS cf, max(tf)::BIGINT AS max_tf FROM p GROUP BY term
 """)
 def lexical_index(spark: SparkSession, sf: str) -> DataFrame:
-    d = documents(spark, sf)
-    cls = d.sparkSession.range(1).select(F.lit("public").alias("access"), F.array(F.lit("public")).alias("accessible"))
-    idx = retrieval.build_index(retrieval.visible_passages(d, cls))
-    return idx.postings.groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf")
-    )
+    return search.term_counts(spark, stored_index(spark, sf), "t1", ["public"])
 
 
-@query("bm25_topk", "R4 P2 P3 P4", f"""
+@query("bm25_topk", "R4 P2", f"""
 WITH {_BM25}
 SELECT query_id, doc_id AS passage_id, score, rn::BIGINT AS rank FROM
  (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rn FROM sc WHERE score > 0) WHERE rn <= 20
 """)
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return _bm25(spark, sf).select("query_id", "passage_id", "score", F.col("rank").cast("long").alias("rank"))
+    return bm25(spark, sf).select("query_id", "passage_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 _COS = """
@@ -190,7 +198,7 @@ b AS (SELECT query_id, f.doc_id, rn, round(fused * (round(1e0 / (1e0 + 25e-2 * (
 SELECT query_id, doc_id AS passage_id, boosted, row_number() OVER (PARTITION BY query_id ORDER BY boosted DESC, rn)::BIGINT AS rank FROM b
 """)
 def authority_boost(spark: SparkSession, sf: str) -> DataFrame:
-    hits = _bm25(spark, sf)
+    hits = bm25(spark, sf)
     fused = fusion.rrf(hits).join(hits.select("query_id", "passage_id", F.col("rank").alias("idx")), ["query_id", "passage_id"])
     marks = table(spark, sf, "labels").select(F.col("doc_id").alias("document_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("authoritative"))
     out = fusion.authority_boost(fused, documents(spark, sf), _ranks(spark, sf), marks)
@@ -245,7 +253,7 @@ ad AS (SELECT s.query_id, s.doc_id, mx, TRUE FROM subj s JOIN mx USING (query_id
 SELECT query_id, doc_id AS passage_id, round(fused, 9) AS fused, injected FROM (SELECT * FROM up UNION ALL SELECT * FROM ad)
 """)
 def subject_boost(spark: SparkSession, sf: str) -> DataFrame:
-    hits = _bm25(spark, sf)
+    hits = bm25(spark, sf)
     fused = fusion.rrf(hits).withColumn("document_id", F.col("passage_id"))
     seen = documents(spark, sf).where(~F.array_contains("acl", "restricted")).withColumn("pos", F.lit(0))
     out = fusion.subject_boost(fused, subjects(spark, sf), seen.select("passage_id", "document_id", "pos"))
@@ -275,7 +283,7 @@ def review_holdout(spark: SparkSession, sf: str) -> DataFrame:
 def hybrid(spark: SparkSession, sf: str, k: int = 5) -> DataFrame:
     """Hybrid search with citations: BM25 and vector lists over visible passages, fused and boosted."""
     q, d = questions(spark, sf), documents(spark, sf)
-    lex = retrieval.bm25_topk(q, d, 20)
+    lex = bm25(spark, sf)
     qv = q.select(F.col("query_id").alias("id"), hash_embed("text").alias("vec"), retrieval.access_key(F.col("accessible")).alias("access"))
     dv = cut_lineage(d.select(F.col("passage_id").alias("id"), hash_embed("text").alias("vec"), "acl"))
     classes = q.select(retrieval.access_key(F.col("accessible")).alias("access"), "accessible").dropDuplicates(["access"])

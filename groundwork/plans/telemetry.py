@@ -161,7 +161,7 @@ def trace_table(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("waterfall", "M9 M8", f"""
+@query("waterfall", "M9", f"""
 WITH {_TRACE} SELECT trace_id, id, name, round((started_at - min(started_at) OVER w) * 1000, 2) AS offset_ms, round(duration_ms, 2) AS duration_ms,
  round((max(started_at + duration_ms / 1e3) OVER w - min(started_at) OVER w) * 1000, 2) AS total_ms FROM t WINDOW w AS (PARTITION BY trace_id)
 """)
