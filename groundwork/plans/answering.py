@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import persona as P
-from ..functions.text import content_tokens, tokens
+from ..functions.text import content_tokens, sentences, tokens
 from ..operators import answers as A
-from ..operators import fusion, names
+from ..operators import execution, fusion, names, search
 from ..operators.retrieval import citation_context as context
 from ..operators.retrieval import merge_hits, page_read
 from ..registry import query
-from ..session import cut_lineage, table, wide_table
+from ..session import cut_lineage, shared_folder, table, wide_table
 from .common import documents, questions
 from .conversion import _QSQL, _SENT, question_log
 from .retrieval import _BM25, _SUBJ, bm25, subjects
@@ -252,6 +254,88 @@ def plan_log(spark: SparkSession, sf: str) -> DataFrame:
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), t.alias("text"))
 
 
+# Turns as passages, and as conditions, denials and comparisons of their first sentences; a step is answered by the best sentence of its best passage.
+_ASKED = rf"""st AS (SELECT conv_id * 1000 + turn AS pid, conv_id, turn, text, {_SENT.format('text')} AS ss FROM conversations),
+sw AS (SELECT *, array_to_string(regexp_extract_all(lower(ss[1]), '[a-z0-9]+'), ' ') AS h, (conv_id + turn) % 4 AS form FROM st),
+sx AS (SELECT *, coalesce(lead(h) OVER (PARTITION BY conv_id ORDER BY turn), 'the rest') AS n FROM sw),
+lg AS (SELECT pid AS query_id, CASE form WHEN 0 THEN 'If ' || h || ' then what is ' || n || ' otherwise explain ' || h || '?' WHEN 1 THEN 'If it is not ' || h || ' then what is ' || n || ' otherwise explain ' || n || '?'
+  WHEN 2 THEN 'If ' || h || ' ' || n || ', what is ' || n || '?' ELSE 'Compare ' || h || ' with ' || n || '?' END AS t FROM sx),
+cm AS (SELECT query_id, trim(t) AS t, {" ".join(["CASE"] + [f"WHEN regexp_matches(trim(t), '{p}') THEN [trim(regexp_extract(trim(t), '{p}', 1)), trim(regexp_extract(trim(t), '{p}', 2))]" for p in A.COMPARE] + ["END"])} AS ab FROM lg),
+pf AS (SELECT query_id, t, trim(regexp_extract(t, '{A.IF_THEN}', 1)) AS c, trim(regexp_extract(t, '{A.IF_THEN}', 2)) AS th, nullif(trim(regexp_extract(t, '{A.IF_THEN}', 3)), '') AS oth, ab FROM cm),
+md AS (SELECT *, CASE WHEN c <> '' AND th <> '' THEN 'conditional' WHEN len({_CT.format('ab[1]')}) > 0 AND len({_CT.format('ab[2]')}) > 0 THEN 'compare' ELSE 'single' END AS mode FROM pf),
+ps AS (SELECT query_id, mode, 1 AS step, CASE mode WHEN 'conditional' THEN 'condition' ELSE 'a' END AS role, CASE mode WHEN 'conditional' THEN c WHEN 'compare' THEN ab[1] ELSE trim(regexp_replace(t, '[?.,;\s]+$', '')) END AS clause FROM md
+  UNION ALL SELECT query_id, mode, 2, CASE mode WHEN 'conditional' THEN 'then' ELSE 'b' END, CASE mode WHEN 'conditional' THEN th ELSE ab[2] END FROM md WHERE mode <> 'single' UNION ALL SELECT query_id, mode, 3, 'otherwise', oth FROM md WHERE mode = 'conditional' AND oth IS NOT NULL),
+tk AS (SELECT pid, regexp_extract_all(lower(text), '[a-z0-9]+') AS toks FROM st), ts AS (SELECT count(*) AS n, sum(len(toks))::DOUBLE / count(*) AS avgdl FROM tk),
+tq AS (SELECT query_id, step, term, count(*) AS qtf FROM (SELECT query_id, step, unnest(regexp_extract_all(lower(clause), '[a-z0-9]+')) AS term FROM ps) GROUP BY ALL),
+tp AS (SELECT pid, dl, term, count(*) AS tf FROM (SELECT pid, len(toks) AS dl, unnest(toks) AS term FROM tk) GROUP BY ALL), tdf AS (SELECT term, count(*) AS df FROM tp GROUP BY 1),
+hits AS (SELECT query_id, step, pid, round(sum(qtf * ln(1e0 + (n - df + 5e-1) / (df + 5e-1)) * tf * 25e-1 / (tf + 15e-1 * (25e-2 + 75e-2 * dl / avgdl))), 6) AS score FROM tq JOIN tp USING (term) JOIN tdf USING (term), ts GROUP BY ALL),
+top1 AS (SELECT * FROM hits WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id, step ORDER BY score DESC, pid) = 1),
+cand AS (SELECT query_id, step, top1.pid, {_CT.format('clause')} AS ct, unnest(ss) AS s, generate_subscripts(ss, 1) AS pos FROM top1 JOIN ps USING (query_id, step) JOIN st ON st.pid = top1.pid),
+bs AS (SELECT query_id, step, pid, s, CASE WHEN len(ct) > 0 THEN round(len(list_intersect(ct, {_CT.format('s')})) / len(ct), 6) ELSE 0e0 END AS g FROM cand QUALIFY row_number() OVER (PARTITION BY query_id, step ORDER BY CASE WHEN len(ct) > 0 THEN len(list_intersect(ct, {_CT.format('s')})) / len(ct) ELSE 0e0 END DESC, pos) = 1),
+an AS (SELECT ps.*, pid, coalesce(g, 0e0) AS g, CASE WHEN g >= 5e-1 THEN 'answer' WHEN g >= 2e-1 THEN 'clarify' ELSE 'gap' END AS ak, CASE WHEN g >= 2e-1 THEN s || ' [1]' ELSE '' END AS answer, s FROM ps LEFT JOIN bs USING (query_id, step)),
+cd AS (SELECT query_id, CASE WHEN ak = 'answer' THEN regexp_matches(answer, '{A.NEGATION.replace("'", "''")}') = regexp_matches(clause, '{A.NEGATION.replace("'", "''")}') END AS cond FROM an WHERE role = 'condition'),
+rn AS (SELECT an.*, cond, (role = 'then' AND NOT coalesce(cond, FALSE)) OR (role = 'otherwise' AND coalesce(cond, TRUE)) AS skipped FROM an LEFT JOIN cd USING (query_id)),
+ci AS (SELECT query_id, pid, row_number() OVER (PARTITION BY query_id ORDER BY min(step)) AS number FROM rn WHERE NOT skipped AND answer <> '' GROUP BY query_id, pid),
+rs AS (SELECT rn.*, regexp_replace(answer, '\[1\]$', '[' || number || ']') AS txt FROM rn LEFT JOIN ci USING (query_id, pid) WHERE NOT skipped)"""
+
+
+def asked_turns(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Passages of the conversations, and questions about their first sentences."""
+    c = wide_table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("passage_id"), "conv_id", "turn", "text")
+    c = c.withColumn("h", F.array_join(tokens(F.get(sentences("text"), 0)), " "))
+    n = F.coalesce(F.lead("h").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit("the rest"))
+    t = F.concat
+    form = (F.col("conv_id") + F.col("turn")) % 4
+    c = c.withColumn("n", n)
+    text = (
+        F.when(form == 0, t(F.lit("If "), "h", F.lit(" then what is "), "n", F.lit(" otherwise explain "), "h", F.lit("?"))).when(form == 1, t(F.lit("If it is not "), "h", F.lit(" then what is "), "n", F.lit(" otherwise explain "), "n", F.lit("?")))
+        .when(form == 2, t(F.lit("If "), "h", F.lit(" "), "n", F.lit(", what is "), "n", F.lit("?"))).otherwise(t(F.lit("Compare "), "h", F.lit(" with "), "n", F.lit("?")))
+    )
+    return c.select("passage_id", "text"), c.select(F.col("passage_id").alias("query_id"), text.alias("text"))
+
+
+@query("plan_execution", "R25 R24 R43", f"""
+WITH {_ASKED}, g AS (SELECT query_id, any_value(mode) AS mode, count(*) AS n, count(*) FILTER (ak = 'answer') AS na, min(step) FILTER (ak = 'gap') AS gap, min(step) FILTER (ak = 'clarify') AS clar, min(g) FILTER (ak = 'answer') AS low,
+  bool_or(role = 'condition' AND NOT cond) AND NOT bool_or(role <> 'condition') AS no_branch,
+  coalesce(string_agg(CASE WHEN ak <> 'answer' THEN NULL WHEN role = 'condition' THEN 'Condition “' || clause || '” ' || CASE WHEN cond THEN 'holds' ELSE 'does not hold' END || ' based on the evidence: ' || txt
+    WHEN mode = 'compare' THEN upper(clause[1]) || clause[2:] || ': ' || txt ELSE txt END, ' ' ORDER BY step), '') AS whole, coalesce(string_agg(txt, ' ' ORDER BY step) FILTER (ak = 'answer' AND role <> 'condition'), '') AS partial FROM rs GROUP BY query_id),
+o AS (SELECT g.*, CASE WHEN gap IS NOT NULL THEN 'gap' WHEN clar IS NOT NULL THEN 'clarify' WHEN na > 0 THEN 'answer' ELSE 'gap' END AS kind, CASE WHEN na > 0 THEN round(low * na / n, 3) ELSE 0e0 END AS cf FROM g)
+SELECT o.query_id, o.mode, kind, coalesce(gap, clar)::INTEGER AS gap_step, CASE WHEN kind <> 'answer' THEN least(cf, round(coalesce(low, 0e0) * 5e-1, 3)) ELSE cf END AS confidence, o.n::BIGINT AS steps_asked,
+  coalesce((SELECT string_agg(pid, ',' ORDER BY number) FROM ci WHERE ci.query_id = o.query_id), '') AS cited,
+  md5(CASE kind WHEN 'gap' THEN trim(CASE WHEN partial <> '' THEN 'Partial result. ' || partial || ' ' ELSE '' END || 'Step ' || gap || ' (“' || x.clause || '”) lacked evidence: ' || x.txt)
+    WHEN 'clarify' THEN trim('Step ' || clar || ' (“' || x.clause || '”) needs clarification: ' || x.txt) ELSE whole || CASE WHEN no_branch THEN ' No alternative branch was given for this case.' ELSE '' END END) AS text_md5
+FROM o LEFT JOIN (SELECT query_id, step, clause, coalesce(txt, '') AS txt FROM rs) x ON x.query_id = o.query_id AND x.step = coalesce(gap, clar)
+""")
+def plan_execution(spark: SparkSession, sf: str) -> DataFrame:
+    passages, asked = asked_turns(spark, sf)
+    path = f"{shared_folder(spark)}/turns-{uuid.uuid4().hex}"
+    public = F.array(F.lit("public"))
+    search.add_segment(passages.select(F.lit("t1").alias("tenant"), "passage_id", "text", public.alias("acl")), path)
+
+    def ask(steps: DataFrame) -> DataFrame:
+        """The best sentence of the best passage; how much of the clause it covers decides what kind of answer it is."""
+        s = steps.withColumn("key", F.struct("query_id", "step"))
+        hits = search.search(spark, path, s.select(F.to_json("key").alias("query_id"), F.lit("t1").alias("tenant"), "text", public.alias("accessible")), 1)
+        hits = hits.select(F.from_json("query_id", "query_id long, step int").alias("key"), "passage_id").select("key.*", "passage_id")
+        c = steps.join(hits, ["query_id", "step"]).join(passages.withColumnRenamed("text", "found"), "passage_id")
+        c = c.select("query_id", "step", "passage_id", content_tokens("text").alias("ct"), F.posexplode(sentences("found")).alias("pos", "s"))
+        covers = F.when(F.size("ct") > 0, F.size(F.array_intersect("ct", content_tokens("s"))) / F.size("ct")).otherwise(0.0)
+        best = c.groupBy("query_id", "step", "passage_id").agg(F.max_by(F.struct("s", covers.alias("g")), F.struct(covers, -F.col("pos"))).alias("b"))
+        g = F.round(F.coalesce("b.g", F.lit(0.0)), 6)
+        kind = F.when(g >= 0.5, "answer").when(g >= 0.2, "clarify").otherwise("gap")
+        told = kind != "gap"
+        cites = F.when(told, F.array(F.struct(F.lit(1).alias("n"), F.col("passage_id")))).otherwise(F.array())
+        return steps.join(best, ["query_id", "step"], "left").select(
+            "query_id", "step", kind.alias("answer_kind"), g.alias("grounding"), g.alias("confidence"), F.when(told, F.concat("b.s", F.lit(" [1]"))).otherwise("").alias("answer"), cites.alias("citations"),
+        )
+
+    out = execution.execute(A.plan_questions(asked), ask)
+    n = out["steps"].groupBy("query_id").agg(F.count_if(~F.col("skipped")).alias("steps_asked"))
+    cited = out["citations"].groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "passage_id"))), lambda x: x["passage_id"].cast("string")), ",").alias("cited"))
+    done = out["answers"].join(n, "query_id").join(cited, "query_id", "left")
+    return done.select("query_id", "mode", "kind", "gap_step", "confidence", "steps_asked", F.coalesce("cited", F.lit("")).alias("cited"), F.md5("final_text").alias("text_md5"))
+
+
 @query("plan_outcome", "R43", """
 WITH e AS (SELECT user_id AS query_id, event_id AS step, CASE WHEN event_id % 3 = 0 THEN 'condition' ELSE 'lookup' END AS kind, CASE WHEN event_type = 'error' AND value > 60 THEN 'gap' WHEN event_type = 'signup' AND value > 60 THEN 'clarify' ELSE 'answer' END AS ak, round(least(1e0, value / 1e2), 3) AS c, CASE WHEN value > 5 THEN TRUE END AS cond FROM events WHERE event_type <> 'view'),
 g AS (SELECT query_id, min(step) FILTER (ak = 'gap') AS gap, min(step) FILTER (ak = 'clarify') AS clar, min(step) FILTER (kind = 'condition' AND ak = 'answer' AND cond IS NULL) AS und, min(c) FILTER (ak = 'answer') AS low, count(*) FILTER (ak = 'answer') AS na, count(*) AS n FROM e GROUP BY 1),
