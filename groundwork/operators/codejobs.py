@@ -13,19 +13,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.braces import blocks
+from .definitions import GRAMMARS, definitions, notebook
 from .telemetry import stab_join
 
 SYMBOLS = (
     "repo string, path string, language string, kind string, symbol string, qualified string, cls string, module string, start_line int, end_line int, "
-    "signature string, docstring string, calls array<string>, imports array<string>"
+    "signature string, docstring string, calls array<string>, imports array<string>, decorators array<string>"
 )
-# Language by ending, definition starts per language.
-LANGUAGES = {"py": "python", "js": "javascript", "ts": "typescript", "go": "go", "java": "java", "sql": "sql", "yml": "yaml", "yaml": "yaml"}
-STARTS = {
-    "javascript": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(class|function)\s+(\w+)", "typescript": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(class|interface|function)\s+(\w+)",
-    "go": r"^(func|type)\s+(?:\([^)]*\)\s*)?(\w+)", "java": r"^\s*(?:public\s+|private\s+|protected\s+|static\s+|final\s+)*(class|interface|enum)\s+(\w+)",
-    "sql": r"(?i)^\s*(create\s+(?:or\s+replace\s+)?(?:table|view|function|index))\s+(?:if\s+not\s+exists\s+)?([\w.]+)", "yaml": r"^()([A-Za-z_][\w-]*):",
-}
+# Language by ending, definition starts of languages without blocks.
+LANGUAGES = {
+    "py": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "java": "java",
+    "cs": "csharp", "sql": "sql", "yml": "yaml", "yaml": "yaml", "ipynb": "notebook",
+}
+STARTS = {"sql": r"(?i)^\s*(create\s+(?:or\s+replace\s+)?(?:table|view|function|index))\s+(?:if\s+not\s+exists\s+)?([\w.]+)", "yaml": r"^()([A-Za-z_][\w-]*):"}
 
 
 def language_of(path: Column) -> Column:
@@ -49,19 +50,28 @@ def _name(node: ast.AST) -> str:
 def _module_row(path: str, text: str, docstring: str = "", imports: list[str] | None = None) -> tuple:
     """A whole file: its symbol is the file's name, its last line the last one with text or a line end."""
     mod = _module(path)
-    return ("module", path.rsplit("/", 1)[-1], mod, None, mod, 1, max(1, len(text.splitlines())), "", docstring, [], imports or [])
+    return ("module", path.rsplit("/", 1)[-1], mod, None, mod, 1, max(1, len(text.splitlines())), "", docstring, [], imports or [], [])
 
 
-def _python(path: str, text: str) -> list[tuple]:
-    tree = ast.parse(text)
-    mod = _module(path)
-    imports = []
+def _called(tree: ast.AST) -> list[str]:
+    return sorted({c for k in ast.walk(tree) if isinstance(k, ast.Call) and (c := _name(k.func))})
+
+
+def _imported(tree: ast.AST) -> list[str]:
+    out = []
     for n in ast.walk(tree):
         if isinstance(n, ast.Import):
-            imports += [a.name for a in n.names]
+            out += [a.name for a in n.names]
         elif isinstance(n, ast.ImportFrom):
-            imports += [f"{'.' * n.level}{n.module or ''}.{a.name}" for a in n.names]
-    rows = [_module_row(path, text, ast.get_docstring(tree) or "", sorted(set(imports)))]
+            out += [f"{'.' * n.level}{n.module or ''}.{a.name}" for a in n.names]
+    return sorted(set(out))
+
+
+def _python(path: str, text: str) -> list[tuple]:
+    tree = ast.parse(text)
+    mod = _module(path)
+    rows = [_module_row(path, text, ast.get_docstring(tree) or "", _imported(tree))]
+    marks = lambda n: [ast.unparse(d) for d in n.decorator_list]
 
     def visit(body: list, prefix: str, cls: str | None) -> None:
         for n in body:
@@ -70,29 +80,26 @@ def _python(path: str, text: str) -> list[tuple]:
                 first = next((m.lineno for m in n.body if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef))), None)
                 bases = ", ".join(ast.unparse(b) for b in n.bases)
                 end = n.end_lineno if first is None else max(n.lineno, first - 1)
-                rows.append(("class", n.name, f"{prefix}.{n.name}", cls, mod, n.lineno, end, f"{n.name}({bases})" if bases else n.name, ast.get_docstring(n) or "", [], []))
+                rows.append(("class", n.name, f"{prefix}.{n.name}", cls, mod, n.lineno, end, f"{n.name}({bases})" if bases else n.name, ast.get_docstring(n) or "", [], [], marks(n)))
                 visit(n.body, f"{prefix}.{n.name}", n.name)
             elif isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                calls = sorted({c for k in ast.walk(n) if isinstance(k, ast.Call) and (c := _name(k.func))})
+                calls = _called(n)
                 sig = f"def {n.name}({ast.unparse(n.args)})"
-                rows.append(("method" if cls else "function", n.name, f"{prefix}.{n.name}", cls, mod, n.lineno, n.end_lineno, sig, ast.get_docstring(n) or "", calls, []))
+                rows.append(("method" if cls else "function", n.name, f"{prefix}.{n.name}", cls, mod, n.lineno, n.end_lineno, sig, ast.get_docstring(n) or "", calls, [], marks(n)))
 
     visit(tree.body, mod, None)
     return rows
 
 
 def _by_starts(path: str, text: str, language: str) -> list[tuple]:
-    """Symbols of a language without a parser: a definition runs to the line before the next one."""
+    """Symbols of a language without blocks: a definition runs to the line before the next one."""
     mod, lines = _module(path), text.splitlines()
     rx = re.compile(STARTS[language])
-    hits = [(i, m.group(1).strip().lower(), m.group(2)) for i, ln in enumerate(lines, 1) if (m := rx.match(ln))]
-    kind = {"class": "class", "interface": "class", "enum": "class", "type": "class", "func": "function", "function": "function", "": "key"}
+    hits = [(i, m.group(1), m.group(2)) for i, ln in enumerate(lines, 1) if (m := rx.match(ln))]
     rows = [_module_row(path, text)]
     for j, (i, word, name) in enumerate(hits):
         end = hits[j + 1][0] - 1 if j + 1 < len(hits) else len(lines)
-        body = "\n".join(lines[i:end])
-        calls = [] if language in ("sql", "yaml") else sorted(set(re.findall(r"\b([A-Za-z_]\w*(?:\.\w+)*)\s*\(", body)) - {"if", "for", "while", "switch", "return", "catch", "func", "function"})
-        rows.append((kind.get(word, "statement"), name, f"{mod}.{name}", None, mod, i, end, lines[i - 1].strip(), "", calls, []))
+        rows.append(("statement" if word else "key", name, f"{mod}.{name}", None, mod, i, end, lines[i - 1].strip(), "", [], [], []))
     return rows
 
 
@@ -102,21 +109,28 @@ def extract_symbols(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for repo, path, text, lang in zip(b["repo"], b["path"], b["text"], b["language"]):
+            braced = b["language"].isin(list(GRAMMARS)).to_numpy()
+            found = iter(blocks(b["text"][braced].tolist()))  # the structure of all files of the batch at once
+            for repo, path, text, lang in zip(b["repo"], b["path"], b["text"], b["language"], strict=True):
                 try:
-                    rows = _python(path, text) if lang == "python" else _by_starts(path, text, lang)
+                    if lang in GRAMMARS:
+                        rows = list(definitions(path, _module(path), next(found), lang))
+                    elif lang == "notebook":
+                        rows = list(notebook(path, _module(path), text, _called, _imported))
+                    else:
+                        rows = _python(path, text) if lang == "python" else _by_starts(path, text, lang)
                 except SyntaxError:
                     rows = [_module_row(path, text)]
                 out += [(repo, path, lang, *r) for r in rows]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SYMBOLS.split(", ")])
 
-    f = files.withColumn("language", language_of(F.col("path"))).where("language is not null").select("repo", "path", "text", "language")
+    f = files.withColumn("language", language_of(F.col("path"))).where("language is not null").select("repo", "path", F.coalesce("text", F.lit("")).alias("text"), "language")
     return f.mapInPandas(run, SYMBOLS)
 
 
 # Comment markers by language, tags, sizes worth keeping.
-LINE_MARK = {"python": r"^\s*#+", "yaml": r"^\s*#+", "sql": r"^\s*--+", "javascript": r"^\s*//+", "typescript": r"^\s*//+", "go": r"^\s*//+", "java": r"^\s*//+"}
-TRAIL_MARK = {"python": r"\s#\s+(.*)$", "yaml": r"\s#\s+(.*)$", "sql": r"\s--\s+(.*)$", "javascript": r"\s//\s+(.*)$", "typescript": r"\s//\s+(.*)$", "go": r"\s//\s+(.*)$", "java": r"\s//\s+(.*)$"}
+LINE_MARK = {"python": r"^\s*#+", "yaml": r"^\s*#+", "sql": r"^\s*--+", "javascript": r"^\s*//+", "typescript": r"^\s*//+", "go": r"^\s*//+", "java": r"^\s*//+", "csharp": r"^\s*//+"}
+TRAIL_MARK = {"python": r"\s#\s+(.*)$", "yaml": r"\s#\s+(.*)$", "sql": r"\s--\s+(.*)$", "javascript": r"\s//\s+(.*)$", "typescript": r"\s//\s+(.*)$", "go": r"\s//\s+(.*)$", "java": r"\s//\s+(.*)$", "csharp": r"\s//\s+(.*)$"}
 TAG = r"\b(TODO|FIXME|NOTE|HACK)\b"
 MIN_BLOCK_LINES, MIN_WORDS = 2, 8
 
@@ -144,7 +158,7 @@ def extract_comments(files: DataFrame, symbols: DataFrame) -> DataFrame:
     tag = F.nullif(F.regexp_extract("text", TAG, 1), F.lit(""))
     kind = F.when(tag.isNotNull(), F.lower(tag)).when(F.col("lines") >= MIN_BLOCK_LINES, "block").when(F.size(F.split(F.trim("text"), r"\s+")) >= MIN_WORDS, "line")
     u = u.withColumn("kind", kind).where("kind is not null").select("repo", "path", "line_no", "kind", "text")
-    doc = symbols.where("docstring <> ''").select("repo", "path", F.col("start_line").alias("line_no"), F.lit("docstring").alias("kind"), F.col("docstring").alias("text"), F.col("qualified").alias("symbol"))
+    doc = symbols.where("docstring <> '' and language = 'python'").select("repo", "path", F.col("start_line").alias("line_no"), F.lit("docstring").alias("kind"), F.col("docstring").alias("text"), F.col("qualified").alias("symbol"))
     placed = enclosing(u, symbols)
     return placed.unionByName(doc)
 

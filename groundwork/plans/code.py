@@ -58,17 +58,131 @@ def source_files(spark: SparkSession, sf: str) -> DataFrame:
 _SF = "sf AS (SELECT 'acme/' || lower(replace(p_brand, '#', '')) AS repo, 'src/m' || p_partkey || '.' || (['py','js','go','sql','yml'])[p_size % 5 + 1] AS path, p_partkey AS k, p_size % 5 AS form, p_name FROM part)"
 
 
+_JAVA = """package org.acme.shop;
+import java.util.List;
+
+/** Keeps %n. */
+@Entity
+public class Shelf%k {
+    private int size = 1; // } no block
+
+    public Shelf%k(int size) { this.size = size; }
+
+    @Override
+    public String toString() {
+        String open = "{";
+        return label(open + size);
+    }
+
+    static class Slot {
+        int depth() { return 1; }
+    }
+}
+"""
+_CS = """using System.Linq;
+namespace Acme.Shop
+{
+    public record Price%k(int Amount);
+
+    [Serializable]
+    public class Cart%k : Base
+    {
+        // adds one item
+        public async Task<int> Add(string item)
+        {
+            /* { */
+            return await Store.Put(item);
+        }
+    }
+}
+"""
+_TSX = """import React from 'react';
+const { util } = require('./util');
+export interface Props { title: string }
+export abstract class Panel%k extends React.Component {
+  static label = `a { ${1}`;
+  render(): void {
+    draw(this.props);
+  }
+}
+export const useShop%k = async (id: number) => {
+  return fetch(`/shop/${id}`);
+};
+"""
+_GO2 = """package store
+
+import (
+\t"fmt"
+)
+
+// Box holds %n.
+type Box%k struct {
+\tn int
+}
+
+func (b *Box%k) Size(x int) int {
+\tfmt.Println("{", x)
+\treturn grow(b.n)
+}
+"""
+_IPYNB = '{"cells": [{"cell_type": "markdown", "source": ["# Stock of %n\\n", "counted"]}, {"cell_type": "code", "source": "import pandas\\n%matplotlib inline\\ncount(%k)"}]}'
+
+
+def more_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Five more files of every fifth part each: Java, C#, TSX, Go with types, a notebook."""
+    p = table(spark, sf, "part")
+    form = F.col("p_partkey") % 5
+    k = F.col("p_partkey").cast("string")
+    t, ext = F.lit(_IPYNB), F.lit("ipynb")
+    for i, (body, end) in enumerate(((_JAVA, "java"), (_CS, "cs"), (_TSX, "tsx"), (_GO2, "go"))):
+        t, ext = F.when(form == i, body).otherwise(t), F.when(form == i, end).otherwise(ext)
+    t = F.replace(F.replace(t, F.lit("%k"), k), F.lit("%n"), F.col("p_name"))
+    repo = F.concat(F.lit("acme/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))))
+    return p.select(repo.alias("repo"), F.concat(F.lit("lib/x"), k, F.lit("."), ext).alias("path"), t.alias("text"))
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_BODY_SQL = "replace(replace(replace(" + " ".join(["CASE sf.form"] + [f"WHEN {i} THEN {_sql_text(t)}" for i, t in enumerate((_PY, _JS, _GO, _SQL, _YML))]) + " END, '%k', k::VARCHAR), '%n', p_name), '%w', string_split(p_name, ' ')[-1])"
+
+
 def symbols(spark: SparkSession, sf: str) -> DataFrame:
     return K.extract_symbols(source_files(spark, sf))
 
 
+#: What the files of ``more_files`` define: form, kind, qualified name, lines, signature, doc, calls, decorators.
+_DEFINED = """(VALUES
+ (0, 'class', 'org.acme.shop.Shelf%k', 6, 6, 'class Shelf%k', 'Keeps %n.', '', '@Entity,public'), (0, 'method', 'org.acme.shop.Shelf%k.Shelf%k', 9, 9, 'Shelf%k(int size)', '', '', 'public'),
+ (0, 'method', 'org.acme.shop.Shelf%k.toString', 12, 15, 'String toString()', '', 'label', '@Override,public'), (0, 'class', 'org.acme.shop.Shelf%k.Slot', 17, 17, 'class Slot', '', '', 'static'),
+ (0, 'method', 'org.acme.shop.Shelf%k.Slot.depth', 18, 18, 'int depth()', '', '', ''), (0, 'module', 'lib.x%k', 1, 20, '', '', '', ''),
+ (1, 'class', 'Acme.Shop.Price%k', 4, 4, 'record Price%k', '', '', 'public'), (1, 'class', 'Acme.Shop.Cart%k', 7, 7, 'class Cart%k', '', '', '[Serializable],public'),
+ (1, 'method', 'Acme.Shop.Cart%k.Add', 10, 14, 'Task<int> Add(string item)', 'adds one item', 'Store.Put', 'public,async'), (1, 'module', 'lib.x%k', 1, 16, '', '', '', ''),
+ (2, 'class', 'lib.x%k.Props', 3, 3, 'interface Props', '', '', 'export'), (2, 'class', 'lib.x%k.Panel%k', 4, 4, 'class Panel%k extends React.Component', '', '', 'export,abstract'),
+ (2, 'method', 'lib.x%k.Panel%k.render', 6, 8, 'render()', '', 'draw', ''), (2, 'function', 'lib.x%k.useShop%k', 10, 12, 'useShop%k(id: number)', '', 'fetch', 'export'), (2, 'module', 'lib.x%k', 1, 12, '', '', '', ''),
+ (3, 'class', 'store.Box%k', 8, 10, 'type Box%k struct', 'Box holds %n.', '', ''), (3, 'method', 'store.Box%k.Size', 12, 15, 'func (b *Box%k) Size(x int) int', '', 'fmt.Println,grow', ''), (3, 'module', 'lib.x%k', 1, 15, '', '', '', ''),
+ (4, 'cell', 'lib.x%k.cell-1', 1, 2, 'markdown cell 1', '# Stock of %n' || chr(10) || 'counted', '', ''), (4, 'cell', 'lib.x%k.cell-2', 4, 6, 'code cell 2', '# Stock of %n' || chr(10) || 'counted', 'count', '')
+) d(form, kind, qualified, start_line, end_line, signature, docstring, calls, decorators)"""
+
+
+@query("code_definitions", "K1 C10", f"""
+WITH p AS (SELECT 'acme/' || lower(replace(p_brand, '#', '')) AS repo, 'lib/x' || p_partkey || '.' || (['java','cs','tsx','go','ipynb'])[p_partkey % 5 + 1] AS path, p_partkey, p_name FROM part),
+f AS (SELECT repo, path, d.*, p_partkey::VARCHAR AS k, p_name FROM p JOIN {_DEFINED} ON form = p_partkey % 5)
+SELECT repo, path, kind, replace(qualified, '%k', k) AS qualified, start_line, end_line, replace(signature, '%k', k) AS signature, replace(docstring, '%n', p_name) AS docstring, calls, decorators FROM f
+""")
+def code_definitions(spark: SparkSession, sf: str) -> DataFrame:
+    s = K.extract_symbols(more_files(spark, sf))
+    return s.select("repo", "path", "kind", "qualified", "start_line", "end_line", "signature", "docstring", F.array_join("calls", ",").alias("calls"), F.array_join("decorators", ",").alias("decorators"))
+
+
 @query("code_symbols", "K1", f"""
 WITH {_SF}, m AS (SELECT repo, path, k, form, 'src.m' || k AS mod FROM sf)
 SELECT repo, path, 'module' AS kind, mod AS qualified, 1 AS start_line, (CASE form WHEN 0 THEN 23 WHEN 1 THEN 9 WHEN 2 THEN 5 WHEN 3 THEN 3 ELSE 2 END)::INTEGER AS end_line FROM m
 UNION ALL SELECT repo, path, 'class', mod || '.Item' || k, 9, 11 FROM m WHERE form = 0 UNION ALL SELECT repo, path, 'method', mod || '.Item' || k || '.price', 12, 14 FROM m WHERE form = 0 UNION ALL SELECT repo, path, 'method', mod || '.Item' || k || '.base', 16, 17 FROM m WHERE form = 0
 UNION ALL SELECT repo, path, 'function', mod || '.lookup_' || k, 20, 23 FROM m WHERE form = 0
-UNION ALL SELECT repo, path, 'function', mod || '.show' || k, 2, 4 FROM m WHERE form = 1 UNION ALL SELECT repo, path, 'class', mod || '.Card' || k, 5, 6 FROM m WHERE form = 1 UNION ALL SELECT repo, path, 'function', mod || '.draw' || k, 7, 9 FROM m WHERE form = 1
-UNION ALL SELECT repo, path, 'function', mod || '.Run' || k, 3, 5 FROM m WHERE form = 2 UNION ALL SELECT repo, path, 'statement', mod || '.t' || k, 2, 2 FROM m WHERE form = 3 UNION ALL SELECT repo, path, 'statement', mod || '.v' || k, 3, 3 FROM m WHERE form = 3
+UNION ALL SELECT repo, path, 'function', mod || '.show' || k, 2, 4 FROM m WHERE form = 1 UNION ALL SELECT repo, path, 'class', mod || '.Card' || k, 5, 5 FROM m WHERE form = 1 UNION ALL SELECT repo, path, 'function', mod || '.draw' || k, 7, 9 FROM m WHERE form = 1
+UNION ALL SELECT repo, path, 'function', 'm.Run' || k, 3, 5 FROM m WHERE form = 2 UNION ALL SELECT repo, path, 'statement', mod || '.t' || k, 2, 2 FROM m WHERE form = 3 UNION ALL SELECT repo, path, 'statement', mod || '.v' || k, 3, 3 FROM m WHERE form = 3
 UNION ALL SELECT repo, path, 'key', mod || '.name', 1, 1 FROM m WHERE form = 4 UNION ALL SELECT repo, path, 'key', mod || '.steps', 2, 2 FROM m WHERE form = 4
 """)
 def code_symbols(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,20 +190,26 @@ def code_symbols(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("symbol_passages", "C10", f"""
-WITH {_SF} SELECT path, 'lookup_' || k AS symbol, 'https://github.com/' || repo || '/blob/main/' || path || '#L20-L23' AS url, 'function src.m' || k || '.lookup_' || k || ' - Look up ' || k || ' in the cache.' AS summary_line,
- 'def lookup_' || k || e'(qty):\\n    ' || repeat(chr(34), 3) || 'Look up ' || k || ' in the cache.' || repeat(chr(34), 3) || e'\\n    login(qty)\\n    return cache.get(' || k || ')' AS text FROM sf WHERE form = 0
+WITH {_SF}, y(form, symbol, kind, tail, a, b, doc) AS (VALUES (0, 'Item%k', 'class', 'Item%k', 9, 11, 'Item %k.'), (0, 'price', 'method', 'Item%k.price', 12, 14, ''), (0, 'base', 'method', 'Item%k.base', 16, 17, ''), (0, 'lookup_%k', 'function', 'lookup_%k', 20, 23, 'Look up %k in the cache.'),
+ (1, 'show%k', 'function', 'show%k', 2, 4, 'the front end keeps one card for every item in the shop list'), (1, 'Card%k', 'class', 'Card%k', 5, 5, ''), (1, 'draw%k', 'function', 'draw%k', 7, 9, ''), (2, 'Run%k', 'function', 'Run%k', 3, 5, ''),
+ (3, 't%k', 'statement', 't%k', 2, 2, ''), (3, 'v%k', 'statement', 'v%k', 3, 3, ''), (4, 'name', 'key', 'name', 1, 1, ''), (4, 'steps', 'key', 'steps', 2, 2, '')),
+x AS (SELECT repo, path, sf.form, k::VARCHAR AS ks, y.*, {_BODY_SQL} AS body FROM sf JOIN y ON y.form = sf.form)
+SELECT path, replace(symbol, '%k', ks) AS symbol, 'https://github.com/' || repo || '/blob/main/' || path || '#L' || a || '-L' || b AS url,
+ kind || ' ' || CASE WHEN x.form = 2 THEN 'm.' ELSE 'src.m' || ks || '.' END || replace(tail, '%k', ks) || CASE WHEN doc <> '' THEN ' - ' || replace(doc, '%k', ks) ELSE '' END AS summary_line,
+ regexp_replace(array_to_string(string_split(body, chr(10))[a:b], chr(10)), '\\s+$', '') AS text FROM x
 """)
 def symbol_passages(spark: SparkSession, sf: str) -> DataFrame:
-    f = source_files(spark, sf)
-    p = K.symbol_passages(f, symbols(spark, sf)).where("language = 'python' and kind = 'function'")
+    p = K.symbol_passages(source_files(spark, sf), symbols(spark, sf))
     return p.select("path", "symbol", "url", "summary_line", "text")
 
 
 @query("code_windows", "C11", f"""
-WITH {_SF} SELECT path, 'Run' || k AS symbol, 3 AS start_line, 6 AS end_line FROM sf WHERE form = 2 UNION ALL SELECT path, 'module', 1, 2 FROM sf WHERE form = 2
+WITH {_SF}, y(form, symbol, a, b) AS (VALUES (0, 'module', 1, 8), (0, 'Item%k', 9, 11), (0, 'price', 12, 15), (0, 'base', 16, 19), (0, 'lookup_%k', 20, 24), (1, 'module', 1, 1), (1, 'show%k', 2, 4), (1, 'Card%k', 5, 6), (1, 'draw%k', 7, 10),
+ (2, 'module', 1, 2), (2, 'Run%k', 3, 6), (3, 'module', 1, 4), (4, 'module', 1, 3))
+SELECT path, replace(symbol, '%k', k::VARCHAR) AS symbol, a AS start_line, b AS end_line FROM sf JOIN y USING (form)
 """)
 def code_windows(spark: SparkSession, sf: str) -> DataFrame:
-    return convert.code_windows(source_files(spark, sf).where("form = 2")).select("path", "symbol", "start_line", "end_line")
+    return convert.code_windows(source_files(spark, sf)).select("path", "symbol", "start_line", "end_line")
 
 
 @query("code_comments", "K2 J12", f"""
@@ -209,7 +329,7 @@ def readiness_checklist(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("repository_cards", "K9", f"""
-WITH {_SF}, g AS (SELECT repo, count(*) AS files, sum(CASE form WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 2 END) AS symbols, sum(CASE form WHEN 0 THEN 2 ELSE 0 END) AS documented, string_agg(DISTINCT (['python','javascript','go','sql','yaml'])[form + 1], ',' ORDER BY (['python','javascript','go','sql','yaml'])[form + 1]) AS languages FROM sf GROUP BY 1)
+WITH {_SF}, g AS (SELECT repo, count(*) AS files, sum(CASE form WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 2 END) AS symbols, sum(CASE form WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END) AS documented, string_agg(DISTINCT (['python','javascript','go','sql','yaml'])[form + 1], ',' ORDER BY (['python','javascript','go','sql','yaml'])[form + 1]) AS languages FROM sf GROUP BY 1)
 SELECT repo, files::BIGINT AS files, symbols::BIGINT AS symbols, documented::BIGINT AS documented, languages FROM g
 """)
 def repository_cards(spark: SparkSession, sf: str) -> DataFrame:
@@ -253,7 +373,7 @@ def _qtok(q: DataFrame) -> DataFrame:
 
 @query("identifier_scores", "R31", f"""
 WITH {_SF}, sy AS (SELECT repo, path, k, CASE form WHEN 0 THEN unnest(['Item' || k, 'price', 'base', 'lookup_' || k]) WHEN 1 THEN unnest(['show' || k, 'Card' || k, 'draw' || k, NULL]) ELSE unnest(['Run' || k, NULL, NULL, NULL]) END AS symbol, CASE form WHEN 0 THEN unnest(['Item' || k, 'Item' || k || '.price', 'Item' || k || '.base', 'lookup_' || k]) WHEN 1 THEN unnest(['show' || k, 'Card' || k, 'draw' || k, NULL]) ELSE unnest(['Run' || k, NULL, NULL, NULL]) END AS tail FROM sf WHERE form < 3),
-s AS (SELECT lower(symbol) AS symbol, lower('src.m' || k || '.' || tail) AS qualified, path FROM sy WHERE symbol IS NOT NULL),
+s AS (SELECT lower(symbol) AS symbol, lower(CASE WHEN path LIKE '%.go' THEN 'm.' ELSE 'src.m' || k || '.' END || tail) AS qualified, path FROM sy WHERE symbol IS NOT NULL),
 q AS (SELECT p_partkey AS query_id, unnest(list_filter(list_distinct(regexp_extract_all(lower(CASE p_size % 5 WHEN 0 THEN 'where is lookup' WHEN 1 THEN 'what does draw' ELSE 'how does Run' END || p_partkey || ' work in m' || p_partkey), '[a-z0-9]+')), lambda t: length(t) >= 3 AND t NOT IN ('where','what','does','how','the'))) AS t FROM part),
 v AS (SELECT DISTINCT t FROM q), h AS (SELECT t, s.qualified, s.path, CASE WHEN contains(s.symbol, t) THEN 3 WHEN contains(s.qualified, t) THEN 2 WHEN contains(lower(s.path), t) THEN 1 ELSE 0 END AS w FROM v JOIN s ON contains(s.qualified, t) OR contains(lower(s.path), t))
 SELECT query_id, count(*)::BIGINT AS hits, sum(sc)::DOUBLE AS total FROM (SELECT query_id, qualified, path, sum(w) AS sc FROM q JOIN h USING (t) GROUP BY ALL) GROUP BY query_id
