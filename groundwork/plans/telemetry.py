@@ -443,7 +443,7 @@ def open_queue(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("incremental_spans", "M34", f"""
-WITH {_EV} SELECT id, started_at FROM a WHERE started_at >= {NOW} - 5 * 86400 ORDER BY started_at, id LIMIT 5000
+WITH {_EV} SELECT id, started_at FROM a WHERE started_at >= {NOW} - 5 * 86400
 """)
 def incremental_spans(spark: SparkSession, sf: str) -> DataFrame:
     return M.read_spans(spans(spark, sf), "t1", NOW - 5 * 86400).select("id", "started_at")
