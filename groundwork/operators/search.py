@@ -18,12 +18,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..session import cut_lineage
 from .retrieval import B, K1, access_key
 from .skew import top_k
 
@@ -62,21 +62,57 @@ def _put(df: DataFrame, path: str) -> None:
     df.repartitionByRange("bucket", "term", "tenant").sortWithinPartitions("bucket", "term", "tenant").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
+def invert(t: pa.Table) -> pa.Table:
+    """Rows of one shard: its postings by term, then its passages (without a term), numbered in the order of their ids."""
+    t = t.sort_by("passage_id")
+    n, length = t.num_rows, t.column("dl").to_numpy()
+    terms = pc.split_pattern(t.column("terms").combine_chunks(), " ")
+    sizes = pc.fill_null(pc.list_value_length(terms), 0).to_numpy()
+    coded = terms.flatten().dictionary_encode()
+    tfs = t.column("tfs").combine_chunks()
+    weight = tfs.flatten().to_numpy() if tfs.null_count < n else None  # without counts a repeated term counts itself
+    key, inverse = np.unique(coded.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), sizes), return_inverse=True)
+    tf = np.bincount(inverse, weights=weight, minlength=len(key)).astype(np.int32)
+    term, at = key // n, (key % n).astype(np.int32)
+    cuts = np.flatnonzero(np.diff(term, prepend=-1))
+    ends = pa.array(np.r_[cuts, len(key)], pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (at, tf)]
+    best = (np.maximum.reduceat(tf, cuts), np.minimum.reduceat(length[at], cuts)) if len(cuts) else (tf, length[:0])
+    none = lambda kind, k: pa.nulls(k, kind)
+    ids = t.column("passage_id").combine_chunks()
+    columns = {
+        "term": (coded.dictionary.take(pa.array(term[cuts])), none(pa.string(), n)), "ats": (lists[0], none(lists[0].type, n)), "tfs": (lists[1], none(lists[1].type, n)),
+        "max_tf": (pa.array(best[0], pa.int32()), none(pa.int32(), n)), "min_dl": (pa.array(best[1], pa.int64()), none(pa.int64(), n)),
+        "passage_id": (none(ids.type, len(cuts)), ids), "at": (none(pa.int32(), len(cuts)), pa.array(np.arange(n), pa.int32())), "dl": (none(pa.int64(), len(cuts)), pa.array(length, pa.int64())),
+    }
+    same = {c: pa.array([t.column(c)[0].as_py()] * (n + len(cuts)), t.column(c).type) for c in ("tenant", "acl_key", "part")}
+    return pa.table({**same, **{c: pa.chunked_array(list(v)) for c, v in columns.items()}})
+
+
+def _line(terms: Column) -> Column:
+    """Terms as one string, which is a fraction of an array's size in a shuffle; null without terms."""
+    return F.nullif(F.array_join(terms, " "), F.lit(""))
+
+
 def _lay(passages: DataFrame, path: str, segment: int, shard_passages: int) -> None:
-    """Number (tenant, acl_key, passage_id, dl, counts array<struct<term, tf>>) passages inside shards; write passages and postings."""
+    """Write (tenant, acl_key, passage_id, dl, terms in a line, tfs array or null) passages as shards: passages and postings.
+
+    A shard is inverted in one task, so passages are shuffled once and single postings never.
+    """
     spark = passages.sparkSession
     cores = spark.sparkContext.defaultParallelism
     n = F.count(F.lit(1))
     parts = F.greatest(F.ceil(n / shard_passages), F.least(F.lit(cores), F.ceil(n / 256))).cast("int")
     sizes = passages.groupBy("tenant", "acl_key").agg(parts.alias("parts"))
     dealt = passages.join(sizes, ["tenant", "acl_key"]).withColumn("part", F.pmod(F.xxhash64("passage_id"), "parts").cast("int")).drop("parts")
-    inside = Window.partitionBy("tenant", "acl_key", "part").orderBy("passage_id")  # a shard
-    dealt = cut_lineage(dealt.withColumn("at", F.row_number().over(inside) - 1))
-    dealt.drop("counts").write.mode("overwrite").parquet(f"{path}/passages/segment={segment}")
-    occ = dealt.select("tenant", "acl_key", "part", "at", "dl", F.explode("counts").alias("c")).select("*", "c.term", "c.tf")
-    held = F.array_sort(F.collect_list(F.struct("at", "tf")))
-    rows = occ.groupBy("tenant", "acl_key", "part", "term").agg(held.alias("held"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
-    _put(rows.select(_bucket(), "tenant", "acl_key", "part", "term", F.col("held.at").alias("ats"), F.col("held.tf").alias("tfs"), "max_tf", "min_dl"), f"{path}/postings/segment={segment}")
+    kind = dict(passages.dtypes)["passage_id"]
+    schema = f"tenant string, acl_key string, part int, term string, ats array<int>, tfs array<int>, max_tf int, min_dl long, passage_id {kind}, at int, dl long"
+    made = f"{path}/made/segment={segment}"
+    dealt.groupBy("tenant", "acl_key", "part").applyInArrow(invert, schema).write.mode("overwrite").parquet(made)
+    rows = spark.read.schema(schema).parquet(made)
+    rows.where("term is null").select("tenant", "acl_key", "part", "at", "passage_id", "dl").write.mode("overwrite").parquet(f"{path}/passages/segment={segment}")
+    _put(rows.where("term is not null").select(_bucket(), "tenant", "acl_key", "part", "term", "ats", "tfs", "max_tf", "min_dl"), f"{path}/postings/segment={segment}")
+    rows.where("false").write.mode("overwrite").parquet(made)  # what it held is in the two tables
 
 
 def add_segment(passages: DataFrame, path: str, gone: DataFrame | None = None, shard_passages: int = SHARD_PASSAGES) -> int:
@@ -89,11 +125,7 @@ def add_segment(passages: DataFrame, path: str, gone: DataFrame | None = None, s
     segment = last_segment(spark, path) + 1
     new = _counted(passages)
     old = _counted(gone) if gone is not None else new.where("false")
-    # a passage's counts, in the passage's own row: no occurrence is shuffled to be counted
-    sorted_toks = F.array_sort("toks")
-    runs = F.filter(F.transform(sorted_toks, lambda t, i: F.struct(t.alias("term"), i.alias("i"))), lambda x: (x["i"] == 0) | (F.get("sorted", x["i"] - 1) != x["term"]))
-    counts = F.transform("runs", lambda x, j: F.struct(x["term"].alias("term"), (F.coalesce(F.get("runs", j + 1)["i"], F.size("sorted")) - x["i"]).alias("tf")))
-    rows = new.withColumn("sorted", sorted_toks).withColumn("runs", runs).select("tenant", "acl_key", "passage_id", "dl", counts.alias("counts"))
+    rows = new.select("tenant", "acl_key", "passage_id", "dl", _line(F.col("toks")).alias("terms"), F.lit(None).cast("array<int>").alias("tfs"))
     _lay(rows, path, segment, shard_passages)
     key = ["bucket", "tenant", "acl_key", "term"]
     less = old.select("tenant", "acl_key", F.explode(F.array_distinct("toks")).alias("term")).select(_bucket(), "tenant", "acl_key", "term", F.lit(-1).cast("long").alias("df"))
@@ -112,8 +144,8 @@ def merge_segments(spark: SparkSession, path: str, to: str, shard_passages: int
     if last < 0 or last_segment(spark, to) >= 0:
         raise ValueError(f"{path} holds no index, or {to} holds one")
     held = _postings(spark, path, last).join(_live(spark, path, last), [*SHARD, "at"])
-    counts = held.groupBy("tenant", "acl_key", "passage_id", "dl").agg(F.collect_list(F.struct("term", "tf")).alias("counts"))
-    _lay(counts, to, 0, shard_passages)
+    counts = held.groupBy("tenant", "acl_key", "passage_id", "dl").agg(F.collect_list(F.struct("term", "tf")).alias("c"))
+    _lay(counts.select("tenant", "acl_key", "passage_id", "dl", _line(F.col("c.term")).alias("terms"), F.col("c.tf").alias("tfs")), to, 0, shard_passages)
     terms = _read(spark, path, "terms", last).groupBy("bucket", "tenant", "acl_key", "term").agg(F.sum("df").alias("df"))
     _put(terms.where("df > 0"), f"{to}/terms/segment=0")
     _read(spark, path, "gone", last).where("false").drop("segment").write.mode("overwrite").parquet(f"{to}/gone/segment=0")
