@@ -105,6 +105,8 @@ def _lay(passages: DataFrame, path: str, segment: int, shard_passages: int) -> N
     parts = F.greatest(F.ceil(n / shard_passages), F.least(F.lit(cores), F.ceil(n / 256))).cast("int")
     sizes = passages.groupBy("tenant", "acl_key").agg(parts.alias("parts"))
     dealt = passages.join(sizes, ["tenant", "acl_key"]).withColumn("part", F.pmod(F.xxhash64("passage_id"), "parts").cast("int")).drop("parts")
+    # the join above deals rows by access list alone, which would do as a distribution for the groups below
+    dealt = dealt.repartition("tenant", "acl_key", "part")
     kind = dict(passages.dtypes)["passage_id"]
     schema = f"tenant string, acl_key string, part int, term string, ats array<int>, tfs array<int>, max_tf int, min_dl long, passage_id {kind}, at int, dl long"
     made = f"{path}/made/segment={segment}"
