@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import communities as M
 from ..operators import extract as X
 from ..operators import graph as G
 from ..registry import query
@@ -212,6 +213,24 @@ def cohesion(spark: SparkSession, sf: str) -> DataFrame:
     return G.community_summary(G.communities(n, e), n, e)
 
 
+@query("community_modularity", "G17", f"""
+WITH {_COH}, vol AS (SELECT community, count(*) AS volume FROM adj JOIN g USING (node) GROUP BY 1), m AS (SELECT count(*)::DOUBLE AS m2 FROM adj)
+SELECT community, size, coalesce(internal, 0)::BIGINT AS internal, coalesce(volume, 0)::BIGINT AS volume,
+  round(2 * coalesce(internal, 0) / m2 - (coalesce(volume, 0) / m2) * (coalesce(volume, 0) / m2), 9) AS modularity
+FROM coh LEFT JOIN inn USING (community) LEFT JOIN vol USING (community), m
+""")
+def community_modularity(spark: SparkSession, sf: str) -> DataFrame:
+    """What each community of label propagation adds to modularity."""
+    n, e, _ = supplier_graph(spark, sf)
+    return M.modularity(G.communities(n, e), e).withColumn("modularity", F.round("modularity", 9))
+
+
+@query("modularity_communities", "G17")
+def modularity_communities(spark: SparkSession, sf: str) -> DataFrame:
+    n, e, _ = supplier_graph(spark, sf)
+    return M.modularity_communities(n, e)
+
+
 @query("surprising", "G18", f"""
 WITH {_LPA.replace(_COOC, _AA)} SELECT a, b, round(aa, 6) AS adamic_adar, shared::BIGINT AS shared, x.community AS ca, y.community AS cb FROM aa JOIN g x ON x.node = a JOIN g y ON y.node = b
 WHERE x.community <> y.community AND aa > 0 AND NOT EXISTS (SELECT 1 FROM stated s WHERE s.a = aa.a AND s.b = aa.b) ORDER BY round(aa, 6) DESC, a, b LIMIT 10
