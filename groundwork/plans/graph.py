@@ -214,10 +214,10 @@ def cohesion(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("community_modularity", "G17", f"""
-WITH {_COH}, vol AS (SELECT community, count(*) AS volume FROM adj JOIN g USING (node) GROUP BY 1), m AS (SELECT count(*)::DOUBLE AS m2 FROM adj)
+WITH {_COH}, vol AS (SELECT community, count(*) AS volume FROM adj JOIN g USING (node) GROUP BY 1), tot AS (SELECT count(*)::DOUBLE AS m2 FROM adj)
 SELECT community, size, coalesce(internal, 0)::BIGINT AS internal, coalesce(volume, 0)::BIGINT AS volume,
   round(2 * coalesce(internal, 0) / m2 - (coalesce(volume, 0) / m2) * (coalesce(volume, 0) / m2), 9) AS modularity
-FROM coh LEFT JOIN inn USING (community) LEFT JOIN vol USING (community), m
+FROM coh LEFT JOIN inn USING (community) LEFT JOIN vol USING (community), tot
 """)
 def community_modularity(spark: SparkSession, sf: str) -> DataFrame:
     """What each community of label propagation adds to modularity."""
