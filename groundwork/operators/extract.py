@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .retrieval import contains_join
+from .lexicon import lexicon_join
 
 # Mention and relation patterns, confidences, the review bar.
 CAPITALISED = r"\b([A-Z][a-zA-Z0-9]+(?:\s+[A-Z][a-zA-Z0-9]+){0,3})\b"
@@ -37,7 +37,7 @@ def word_mask(c: Column) -> Column:
 def lexicon_mentions(passages: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Pack keywords (term, type) contained in the lower-cased passage text: confidence 0.9."""
     low = passages.select("passage_id", F.lower("text").alias("_low"))
-    hit = contains_join(lexicon, "term", low, "_low")
+    hit = lexicon_join(lexicon, "term", low, "_low")
     return hit.select("passage_id", F.col("term").alias("key"), "type", F.lit(LEXICON_CONFIDENCE).alias("confidence"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import communities as M
 from ..operators import extract as X
 from ..operators import graph as G
+from ..operators.lexicon import lexicon_join
 from ..registry import query
 from ..session import cut_lineage, table
 from .common import documents
@@ -285,12 +286,10 @@ WITH k AS (SELECT DISTINCT lower(p_type) AS key FROM part UNION SELECT DISTINCT
 SELECT key, count(*)::BIGINT AS documents, min(doc_id)::BIGINT AS first_document FROM k JOIN documents ON contains(lower(text), key) WHERE length(key) >= 4 GROUP BY key
 """)
 def concept_documents(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.retrieval import contains_join
-
     p = table(spark, sf, "part")
     k = p.select(F.lower("p_type").alias("key")).union(p.select(F.lower(F.regexp_extract("p_name", r"\S+$", 0)).alias("key"))).distinct().where(F.length("key") >= 4)
     low = documents(spark, sf).select("doc_id", F.lower("text").alias("low"))
-    return contains_join(k, "key", low, "low").groupBy("key").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_document"))
+    return lexicon_join(k, "key", low, "low").groupBy("key").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_document"))
 
 
 def change_documents(spark: SparkSession, sf: str) -> DataFrame:
