@@ -14,6 +14,7 @@ from ..operators import communities as M
 from ..operators import extract as X
 from ..operators import graph as G
 from ..operators.lexicon import lexicon_join
+from ..operators.quality import contradictions_by_hash
 from ..registry import query
 from ..session import cut_lineage, table
 from .common import documents
@@ -77,7 +78,7 @@ def stated_relations(spark: SparkSession, sf: str) -> DataFrame:
     return X.relations(statements(spark, sf))
 
 
-@query("contradictions", "G8 G10", f"""
+@query("contradictions", "G8", f"""
 WITH {_REL}, o AS (SELECT *, passage_id * 10 + sentence AS arrival FROM st)
 SELECT a.passage_id::BIGINT AS passage_id, a.src, a.relation, a.dst, (relation IN ('complies_with', 'belongs_to') AND EXISTS (SELECT 1 FROM o b WHERE b.src = a.src AND b.relation = a.relation AND b.dst <> a.dst AND b.arrival < a.arrival)) AS conflict FROM o a
 """)
@@ -86,6 +87,42 @@ def contradictions(spark: SparkSession, sf: str) -> DataFrame:
     return X.contradiction_flags(r).select("passage_id", "src", "relation", "dst", "conflict")
 
 
+_FLAGS = _REL + """, o AS (SELECT *, passage_id * 10 + sentence AS arrival FROM st),
+flags AS (SELECT a.passage_id, relation IN ('complies_with', 'belongs_to') AND EXISTS (SELECT 1 FROM o b WHERE b.src = a.src AND b.relation = a.relation AND b.dst <> a.dst AND b.arrival < a.arrival) AS conflict FROM o a)"""
+
+
+def flagged(spark: SparkSession, sf: str) -> DataFrame:
+    r = X.relations(statements(spark, sf)).withColumn("arrival", F.col("passage_id") * 10 + F.col("sentence"))
+    return X.contradiction_flags(r)
+
+
+@query("contradiction_hashes", "Q3", f"""
+WITH {_FLAGS} SELECT sha256(n_name) AS content_hash, count(*)::BIGINT AS flags FROM flags JOIN customer ON c_custkey = passage_id JOIN nation ON c_nationkey = n_nationkey WHERE conflict GROUP BY 1
+""")
+def contradiction_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    """Flagged statements per document, where a nation's customers are one document; suppliers' have no source."""
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.sha2("n_name", 256).alias("_hash"))
+    source = table(spark, sf, "customer").join(n, "c_nationkey").select(F.col("c_custkey").alias("passage_id"), F.array("_hash").alias("provenance"))
+    return contradictions_by_hash(flagged(spark, sf).join(source, "passage_id", "left"))
+
+
+@query("graph_counts", "G10", f"""
+WITH {_FLAGS} SELECT (SELECT count(*) FROM (SELECT src FROM st UNION SELECT dst FROM st))::BIGINT AS nodes, count(*)::BIGINT AS edges, (count(*) FILTER (conflict))::BIGINT AS contradictions FROM flags
+""")
+def graph_counts(spark: SparkSession, sf: str) -> DataFrame:
+    e = cut_lineage(flagged(spark, sf))
+    return G.graph_counts(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), e)
+
+
+@query("edge_weights", "G22", """
+SELECT l_partkey AS src, l_suppkey AS dst, count(*)::BIGINT AS edges, round(sum(CASE WHEN l_discount <> 0 THEN l_discount WHEN l_tax <> 0 THEN l_tax ELSE 1e0 END), 6) AS weight FROM lineitem GROUP BY ALL
+""")
+def edge_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """Weight of part-supplier edges: a line's discount, else its tax, else one."""
+    e = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), G.edge_weight(F.col("l_discount"), F.col("l_tax")).alias("w"))
+    return e.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("w"), 6).alias("weight"))
+
+
 @query("concept_backfill", "G7", f"""
 WITH {_REL}, ends AS (SELECT src AS key FROM st UNION SELECT dst FROM st) SELECT key, 'Concept' AS type FROM ends WHERE key NOT IN (SELECT lower(n_name) FROM nation)
 """)
@@ -144,7 +181,7 @@ def cooccurrence(spark: SparkSession, sf: str) -> DataFrame:
     return G.cooccurrence(supplier_mentions(spark, sf))
 
 
-@query("adjacency_degree", "G11 G12 G22", f"""
+@query("adjacency_degree", "G11 G12", f"""
 WITH {_COOC}, dd AS (SELECT node, count(*) AS d FROM (SELECT unnest([src, dst]) AS node FROM e) GROUP BY 1), s AS (SELECT node, count(*) AS st FROM (SELECT unnest([a, b]) AS node FROM stated) GROUP BY 1)
 SELECT nd.node, coalesce(deg.deg, 0)::BIGINT AS neighbours, coalesce(dd.d, 0)::BIGINT AS edge_ends, coalesce(s.st, 0)::BIGINT AS stated FROM nd LEFT JOIN deg USING (node) LEFT JOIN dd USING (node) LEFT JOIN s USING (node)
 """)

@@ -361,6 +361,16 @@ def graded_answers(spark: SparkSession, sf: str) -> DataFrame:
     return E.set_metrics(_graded(spark, sf))
 
 
+@query("set_gates", "Q23", """
+WITH g AS (SELECT o_orderpriority IN ('1-URGENT', '2-HIGH') AS c, o_orderstatus <> 'P' OR list_contains([(o_custkey + 1) + 0.5], o_custkey + 5e0) AS ok, o_orderstatus <> 'O' AS cited FROM orders),
+r AS (SELECT round((count(*) FILTER (c AND ok)) / (count(*) FILTER (c))::DOUBLE, 4) AS exact_count_accuracy, round((count(*) FILTER (c AND NOT ok)) / (count(*) FILTER (c))::DOUBLE, 4) AS false_answer_rate, round(avg(cited::INT), 4) AS citation_rate FROM g)
+SELECT *, concat_ws(',', CASE WHEN false_answer_rate > 0 THEN 'false_answer_rate' END, CASE WHEN exact_count_accuracy < 1 THEN 'exact_count_accuracy' END, CASE WHEN citation_rate < 95e-2 THEN 'citation_rate' END) AS gate_failures FROM r
+""")
+def set_gates(spark: SparkSession, sf: str) -> DataFrame:
+    """Gates over all sets; urgent and high orders are the counted ones."""
+    return E.set_gates(_graded(spark, sf), ("1-URGENT", "2-HIGH"))
+
+
 def _graded(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
     g = o.select(
