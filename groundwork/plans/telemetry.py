@@ -161,6 +161,15 @@ def trace_table(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("trace_spans", "M8", f"""
+WITH {_TRACE} SELECT trace_id, id, name, started_at FROM t WHERE trace_id = (SELECT arg_min(trace_id, id) FROM t)
+""")
+def trace_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """All spans of the trace that the first span belongs to."""
+    t = trace_table(spark, sf)
+    return M.trace_spans(t, "t1", t.agg(F.min_by("trace_id", "id").alias("trace_id")).first()["trace_id"]).select("trace_id", "id", "name", "started_at")
+
+
 @query("waterfall", "M9", f"""
 WITH {_TRACE} SELECT trace_id, id, name, round((started_at - min(started_at) OVER w) * 1000, 2) AS offset_ms, round(duration_ms, 2) AS duration_ms,
  round((max(started_at + duration_ms / 1e3) OVER w - min(started_at) OVER w) * 1000, 2) AS total_ms FROM t WINDOW w AS (PARTITION BY trace_id)
@@ -431,6 +440,30 @@ def audit_views(spark: SparkSession, sf: str) -> DataFrame:
     return M.audit_for_tenant(a, "t1", 100).select("id", "at", "action")
 
 
+@query("audit_trace", "M31", f"""
+WITH {_TRACE} SELECT id, started_at AS at, name AS action FROM t WHERE trace_id = (SELECT arg_max(trace_id, id) FROM t)
+""")
+def audit_trace(spark: SparkSession, sf: str) -> DataFrame:
+    """The audit rows of the trace that the last row belongs to."""
+    a = trace_table(spark, sf).select("tenant", "trace_id", "id", F.col("started_at").alias("at"), F.col("name").alias("action"))
+    return M.audit_by_trace(a, "t1", a.agg(F.max_by("trace_id", "id").alias("trace_id")).first()["trace_id"]).select("id", "at", "action")
+
+
+@query("source_cards", "M33", """
+WITH c AS (SELECT source, count(*)::BIGINT AS documents, sum(n_chars)::BIGINT AS characters FROM documents GROUP BY 1),
+h AS (SELECT source, count(*)::BIGINT AS labelled, round(avg(quality), 6) AS quality, (count(*) FILTER (toxic = 1))::BIGINT AS toxic FROM labels JOIN documents USING (doc_id) GROUP BY 1)
+SELECT c.source, documents, characters, labelled, quality, toxic FROM c LEFT JOIN h ON h.source = c.source
+""")
+def source_cards(spark: SparkSession, sf: str) -> DataFrame:
+    """Every source with its documents, and the state of its labels where it has any."""
+    d = table(spark, sf, "documents")
+    counts = d.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("characters"))
+    h = table(spark, sf, "labels").join(d.select("doc_id", "source"), "doc_id").groupBy("source").agg(
+        F.count(F.lit(1)).alias("labelled"), F.round(F.avg("quality"), 6).alias("quality"), F.count_if(F.col("toxic") == 1).alias("toxic")
+    )
+    return M.source_cards(counts, h)
+
+
 @query("open_queue", "M32", """
 SELECT event_id AS id, epoch_us(ts) // 1000 AS created_at FROM events WHERE event_type = 'error' AND json_extract_string(props, '$.k')::BIGINT > 50
 """)
