@@ -184,7 +184,7 @@ def url_canonical(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _EDGES = rf"""
-h AS (SELECT url, unnest(list_distinct(regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"#]*)', 1))) AS href FROM pages),
+h AS (SELECT url, unnest(list_distinct(list_transform(regexp_extract_all(html, '(?i)<a\s(?:[^>]*\s)?href\s*=\s*("[^"#]*|''[^''#]*|[^\s"''>#]+)', 1), lambda x: trim(regexp_replace(x, '^["'']', ''))))) AS href FROM pages),
 a AS (SELECT url, href, {_CANON.format('url')} AS src FROM h WHERE href <> ''),
 d AS (SELECT src, url, CASE WHEN href LIKE '//%' THEN 'https:' || href WHEN href LIKE '/%' THEN lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) || href WHEN regexp_matches(href, '^https?://') THEN href WHEN NOT regexp_matches(href, '^[a-zA-Z]+:') THEN regexp_replace(src, '[^/]*$', '') || href END AS dst FROM a),
 le AS (SELECT DISTINCT src, {_CANON.format('dst')} AS dst FROM d WHERE dst IS NOT NULL AND lower(regexp_extract(dst, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) = lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))
@@ -196,8 +196,11 @@ def link_edges(spark: SparkSession, sf: str) -> DataFrame:
     return R.link_edges(wide_table(spark, sf, "pages"))
 
 
+_SEED_EDGES = _EDGES.replace("= lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))\n", "IN (SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) FROM pages WHERE url LIKE 'https://%')\n")
+
+
 @query("crawl_frontier", "S17", f"""
-WITH {_EDGES}, hv AS (SELECT DISTINCT {_CANON.format('url')} AS url FROM pages), s0 AS (SELECT DISTINCT {_CANON.format('url')} AS url FROM pages WHERE url LIKE 'https://%'),
+WITH {_SEED_EDGES}, hv AS (SELECT DISTINCT {_CANON.format('url')} AS url FROM pages), s0 AS (SELECT DISTINCT {_CANON.format('url')} AS url FROM pages WHERE url LIKE 'https://%'),
 l1 AS (SELECT DISTINCT dst AS url FROM le JOIN s0 ON s0.url = src WHERE dst IN (SELECT url FROM hv) AND dst NOT IN (SELECT url FROM s0)), l2 AS (SELECT DISTINCT dst AS url FROM le JOIN l1 ON l1.url = src WHERE dst IN (SELECT url FROM hv) AND dst NOT IN (SELECT url FROM s0) AND dst NOT IN (SELECT url FROM l1))
 SELECT url, 0 AS depth FROM s0 UNION ALL SELECT url, 1 FROM l1 UNION ALL SELECT url, 2 FROM l2
 """)

@@ -202,26 +202,36 @@ def website_records(pages: DataFrame, crawled_at: str) -> DataFrame:
     return pages.select(F.lit("website").alias("source"), canonical_url(F.col("url")).alias("uri"), F.lit("text/html").alias("mime"), page_title(F.col("html"), F.col("url")).alias("title"), F.lit(crawled_at).alias("source_version"), F.col("html").alias("body"))
 
 
-def link_edges(pages: DataFrame) -> DataFrame:
-    """Distinct (src, dst) canonical links to pages of the same host, binary endings skipped."""
+#: The value of a link's href: in double quotes, in single quotes or bare, up to a fragment.
+HREF = r"""(?i)<a\s(?:[^>]*\s)?href\s*=\s*("[^"#]*|'[^'#]*|[^\s"'>#]+)"""
+
+
+def hosts_of(urls: DataFrame) -> DataFrame:
+    return urls.select(url_parts(F.col("url"))["host"].alias("host")).where("host <> ''").distinct()
+
+
+def link_edges(pages: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
+    """Distinct (src, dst) canonical links, binary endings skipped: to pages of the same host, or of any of ``hosts`` (host)."""
     p = url_parts(F.col("url"))
-    h = pages.select(canonical_url(F.col("url")).alias("src"), F.concat(p["scheme"], F.lit("://"), p["host"]).alias("_root"), p["host"].alias("_host"), F.explode(F.regexp_extract_all("html", F.lit(r'(?i)<a\s[^>]*href="([^"#]*)'), F.lit(1))).alias("href")).where("href <> ''")
+    found = F.transform(F.regexp_extract_all("html", F.lit(HREF), F.lit(1)), lambda x: F.trim(F.regexp_replace(x, "^[\"']", "")))
+    h = pages.select(canonical_url(F.col("url")).alias("src"), F.concat(p["scheme"], F.lit("://"), p["host"]).alias("_root"), p["host"].alias("_host"), F.explode(F.array_distinct(found)).alias("href")).where("href <> ''")
     dst = F.when(F.col("href").startswith("//"), F.concat(F.lit("https:"), "href")).when(F.col("href").startswith("/"), F.concat("_root", "href")).when(F.col("href").rlike("^https?://"), F.col("href")).when(~F.col("href").rlike("^[a-zA-Z]+:"), F.concat(F.regexp_replace("src", r"[^/]*$", ""), F.col("href")))
     e = h.withColumn("_d", dst).where("_d is not null")
     q = url_parts(F.col("_d"))
-    e = e.where((q["host"] == F.col("_host")) & ~q["path"].rlike(BINARY_END))
+    e = e.where(~q["path"].rlike(BINARY_END))
+    e = e.where(q["host"] == F.col("_host")) if hosts is None else e.withColumn("host", q["host"]).join(hosts, "host", "left_semi")
     return e.select("src", canonical_url(F.col("_d")).alias("dst")).distinct()
 
 
 def crawl(pages: DataFrame, seeds: DataFrame, depth: int = 2, max_pages: int | None = None) -> DataFrame:
-    """Stored pages reached from the seed urls breadth-first: (url, depth[, order]).
+    """Stored pages reached from the seed urls breadth-first: (url, depth). Links lead to any host that a seed has.
 
     ``max_pages`` is the crawl budget; pages nearer the seeds come first.
     """
     from ..session import cut_lineage
 
     have = pages.select(canonical_url(F.col("url")).alias("url")).distinct()
-    edges = cut_lineage(link_edges(pages))
+    edges = cut_lineage(link_edges(pages, hosts_of(seeds)))
     front = seeds.select(canonical_url(F.col("url")).alias("url")).distinct().join(have, "url", "left_semi").withColumn("depth", F.lit(0))
     seen = front
     for d in range(1, depth + 1):
