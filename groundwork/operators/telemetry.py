@@ -338,8 +338,7 @@ def burn_rate(ledger: DataFrame, days: int) -> DataFrame:
 
 def active_idle(events: DataFrame) -> DataFrame:
     """Per-answer active and idle time from a ``phase_ms`` map and ``total_ms``; active never exceeds the wall clock."""
-    act = F.aggregate(F.map_values("phase_ms"), F.lit(0.0), lambda a, x: a + x)
-    act = F.when(F.col("total_ms") > 0, F.least(act, F.col("total_ms"))).otherwise(act)
+    act = F.least(F.aggregate(F.map_values("phase_ms"), F.lit(0.0), lambda a, x: a + x), F.col("total_ms"))
     e = events.withColumn("_a", act).withColumn("_i", F.greatest(F.lit(0.0), F.col("total_ms") - F.col("_a")))
     tot = F.col("_a") + F.col("_i")
     pct = F.when(tot > 0, F.round(100.0 * F.col("_a") / tot, 2)).otherwise(0.0)
