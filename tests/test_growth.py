@@ -1,9 +1,18 @@
 """Odd rows of larger tables, and joins whose sides are larger than the planner believes."""
 
-from groundwork.operators import telemetry
+from pyspark.sql import functions as F
+
+from groundwork.operators import answers, telemetry
 
 
 def test_active_time_never_exceeds_the_wall_clock(spark):
     d = spark.createDataFrame([(1, 0.0, {"retrieve": 24.0, "compose": 12.0}), (2, 20.0, {"retrieve": 24.0}), (3, 40.0, {"retrieve": 10.0})], "id long, total_ms double, phase_ms map<string,double>")
     got = {r.id: (r.active_ms, r.idle_ms, r.active_pct) for r in telemetry.active_idle(d).collect()}
     assert got == {1: (0.0, 0.0, 0.0), 2: (20.0, 0.0, 100.0), 3: (10.0, 30.0, 25.0)}
+
+
+def test_word_boundaries_of_followups_are_ascii(spark):
+    turns = spark.createDataFrame([(1, 0, "Falcon"), (1, 1, "and Iequega, domentera. Doñes"), (1, 2, "and Iequega, domentera. Dones")], "conv_id long, turn long, question string")
+    sub = spark.createDataFrame([("falcon", "FALCON")], "key string, display string")
+    got = {r.turn: r.rule for r in answers.resolve_followups(turns, sub).collect()}
+    assert got == {0: "self", 1: "plain", 2: "ellipsis"}
