@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .skew import pair_blocks
+from .skew import pair_blocks, shuffled, top_k
 
 # Relevance weights and read-out thresholds.
 WEIGHTS = {"direct": 0.40, "source_overlap": 0.25, "adamic_adar": 0.20, "type_affinity": 0.15}
@@ -410,33 +410,29 @@ def call_graph(symbols: DataFrame) -> DataFrame:
     """
     known = symbols.select("repo", F.col("qualified").alias("target")).distinct()
     parts = F.split("target", r"\.")
-    suffix = known.select("repo", "target", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.size(parts) - i + 1, i), "."))).alias("suffix"))
-    one = suffix.groupBy("repo", "suffix").agg(F.count(F.lit(1)).alias("n"), F.min("target").alias("target"))
+    suffix = known.select("repo", "target", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.size(parts) - i + 1, i), "."))).alias("name"))
+    owned = suffix.groupBy("repo", "name").agg(F.count(F.lit(1)).alias("_n"), F.min("target").alias("_first"), F.bool_or(F.col("name") == F.col("target")).alias("_full"))
     mod_imp = symbols.where("kind = 'module'").select("repo", "module", F.col("imports").alias("_mi"))
-    callers = symbols.where(F.col("kind").isin("class", "function", "method", "cell", "statement")).join(mod_imp, ["repo", "module"], "left")
+    callers = symbols.where(F.col("kind").isin("class", "function", "method", "cell", "statement")).join(shuffled(mod_imp), ["repo", "module"], "left")
     c = callers.select("repo", F.col("qualified").alias("src"), "module", "cls", F.concat(F.coalesce("_mi", F.array().cast("array<string>")), F.coalesce("imports", F.array().cast("array<string>"))).alias("imps"), F.explode(F.array_distinct("calls")).alias("call"))
     p = F.split("call", r"\.")
     own = F.when(p[0].isin("self", "this", "cls") & F.col("cls").isNotNull() & (F.size(p) >= 2), F.concat_ws(".", "module", "cls", p[1]))
-    c = c.withColumn("own", own).withColumn("local", F.when(own.isNull(), F.concat_ws(".", "module", "call")))
     imp = F.filter("imps", lambda i: F.regexp_replace(i, r"^\.+", "").endswith(F.concat(F.lit("."), p[0])) | (F.regexp_replace(i, r"^\.+", "") == p[0]))
     first_imp = F.try_element_at(F.transform(imp, lambda i: F.regexp_replace(i, r"^\.+", "")), F.lit(1))
     tail = F.array_join(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), ".")
+    c = c.withColumn("own", own).withColumn("local", F.when(F.col("own").isNull(), F.concat_ws(".", "module", "call")))
     c = c.withColumn("via", F.when(F.col("own").isNull() & first_imp.isNotNull(), F.when(tail == "", first_imp).otherwise(F.concat_ws(".", first_imp, tail))))
-    hit = lambda name: known.select("repo", F.col("target").alias(name), F.lit(True).alias(f"_{name}"))
-    c = c.join(hit("own"), ["repo", "own"], "left").join(hit("local"), ["repo", "local"], "left")
-    c = c.join(one.select("repo", F.col("suffix").alias("via"), F.col("target").alias("t_via")), ["repo", "via"], "left")
-    c = c.withColumn("exact", F.when(F.col("own").isNull(), F.col("call"))).join(hit("exact"), ["repo", "exact"], "left")
-    c = c.join(one.where("n = 1").select("repo", F.col("suffix").alias("exact"), F.col("target").alias("t_suf")), ["repo", "exact"], "left")
-    dst = F.when(F.col("own").isNotNull(), F.when(F.col("_own"), F.col("own"))).otherwise(
-        F.coalesce(F.when(F.col("_local"), F.col("local")), F.col("t_via"), F.when(F.col("_exact"), F.col("exact")), F.col("t_suf"))
-    )
-    return c.select("repo", "src", dst.alias("dst")).where("dst is not null and dst <> src").distinct()
+    # the names a call may mean, first rule first, looked up in one join
+    caller = ["repo", "src", "own", "local", "via", "call"]
+    tries = F.array_compact(F.array(*[F.when(F.col(x).isNotNull(), F.struct(F.lit(i).alias("rule"), F.col(x).alias("name"))) for i, x in enumerate(("own", "local", "via"))], F.when(F.col("own").isNull(), F.struct(F.lit(3).alias("rule"), F.col("call").alias("name")))))
+    t = c.select(*caller, F.explode(tries).alias("_t")).select(*caller, "_t.rule", "_t.name").distinct().join(shuffled(owned), ["repo", "name"])
+    dst = F.when(F.col("rule") == 2, F.col("_first")).when(F.col("_full"), F.col("name")).when((F.col("rule") == 3) & (F.col("_n") == 1), F.col("_first"))
+    found = t.withColumn("dst", dst).where("dst is not null").groupBy(*caller).agg(F.min(F.struct("rule", "dst"))["dst"].alias("dst"))
+    return found.where("dst <> src").select("repo", "src", "dst").distinct()
 
 
 def call_degrees(symbols: DataFrame, edges: DataFrame, n: int = 30) -> DataFrame:
     """Most connected symbols per repository: in + out degree, ties by name."""
     d = edges.select("repo", F.explode(F.array("src", "dst")).alias("qualified")).groupBy("repo", "qualified").agg(F.count(F.lit(1)).alias("degree"))
-    from .skew import top_k
-
     ranked = top_k(d, ["repo"], [F.desc("degree"), F.col("qualified")], n)
     return ranked.join(symbols.select("repo", "qualified", "path", "symbol_kind").dropDuplicates(["repo", "qualified"]), ["repo", "qualified"])

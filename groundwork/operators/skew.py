@@ -14,6 +14,15 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a join side that is shuffled, whatever its estimated size.
+
+    Estimates after generated text, a Python function or a checkpoint come from the small columns read; a side
+    believed to be a few MB may be GB, and broadcasting it goes through the driver.
+    """
+    return df.hint("merge")
+
+
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Row with the greatest ``order`` tuple per key, by an aggregate with map-side combine."""
     rest = [c for c in df.columns if c not in keys]

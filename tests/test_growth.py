@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from groundwork.operators import answers, telemetry
+from groundwork.operators import answers, graph, telemetry
 
 
 def test_active_time_never_exceeds_the_wall_clock(spark):
@@ -16,3 +16,18 @@ def test_word_boundaries_of_followups_are_ascii(spark):
     sub = spark.createDataFrame([("falcon", "FALCON")], "key string, display string")
     got = {r.turn: r.rule for r in answers.resolve_followups(turns, sub).collect()}
     assert got == {0: "self", 1: "plain", 2: "ellipsis"}
+
+
+def test_call_rules_in_order_and_no_side_broadcast_by_estimate(spark):
+    rows = [
+        ("r", "m", "m", "module", None, [], ["lib.h"]), ("r", "m", "m.C", "class", None, [], []), ("r", "m", "m.C.f", "method", "C", ["self.g", "self.no", "h", "k", "x.y", "far", "twice"], []),
+        ("r", "m", "m.C.g", "method", "C", [], []), ("r", "m", "m.k", "function", None, ["k"], []), ("r", "lib", "lib.h", "function", None, [], []), ("r", "x", "x.y", "function", None, [], []),
+        ("r", "z", "z.far", "function", None, [], []), ("r", "z", "z.k", "function", None, [], []), ("r", "z", "z.twice", "function", None, [], []), ("r", "x", "x.twice", "function", None, [], []), ("q", "z", "z.h", "function", None, ["far"], []),
+    ]
+    s = spark.createDataFrame(rows, "repo string, module string, qualified string, kind string, cls string, calls array<string>, imports array<string>")
+    e = graph.call_graph(s)
+    assert sorted((r.repo, r.src, r.dst) for r in e.collect()) == [("r", "m.C.f", d) for d in ("lib.h", "m.C.g", "m.k", "x.y", "z.far")]
+    d = graph.call_degrees(s.withColumn("path", F.col("module")).withColumn("symbol_kind", F.col("kind")), e)
+    assert d.where("qualified = 'm.C.f'").first()["degree"] == 5
+    for x in (e,):
+        assert "Broadcast" not in x._jdf.queryExecution().sparkPlan().toString()
