@@ -435,4 +435,4 @@ def call_degrees(symbols: DataFrame, edges: DataFrame, n: int = 30) -> DataFrame
     """Most connected symbols per repository: in + out degree, ties by name."""
     d = edges.select("repo", F.explode(F.array("src", "dst")).alias("qualified")).groupBy("repo", "qualified").agg(F.count(F.lit(1)).alias("degree"))
     ranked = top_k(d, ["repo"], [F.desc("degree"), F.col("qualified")], n)
-    return ranked.join(symbols.select("repo", "qualified", "path", "symbol_kind").dropDuplicates(["repo", "qualified"]), ["repo", "qualified"])
+    return ranked.join(shuffled(symbols.select("repo", "qualified", "path", "symbol_kind").dropDuplicates(["repo", "qualified"])), ["repo", "qualified"])

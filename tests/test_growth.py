@@ -29,5 +29,5 @@ def test_call_rules_in_order_and_no_side_broadcast_by_estimate(spark):
     assert sorted((r.repo, r.src, r.dst) for r in e.collect()) == [("r", "m.C.f", d) for d in ("lib.h", "m.C.g", "m.k", "x.y", "z.far")]
     d = graph.call_degrees(s.withColumn("path", F.col("module")).withColumn("symbol_kind", F.col("kind")), e)
     assert d.where("qualified = 'm.C.f'").first()["degree"] == 5
-    for x in (e,):
+    for x in (e, d):
         assert "Broadcast" not in x._jdf.queryExecution().sparkPlan().toString()
