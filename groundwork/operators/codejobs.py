@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.braces import blocks
 from .definitions import GRAMMARS, definitions, notebook
+from .skew import shuffled
 from .telemetry import stab_join
 
 SYMBOLS = (
@@ -168,7 +169,7 @@ def enclosing(points: DataFrame, symbols: DataFrame) -> DataFrame:
     s = symbols.where("kind <> 'module'").select("repo", "path", "start_line", "end_line", "qualified")
     hit = stab_join(points.select("repo", "path", "line_no").distinct(), "line_no", s, "start_line", "end_line", ["repo", "path"])
     best = hit.groupBy("repo", "path", "line_no").agg(F.min_by("qualified", F.struct(F.col("end_line") - F.col("start_line"), "start_line", "qualified")).alias("symbol"))
-    return points.join(best, ["repo", "path", "line_no"], "left")
+    return points.join(shuffled(best), ["repo", "path", "line_no"], "left")
 
 
 # ---- manifests ----------------------------------------------------------------------------

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import floor_index, nearest_rank, round_index
+from .skew import floor_index, nearest_rank, round_index, shuffled
 
 WHY = "level_name string, explain string, reasons array<struct<code: string, detail: string>>"
 
@@ -161,8 +161,8 @@ def stab_join(points: DataFrame, point: str, intervals: DataFrame, start: str, e
     lo, hi = F.floor(F.col(start) / F.col("_w")), F.floor(F.col(end) / F.col("_w"))
     iv = iv.withColumn("_cell", F.explode(F.sequence(lo, hi))).drop("_w")
     cls = iv.select(*keys, "_cls").distinct()
-    p = points.join(cls, keys).withColumn("_cell", F.floor(F.col(point) / F.pow(F.lit(2.0), F.col("_cls"))))
-    j = p.join(iv, [*keys, "_cls", "_cell"]).where((F.col(start) <= F.col(point)) & (F.col(point) <= F.col(end)))
+    p = points.join(shuffled(cls), keys).withColumn("_cell", F.floor(F.col(point) / F.pow(F.lit(2.0), F.col("_cls"))))
+    j = p.join(shuffled(iv), [*keys, "_cls", "_cell"]).where((F.col(start) <= F.col(point)) & (F.col(point) <= F.col(end)))
     return j.drop("_cls", "_cell")
 
 

@@ -31,3 +31,11 @@ def test_call_rules_in_order_and_no_side_broadcast_by_estimate(spark):
     assert d.where("qualified = 'm.C.f'").first()["degree"] == 5
     for x in (e, d):
         assert "Broadcast" not in x._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_points_and_intervals_are_not_broadcast_by_estimate(spark):
+    p = spark.createDataFrame([("a", 3), ("a", 9)], "k string, at int")
+    i = spark.createDataFrame([("a", 1, 4), ("a", 3, 3)], "k string, lo int, hi int")
+    j = telemetry.stab_join(p, "at", i, "lo", "hi", ["k"])
+    assert sorted((r.at, r.lo) for r in j.collect()) == [(3, 1), (3, 3)]
+    assert "Broadcast" not in j._jdf.queryExecution().sparkPlan().toString()
