@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import codejobs as K
 from ..operators import convert, graph, names, retrieval
 from ..registry import query
-from ..session import cut_lineage, table
+from ..session import cut_lineage, table, wide_table
 
 _PY = '''"""Module %k for %n."""
 import os
@@ -42,7 +42,7 @@ _EXTS = ("py", "js", "go", "sql", "yml")
 
 
 def source_files(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part")
+    p = wide_table(spark, sf, "part")
     form = F.col("p_size") % 5
     t = F.lit(_YML)
     for i, body in enumerate((_PY, _JS, _GO, _SQL)):
@@ -130,7 +130,7 @@ _IPYNB = '{"cells": [{"cell_type": "markdown", "source": ["# Stock of %n\\n", "c
 
 def more_files(spark: SparkSession, sf: str) -> DataFrame:
     """Five more files of every fifth part each: Java, C#, TSX, Go with types, a notebook."""
-    p = table(spark, sf, "part")
+    p = wide_table(spark, sf, "part")
     form = F.col("p_partkey") % 5
     k = F.col("p_partkey").cast("string")
     t, ext = F.lit(_IPYNB), F.lit("ipynb")
