@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, content_tokens, normal_question
-from .skew import top_k
+from ..session import cut_lineage
+from .skew import per_key, shuffled, top_k
 
 # Promotion thresholds, set gates, bank gates, generic title words.
 THRESHOLDS = {"citation_coverage": 0.75, "grounding_pass_rate": 0.6, "answer_supportedness": 0.75, "recall": 0.5}
@@ -189,15 +190,15 @@ def known_question_match(questions: DataFrame, registry: DataFrame) -> DataFrame
     ``registry``: (entry_id, seq, pattern, examples array, enabled). A pattern can only match a question
     that holds its rarest fixed token, so the two meet on that token and the rest is verified.
     """
-    r = registry.where("enabled").withColumn("fixed", content_tokens(F.regexp_replace("pattern", "<[^>]*>", " ")))
+    r = cut_lineage(registry.where("enabled").withColumn("fixed", content_tokens(F.regexp_replace("pattern", "<[^>]*>", " "))))
     q = questions.select("query_id", normal_question(F.col("text")).alias("_qn"), content_tokens(F.col("text")).alias("_qt"))
     ex = r.select("entry_id", "seq", "fixed", F.explode(F.transform("examples", lambda e: normal_question(e))).alias("_qn"))
-    exact = q.join(ex, "_qn").select("query_id", "entry_id", "seq", F.lit(2).alias("tier"), F.size("fixed").alias("nf"))
+    exact = q.join(per_key(ex), "_qn").select("query_id", "entry_id", "seq", F.lit(2).alias("tier"), F.size("fixed").alias("nf"))
     df = q.select(F.explode("_qt").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    ft = r.select("entry_id", "seq", "fixed", F.explode("fixed").alias("t")).join(df, "t", "left").fillna(0, ["n"])
-    rare = ft.groupBy("entry_id", "seq", "fixed").agg(F.min_by("t", F.struct("n", "t")).alias("t"))
+    ft = r.select("entry_id", "seq", "fixed", F.explode("fixed").alias("t")).join(shuffled(df), "t", "left").fillna(0, ["n"])
+    rare = cut_lineage(ft.groupBy("entry_id", "seq", "fixed").agg(F.min_by("t", F.struct("n", "t")).alias("t")))
     toks = q.select("query_id", "_qt", F.explode("_qt").alias("t"))
-    pat = toks.join(rare, "t").where(F.size(F.array_except("fixed", "_qt")) == 0)
+    pat = toks.join(per_key(rare), "t").where(F.size(F.array_except("fixed", "_qt")) == 0)
     pat = pat.select("query_id", "entry_id", "seq", F.lit(1).alias("tier"), F.size("fixed").alias("nf"))
     best = exact.unionByName(pat).groupBy("query_id").agg(F.max_by(F.struct("entry_id", "tier", "nf"), F.struct(F.col("tier"), F.col("nf"), (-F.col("seq")).alias("s"))).alias("b"))
     return best.select("query_id", "b.entry_id", "b.tier", "b.nf")

@@ -23,6 +23,14 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def per_key(df: DataFrame, limit: int = 500_000) -> DataFrame:
+    """A written table of one row per key, as a join side: broadcast up to ``limit`` counted rows, else shuffled.
+
+    Joining on a key of few values would deal all rows of the other side to as many tasks.
+    """
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else shuffled(df)
+
+
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Row with the greatest ``order`` tuple per key, by an aggregate with map-side combine."""
     rest = [c for c in df.columns if c not in keys]

@@ -1,8 +1,10 @@
 """Odd rows of larger tables, and joins whose sides are larger than the planner believes."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from groundwork.operators import answers, graph, telemetry
+from groundwork.operators import answers, evaluate, graph, sheets, telemetry
 
 
 def test_active_time_never_exceeds_the_wall_clock(spark):
@@ -39,3 +41,24 @@ def test_points_and_intervals_are_not_broadcast_by_estimate(spark):
     j = telemetry.stab_join(p, "at", i, "lo", "hi", ["k"])
     assert sorted((r.at, r.lo) for r in j.collect()) == [(3, 1), (3, 3)]
     assert "Broadcast" not in j._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_sheet_cells_are_never_the_broadcast_side(spark):
+    rows = [("s", r, c, str(r * c) if r else f"h{c}") for r in range(50) for c in range(3)]
+    c = spark.createDataFrame(rows, "sheet_id string, row long, col int, value string")
+    b = sheets.body(c, sheets.detect_header(c))
+    assert b.count() == 147 and sides(b) == {"BuildRight"}
+    assert sides(sheets.row_passages(b, sheets.column_names(c, sheets.detect_header(c)))) == {"BuildRight"}
+    assert sides(sheets.numeric_ranges(b, sheets.column_types(b))) == {"BuildRight"}
+
+
+def sides(df):
+    return {"Build" + x for x in re.findall(r"Build(Left|Right)", df._jdf.queryExecution().sparkPlan().toString())}
+
+
+def test_known_questions_broadcast_only_the_registry(spark):
+    reg = spark.createDataFrame([(1, 1, "count <kind> birds", ["how many birds"], True), (2, 2, "count birds red", [], True)], "entry_id long, seq long, pattern string, examples array<string>, enabled boolean")
+    q = spark.createDataFrame([(1, "How many birds?"), (2, "count red birds now"), (3, "count"), (4, "count birds")], "query_id long, text string")
+    m = evaluate.known_question_match(q, reg)
+    assert sorted(tuple(r) for r in m.collect()) == [(1, 1, 2, 2), (2, 2, 1, 3), (4, 1, 1, 2)]
+    assert sides(m) == {"BuildRight"}
