@@ -12,6 +12,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from .skew import per_key, shuffled
+
 # Number forms; calls that leave the engine; the kinds of plan node that a query is made of.
 INT = r"^[+-]?\d{1,18}$"
 NUMBER = r"^[+-]?(\d[\d,]*\.?\d*|\.\d+)([eE][+-]?\d+)?%?$"
@@ -41,19 +44,19 @@ def detect_header(long: DataFrame) -> DataFrame:
     filled = long.where(~_blank(F.col("value")))
     first = filled.groupBy("sheet_id").agg(F.min("row").alias("first_row"))
     width = long.groupBy("sheet_id").agg((F.max("col") + 1).alias("width"))
-    j = long.join(first, "sheet_id").where("row >= first_row")
+    j = long.join(per_key(cut_lineage(first)), "sheet_id").where("row >= first_row")
     top = F.col("row") == F.col("first_row")
     g = j.groupBy("sheet_id", "first_row").agg(
         F.count_if(top & ~_blank(F.col("value"))).alias("filled"), F.bool_and(F.when(top, ~_blank(F.col("value")) & ~is_number(F.col("value")))).alias("textual"),
         F.bool_or(~top & is_number(F.col("value"))).alias("below"), F.count_distinct(F.when(top, F.lower(F.trim("value")))).alias("names"),
-    ).join(width, "sheet_id")
+    ).join(shuffled(width), "sheet_id")
     head = F.col("textual") & (F.col("filled") == F.col("width")) & (F.coalesce("below", F.lit(False)) | (F.col("names") == F.col("width")))
-    return g.select("sheet_id", "first_row", "width", F.coalesce(head, F.lit(False)).alias("had_header"))
+    return cut_lineage(g.select("sheet_id", "first_row", "width", F.coalesce(head, F.lit(False)).alias("had_header")))
 
 
 def column_names(long: DataFrame, headers: DataFrame) -> DataFrame:
     """(sheet_id, col, name): collapsed whitespace, empty to colN, repeats get _2, _3."""
-    top = long.join(headers, "sheet_id").where("row = first_row")
+    top = long.join(per_key(headers), "sheet_id").where("row = first_row")
     base = F.coalesce(F.nullif(F.trim(F.regexp_replace("value", r"\s+", " ")), F.lit("")), F.concat(F.lit("col"), (F.col("col") + 1).cast("string")))
     named = top.select("sheet_id", "col", F.when(F.col("had_header"), base).otherwise(F.concat(F.lit("col"), (F.col("col") + 1).cast("string"))).alias("base"))
     w = Window.partitionBy("sheet_id", F.lower("base")).orderBy("col")
@@ -62,7 +65,7 @@ def column_names(long: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def body(long: DataFrame, headers: DataFrame) -> DataFrame:
-    j = long.join(headers.select("sheet_id", "first_row", "had_header"), "sheet_id")
+    j = long.join(per_key(headers.select("sheet_id", "first_row", "had_header")), "sheet_id")
     return j.where(F.col("row") >= F.col("first_row") + F.col("had_header").cast("int")).drop("first_row", "had_header")
 
 
@@ -88,7 +91,7 @@ def coerce(value: Column, ctype: Column) -> tuple[Column, Column]:
 
 def numeric_ranges(cells_: DataFrame, types: DataFrame) -> DataFrame:
     """Min and max per numeric column."""
-    j = cells_.join(types, ["sheet_id", "col"]).where(F.col("type") != "text")
+    j = cells_.join(per_key(cut_lineage(types)), ["sheet_id", "col"]).where(F.col("type") != "text")
     n, _ = coerce(F.col("value"), F.col("type"))
     return j.select("sheet_id", "col", n.alias("n")).where("n is not null").groupBy("sheet_id", "col").agg(F.min("n").alias("min"), F.max("n").alias("max"))
 
@@ -96,7 +99,7 @@ def numeric_ranges(cells_: DataFrame, types: DataFrame) -> DataFrame:
 def row_passages(cells_: DataFrame, names: DataFrame, cap: int | None = None) -> DataFrame:
     """``col: value; ...`` per row, blanks skipped. ``cap`` limits rows per sheet when given."""
     c = cells_ if cap is None else cells_.where(F.col("row") <= cap)
-    j = c.where(~_blank(F.col("value"))).join(names, ["sheet_id", "col"])
+    j = c.where(~_blank(F.col("value"))).join(per_key(cut_lineage(names)), ["sheet_id", "col"])
     g = j.groupBy("sheet_id", "row").agg(F.array_sort(F.collect_list(F.struct("col", F.concat_ws(": ", "name", F.trim("value")).alias("t")))).alias("p"))
     return g.select("sheet_id", "row", F.array_join(F.transform("p", lambda x: x["t"]), "; ").alias("passage"))
 
