@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN, tokens
 from ..session import cut_lineage
-from .skew import top_k
+from .skew import per_key, shuffled, top_k
 
 # BM25 constants.
 K1, B = 1.5, 0.75
@@ -224,19 +224,29 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
     return top_k(out, ["query_id"], [F.desc("score"), F.col("passage_id")], k)
 
 
+#: Characters of a needle that are met exactly; the rest of a longer one is verified.
+KEY = 16
+
+
 def contains_join(needles: DataFrame, needle: str, hay: DataFrame, text: str) -> DataFrame:
     """All (needle row, hay row) pairs with ``needle`` a substring of ``text``, without a cross join.
 
     A text can only hold a needle when it holds the needle's first characters (three of them, or all
-    of a shorter needle), so both sides meet on that gram and the hit is verified. Grams no needle
-    starts with never leave the text's task.
+    of a shorter needle); grams no needle starts with never leave the text's task. What follows the others in
+    the text, in the lengths that needles have, meets the needles cut to ``KEY`` characters; longer ones are verified.
     """
-    n = needles.where(F.length(needle) > 0).withColumn("_gram", F.substring(needle, 1, 3))
-    starts = n.select("_gram").distinct()
-    slide = lambda k: F.regexp_extract_all(F.col(text), F.lit("(?s)(?=(.{%d}))" % k), F.lit(1))
-    grams = F.array_distinct(F.concat(slide(3), slide(2), slide(1)))
+    n = needles.where(F.length(needle) > 0).withColumn("_key", F.substring(needle, 1, KEY))
+    starts = n.select(F.substring(needle, 1, 3).alias("_gram")).distinct()
+    lengths = sorted(r[0] for r in n.select(F.length("_key")).distinct().collect())  # KEY numbers at most
+    slide = lambda k: F.regexp_extract_all(F.col(text), F.lit("(?s)(?=(.{%d}))." % k), F.lit(1))
+    grams = F.array_distinct(F.concat(slide(3), *[slide(k) for k in (2, 1) if k in lengths]))
     h = hay.withColumn("_gram", F.explode(grams)).join(starts, "_gram", "left_semi")
-    return n.join(h, "_gram").where(F.col(text).contains(F.col(needle))).drop("_gram")
+    quoted = F.concat(F.lit("(?s)(?=(\\Q"), F.replace("_gram", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E.{0,%d}))." % (KEY - 3)))
+    size = F.length("_gram")
+    cut = lambda p: F.array(*[F.when((F.length(p) >= k) & ((size == k) | (size == 3) & F.lit(k > 3)), F.substring(p, 1, k)) for k in lengths], F.lit(None).cast("string"))
+    keys = F.array_distinct(F.array_compact(F.flatten(F.transform(F.regexp_extract_all(F.col(text), quoted, F.lit(1)), cut))))
+    h = h.withColumn("_key", F.explode(keys)).drop("_gram")
+    return h.join(per_key(n), "_key").where(F.col(text).contains(F.col(needle))).drop("_key")
 
 
 def identifier_hits(qtokens: DataFrame, assets: DataFrame, weights: dict[str, int], first_only: bool) -> DataFrame:
@@ -255,7 +265,7 @@ def identifier_hits(qtokens: DataFrame, assets: DataFrame, weights: dict[str, in
         tier = tier.unionByName(p)
     agg = F.max("w") if first_only else F.sum("w")
     tier = tier.groupBy("token", "passage_id").agg(agg.alias("w"))
-    hits = qtokens.join(tier, "token").groupBy("query_id", "passage_id")
+    hits = qtokens.join(shuffled(tier), "token").groupBy("query_id", "passage_id")
     return hits.agg(F.sum("w").cast("double").alias("score"))
 
 

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from groundwork.operators import answers, evaluate, graph, sheets, telemetry
+from groundwork.operators import answers, evaluate, graph, retrieval, sheets, telemetry
 
 
 def test_active_time_never_exceeds_the_wall_clock(spark):
@@ -62,3 +62,12 @@ def test_known_questions_broadcast_only_the_registry(spark):
     m = evaluate.known_question_match(q, reg)
     assert sorted(tuple(r) for r in m.collect()) == [(1, 1, 2, 2), (2, 2, 1, 3), (4, 1, 1, 2)]
     assert sides(m) == {"BuildRight"}
+
+
+def test_substrings_meet_on_more_than_their_first_characters(spark):
+    words = ["lookup12", "lookup123", "a", "b.", "loo", "12", "x\\E", "lookup1234567890abcd", "lookup1234567890abce", "𝒳y"]
+    texts = ["see lookup1234 and lookup12", "ab.", "x\\E x\\E", "LOOK", "lookup1234567890abcd!", "𝒳𝒳yz", ""]
+    n = spark.createDataFrame([(w,) for w in words], "w string")
+    h = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
+    got = sorted((r.w, r.id) for r in retrieval.contains_join(n, "w", h, "t").collect())
+    assert got == sorted((w, i) for w in words for i, t in enumerate(texts) if w in t)
