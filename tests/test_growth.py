@@ -20,13 +20,15 @@ def test_word_boundaries_of_followups_are_ascii(spark):
     assert got == {0: "self", 1: "plain", 2: "ellipsis"}
 
 
-def test_call_rules_in_order_and_no_side_broadcast_by_estimate(spark):
+def test_call_rules_in_order_and_no_side_broadcast_by_estimate(spark, tmp_path):
     rows = [
         ("r", "m", "m", "module", None, [], ["lib.h"]), ("r", "m", "m.C", "class", None, [], []), ("r", "m", "m.C.f", "method", "C", ["self.g", "self.no", "h", "k", "x.y", "far", "twice"], []),
         ("r", "m", "m.C.g", "method", "C", [], []), ("r", "m", "m.k", "function", None, ["k"], []), ("r", "lib", "lib.h", "function", None, [], []), ("r", "x", "x.y", "function", None, [], []),
         ("r", "z", "z.far", "function", None, [], []), ("r", "z", "z.k", "function", None, [], []), ("r", "z", "z.twice", "function", None, [], []), ("r", "x", "x.twice", "function", None, [], []), ("q", "z", "z.h", "function", None, ["far"], []),
     ]
     s = spark.createDataFrame(rows, "repo string, module string, qualified string, kind string, cls string, calls array<string>, imports array<string>")
+    s.write.parquet(str(tmp_path / "s"))  # a file's small estimate
+    s = spark.read.parquet(str(tmp_path / "s"))
     e = graph.call_graph(s)
     assert sorted((r.repo, r.src, r.dst) for r in e.collect()) == [("r", "m.C.f", d) for d in ("lib.h", "m.C.g", "m.k", "x.y", "z.far")]
     d = graph.call_degrees(s.withColumn("path", F.col("module")).withColumn("symbol_kind", F.col("kind")), e)
@@ -35,9 +37,11 @@ def test_call_rules_in_order_and_no_side_broadcast_by_estimate(spark):
         assert "Broadcast" not in x._jdf.queryExecution().sparkPlan().toString()
 
 
-def test_points_and_intervals_are_not_broadcast_by_estimate(spark):
+def test_points_and_intervals_are_not_broadcast_by_estimate(spark, tmp_path):
     p = spark.createDataFrame([("a", 3), ("a", 9)], "k string, at int")
     i = spark.createDataFrame([("a", 1, 4), ("a", 3, 3)], "k string, lo int, hi int")
+    i.write.parquet(str(tmp_path / "i"))  # a file's small estimate
+    i = spark.read.parquet(str(tmp_path / "i"))
     j = telemetry.stab_join(p, "at", i, "lo", "hi", ["k"])
     assert sorted((r.at, r.lo) for r in j.collect()) == [(3, 1), (3, 3)]
     assert "Broadcast" not in j._jdf.queryExecution().sparkPlan().toString()
