@@ -24,8 +24,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import cut_lineage
 from .retrieval import B, K1, access_key
-from .skew import top_k
+from .skew import per_key, top_k
 
 BUCKETS = 16
 SHARD_PASSAGES = 8192
@@ -94,19 +95,24 @@ def _line(terms: Column) -> Column:
     return F.nullif(F.array_join(terms, " "), F.lit(""))
 
 
+def _dealt(passages: DataFrame, shard_passages: int) -> DataFrame:
+    """``passages`` with the number of their shard, ``part``, dealt by it."""
+    cores = passages.sparkSession.sparkContext.defaultParallelism
+    n = F.count(F.lit(1))
+    parts = F.greatest(F.ceil(n / shard_passages), F.least(F.lit(cores), F.ceil(n / 256))).cast("int")
+    # one row per access list; a shuffled join on it would deal all passages to as many tasks as there are lists
+    sizes = per_key(cut_lineage(passages.groupBy("tenant", "acl_key").agg(parts.alias("parts"))))
+    dealt = passages.join(sizes, ["tenant", "acl_key"]).withColumn("part", F.pmod(F.xxhash64("passage_id"), "parts").cast("int")).drop("parts")
+    return dealt.repartition("tenant", "acl_key", "part")
+
+
 def _lay(passages: DataFrame, path: str, segment: int, shard_passages: int) -> None:
     """Write (tenant, acl_key, passage_id, dl, terms in a line, tfs array or null) passages as shards: passages and postings.
 
     A shard is inverted in one task, so passages are shuffled once and single postings never.
     """
     spark = passages.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    n = F.count(F.lit(1))
-    parts = F.greatest(F.ceil(n / shard_passages), F.least(F.lit(cores), F.ceil(n / 256))).cast("int")
-    sizes = passages.groupBy("tenant", "acl_key").agg(parts.alias("parts"))
-    dealt = passages.join(sizes, ["tenant", "acl_key"]).withColumn("part", F.pmod(F.xxhash64("passage_id"), "parts").cast("int")).drop("parts")
-    # the join above deals rows by access list alone, which would do as a distribution for the groups below
-    dealt = dealt.repartition("tenant", "acl_key", "part")
+    dealt = _dealt(passages, shard_passages)
     kind = dict(passages.dtypes)["passage_id"]
     schema = f"tenant string, acl_key string, part int, term string, ats array<int>, tfs array<int>, max_tf int, min_dl long, passage_id {kind}, at int, dl long"
     made = f"{path}/made/segment={segment}"

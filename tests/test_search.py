@@ -136,3 +136,17 @@ def test_tenant_is_required(spark):
     q = spark.createDataFrame([("q", "t1", "x", ["public"])], "query_id string, tenant string, text string, accessible array<string>")
     with pytest.raises(ValueError):
         guards.tenant_guard(q, "")
+
+
+def test_passages_are_not_dealt_by_access_list(spark):
+    """A join by access list would put all passages into as many tasks as there are lists."""
+    rows = [("t1", "public", i, 1, "word", None) for i in range(600)]
+    p = spark.createDataFrame(rows, "tenant string, acl_key string, passage_id long, dl long, terms string, tfs array<int>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = search._dealt(p, 8192)
+        plan = d._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert d.select("part").distinct().count() == 3 and d.count() == 600
