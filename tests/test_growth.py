@@ -2,9 +2,12 @@
 
 import re
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from groundwork.operators import answers, evaluate, graph, retrieval, sheets, telemetry
+from groundwork.operators import answers, evaluate, graph, retrieval, sheets, telemetry, vectors
+from groundwork.operators.skew import top_k
 
 
 def test_active_time_never_exceeds_the_wall_clock(spark):
@@ -75,3 +78,45 @@ def test_substrings_meet_on_more_than_their_first_characters(spark):
     h = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
     got = sorted((r.w, r.id) for r in retrieval.contains_join(n, "w", h, "t").collect())
     assert got == sorted((w, i) for w in words for i, t in enumerate(texts) if w in t)
+
+
+@pytest.mark.parametrize("threshold", [0.9, 0.2])
+def test_near_duplicates_of_wide_vectors_are_neither_replicated_nor_shuffled_in_pairs(spark, monkeypatch, threshold):
+    """Brute force gives the same, with the bound of the leading coordinates (high threshold) and without."""
+    monkeypatch.setattr(vectors, "BLOCK", 40)
+    monkeypatch.setattr(vectors, "CELLS", 300)
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(150, 40)) * np.r_[np.full(32, 3.0), np.full(8, 0.05)]
+    m[:30] = m[0] + rng.normal(scale=0.01, size=(30, 40))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    assert (vectors._basis(m, threshold) is None) == (threshold == 0.2)
+    rows = [(i, i // 2, (i * 7) % 11, [float(x) for x in r]) for i, r in enumerate(m)]
+    sims, want = m @ m.T, {}
+    for i, di, si, _ in rows:
+        hits = [(s, d, j) for j, d, s, _ in rows if d != di and sims[i, j] >= threshold]
+        if hits:
+            older = [h for h in hits if (h[0], h[1]) < (si, di)]
+            want[i] = (min(hits)[2] if older else None, len(older), len(hits) - len(older))
+    v = spark.createDataFrame(rows, "id long, document_id long, seq long, vec array<double>")
+    out = vectors.near_duplicates(v, threshold)
+    assert {r.id: (r.dup_of, r.originals, r.copies) for r in out.collect()} == want and len(want) >= 30
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "CartesianProduct" in plan and "CoGroup" not in plan
+
+
+def test_blocked_topk_with_ties_equals_sorting(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 50)
+    monkeypatch.setattr(vectors, "CELLS", 2000)
+    rng = np.random.default_rng(4)
+    m = rng.integers(-2, 3, size=(400, 5)) / 4.0  # many equal products
+    v = spark.createDataFrame([(i, [float(x) for x in r], i // 3, "ab"[i % 2]) for i, r in enumerate(m)], "id long, vec array<double>, document_id long, label string")
+    part = vectors._blocked_topk(v, v, 3, "document_id", "query_id long, id long, score double", "label")
+    assert part.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 3 * 8
+    assert "CoGroup" not in part._jdf.queryExecution().sparkPlan().toString()
+    got = sorted((r.query_id, r["rank"], r.id, r.score) for r in top_k(part, ["query_id"], [F.desc("score"), F.col("id")], 3).collect())
+    sims = np.round(m @ m.T, 6) + 0.0
+    want = []
+    for i in range(400):
+        best = sorted((-sims[i, j], j) for j in range(400) if j // 3 != i // 3 and j % 2 == i % 2)[:3]
+        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    assert got == want
