@@ -44,7 +44,10 @@ def _inside(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def modularity(groups: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per community: size, inner edges, sum of degrees, and its share of the modularity of ``groups`` (node, community)."""
+    """Per community: size, inner edges, sum of degrees, and its share of the modularity of ``groups`` (node, community).
+
+    Shares are parts of all edges; in a graph without any they are not a number.
+    """
     adj = adjacency(_inside(groups, edges)).join(groups.select("node", "community"), "node")
     other = groups.select(F.col("node").alias("nb"), F.col("community").alias("_nc"))
     sums = adj.join(other, "nb").groupBy("community").agg(
@@ -54,7 +57,7 @@ def modularity(groups: DataFrame, edges: DataFrame) -> DataFrame:
     out = size.join(sums, "community", "left").fillna(0, ["volume", "_twice"])
     m2 = sums.agg(F.coalesce(F.sum("volume"), F.lit(0)).alias("m")).first()["m"]
     part = F.col("volume") / float(m2 or 1)
-    share = F.col("_twice") / float(m2 or 1) - part * part
+    share = F.col("_twice") / float(m2 or 1) - part * part if m2 else F.lit(float("nan"))
     return out.select("community", "size", F.expr("_twice div 2").alias("internal"), "volume", share.alias("modularity"))
 
 

@@ -1,5 +1,6 @@
 """Modularity communities against plain Python: hand graphs, and optima that no move and no merger betters."""
 
+import math
 import random
 from collections import Counter
 from fractions import Fraction
@@ -54,3 +55,11 @@ def test_empty_tables(spark):
     assert M.modularity_communities(n, e).count() == 0 and M.modularity(n.selectExpr("node", "node as community"), e).count() == 0
     one = spark.createDataFrame([(7,), (None,)], "node long")
     assert [tuple(r) for r in M.modularity_communities(one, e).collect()] == [(7, 7)]
+
+
+def test_shares_of_no_edges_are_not_a_number(spark):
+    """As 0 / 0 is in the SQL of community_modularity, whose graph loses its edges as the tables grow."""
+    n, e = spark.createDataFrame([(1, 1), (2, 1), (3, 3)], "node long, community long"), spark.createDataFrame([(2, 2), (3, 4)], "src long, dst long")
+    got = {r.community: r for r in M.modularity(n, e).collect()}
+    assert {k: (r.size, r.internal, r.volume) for k, r in got.items()} == {1: (2, 0, 0), 3: (1, 0, 0)}
+    assert all(math.isnan(r.modularity) for r in got.values())
