@@ -407,7 +407,6 @@ def authority_conflicts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("fuzzy_names", "J17")
 def fuzzy_names(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part")
-    al = p.select(F.col("p_name").alias("name"), F.col("p_name").alias("alias")).distinct()
-    q = p.select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("where is the "), F.expr("substr(p_name, 1, length(p_name) - 1)"), F.lit(" of "), "p_brand").alias("text"))
+    al = table(spark, sf, "part").select(F.col("p_name").alias("name"), F.col("p_name").alias("alias")).distinct()
+    q = wide_table(spark, sf, "part").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("where is the "), F.expr("substr(p_name, 1, length(p_name) - 1)"), F.lit(" of "), "p_brand").alias("text"))
     return names.resolve_names(q, al).withColumn("options", F.array_join("options", ","))

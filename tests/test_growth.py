@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from groundwork.operators import answers, evaluate, graph, retrieval, sheets, telemetry, vectors
+from groundwork.operators import answers, evaluate, graph, names, retrieval, sheets, telemetry, vectors
 from groundwork.operators.skew import top_k
 
 
@@ -120,3 +120,23 @@ def test_blocked_topk_with_ties_equals_sorting(spark, monkeypatch):
         best = sorted((-sims[i, j], j) for j in range(400) if j // 3 != i // 3 and j % 2 == i % 2)[:3]
         want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
     assert got == want
+
+
+def test_names_are_resolved_once_per_text(spark, monkeypatch):
+    """Pairs of questions and aliases are made per text; each row takes what its own text found, a null text nothing."""
+    asked, whole = [], names.similar_tokens
+
+    def seen(left, right, floor):
+        asked.append(left.count())
+        return whole(left, right, floor)
+
+    monkeypatch.setattr(names, "similar_tokens", seen)
+    texts = ["Where is the large rin of brand?", "where is the LARGE rin of brand?", "hot bolt", "nothing", None]
+    q = spark.createDataFrame([(i, texts[i % 5]) for i in range(100)], "query_id long, text string")
+    al = spark.createDataFrame([(n, n) for n in ("large ring", "large rod", "hot bolt")], "name string, alias string")
+    got = {}
+    for r in names.resolve_names(q, al).collect():
+        got.setdefault(r.query_id % 5, set()).add((r.status, r.name, r.score))
+    assert asked == [7 + 2 + 1]
+    ring = {("ok", "large ring", round((1 + 6 / 7) / 2, 6))}
+    assert got == {0: ring, 1: ring, 2: {("ok", "hot bolt", 1.0)}, 3: {("none", None, None)}, 4: {("none", None, None)}}
