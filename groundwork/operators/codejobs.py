@@ -387,10 +387,14 @@ def cited_paths(citations: DataFrame, files: DataFrame) -> DataFrame:
     return want.join(known, ["repo", "path"], "left_anti")
 
 
+def summary_line() -> Column:
+    """Kind and qualified name of a symbol, and the first line of its docstring."""
+    return F.concat_ws(" ", F.col("kind"), F.col("qualified"), F.when(F.col("docstring") != "", F.concat(F.lit("- "), F.element_at(F.split("docstring", "\n"), 1))))
+
+
 def symbol_passages(files: DataFrame, symbols: DataFrame, branch: str = "main") -> DataFrame:
     """One passage per symbol with its own lines, a summary line and a line-anchored url."""
     s = symbols.where("kind <> 'module'").join(files.select("repo", "path", "text"), ["repo", "path"])
     body = F.array_join(F.slice(F.split("text", "\n"), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
     url = F.format_string(f"https://github.com/%s/blob/{branch}/%s#L%d-L%d", "repo", "path", "start_line", "end_line")
-    summary = F.concat_ws(" ", F.col("kind"), F.col("qualified"), F.when(F.col("docstring") != "", F.concat(F.lit("- "), F.element_at(F.split("docstring", "\n"), 1))))
-    return s.select("repo", "path", "language", "kind", "symbol", "qualified", "start_line", "end_line", url.alias("url"), summary.alias("summary_line"), F.regexp_replace(body, r"\s+$", "").alias("text"))
+    return s.select("repo", "path", "language", "kind", "symbol", "qualified", "start_line", "end_line", url.alias("url"), summary_line().alias("summary_line"), F.regexp_replace(body, r"\s+$", "").alias("text"))

@@ -397,8 +397,11 @@ def asset_search(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("symbol_search", "R38 A15")
 def symbol_search(spark: SparkSession, sf: str) -> DataFrame:
-    a = code_assets(spark, sf).withColumnRenamed("passage_id", "symbol_id")
-    return names.find_symbols(brand_questions(spark, sf), a)
+    # what code_assets has of a symbol, without the join with its file for the lines
+    files = source_files(spark, sf).where(K.language_of(F.col("path")).isin("python", "javascript", "go"))
+    s = K.extract_symbols(files).where("kind <> 'module'")
+    s = s.select(F.xxhash64("repo", "qualified").alias("symbol_id"), "repo", "path", "symbol", "qualified", K.summary_line().alias("docstring"))
+    return names.find_symbols(brand_questions(spark, sf), cut_lineage(s))
 
 
 @query("symbol_examples", "A15", f"""

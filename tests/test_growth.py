@@ -140,3 +140,31 @@ def test_names_are_resolved_once_per_text(spark, monkeypatch):
     assert asked == [7 + 2 + 1]
     ring = {("ok", "large ring", round((1 + 6 / 7) / 2, 6))}
     assert got == {0: ring, 1: ring, 2: {("ok", "hot bolt", 1.0)}, 3: {("none", None, None)}, 4: {("none", None, None)}}
+
+
+def test_symbols_are_scored_where_they_stand(spark, monkeypatch):
+    """Brute force gives the same with ties, many batches and many blocks of queries, and no hits are shuffled."""
+    from difflib import SequenceMatcher
+
+    monkeypatch.setattr(names, "BLOCK", 60)
+    monkeypatch.setattr(names, "CELLS", 40)
+    tops = ["price", "prices", "lookup", "Lookup", "prise", "Ring", None, "look"]
+    rows = [(i, f"r{i % 3}", f"src/{'price' if i % 4 else 'm'}{i}.py", tops[i % 8], f"a.{tops[(i * 5) % 8]}", [None, "the Ring price", "é look"][i % 3]) for i in range(120)]
+    asks = {f"q{i}": x for i, x in enumerate(["price of the ring", "lookup 1", "prices", "", None, "look price", "lookups"])}
+    s = spark.createDataFrame(rows, "symbol_id long, repo string, path string, symbol string, qualified string, docstring string")
+    out = names.find_symbols(spark.createDataFrame(list(asks.items()), "query_id string, text string"), s, 5)
+    got = sorted((r.query_id, r["rank"], r.symbol_id, r.score) for r in out.collect())
+    want = []
+    for k, text in asks.items():
+        scored = []
+        for i, repo, path, *cols in rows:
+            name, qualified, doc = ((c or "").lower() for c in cols)
+            total = 0.0
+            for t in {t for t in re.findall("[a-z0-9]+", (text or "").lower()) if t not in ("of", "the")}:
+                inside = t in name or t in qualified
+                total += 5 if t == name else 2 if inside else 3 if SequenceMatcher(None, t, name).ratio() >= 0.85 else 0
+                total += (t in path) + 0.5 * (t in doc)
+            scored.append((-total, repo, path, i))
+        want += [(k, n + 1, x[3], -x[0]) for n, x in enumerate(sorted(x for x in scored if x[0])[:5])]
+    assert got == sorted(want)
+    assert "MapInArrow" in out._jdf.queryExecution().sparkPlan().toString()
