@@ -7,6 +7,7 @@ import shutil
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +171,33 @@ def test_merging_and_counting_explode_no_postings(spark, tmp_path, monkeypatch):
     assert rows_of(found) == rows_of(search.search(spark, f"{tmp_path}/i", q, 9)) and found.count() == 4
     n = spark.read.parquet(f"{tmp_path}/m/passages").where("dl = 0").count()
     assert n == 5
+
+
+def test_a_shard_is_scored_for_all_questions_of_a_block_at_once():
+    """Brute force gives the same for two mean lengths and dead passages; worth of a posting is computed per mean length, not per question."""
+    rng = np.random.default_rng(7)
+    n, terms, k = 300, 40, 3
+    length, live = rng.integers(5, 60, n).astype(np.float64), rng.random(n) > 0.1
+    count = rng.poisson(rng.uniform(0.01, 1.5, terms)[:, None], (terms, n))
+    count[:, 0] = 1  # no term without a posting
+    asks = [(f"q{i}", 20.0 + 10 * (i % 2), {int(t): float(rng.uniform(0.1, 9)) for t in rng.choice(terms, 6, replace=False)}) for i in range(50)]
+    at = [np.flatnonzero(c) for c in count]
+    qs = [[{"query_id": q, "w": ws[t], "avgdl": m} for q, m, ws in asks if t in ws] for t in range(terms)]
+    kind = pa.list_(pa.struct([("query_id", pa.string()), ("w", pa.float64()), ("avgdl", pa.float64())]))
+    rows = pa.table({
+        "ats": pa.array([a.tolist() for a in at], pa.list_(pa.int32())), "tfs": pa.array([count[t][a].tolist() for t, a in enumerate(at)], pa.list_(pa.int32())),
+        "max_tf": pa.array(count.max(1), pa.int32()), "min_dl": pa.array([int(length[a].min()) for a in at], pa.int64()), "qs": pa.array(qs, kind),
+    })
+    calls, gain = [], search._gain
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(search, "_gain", lambda *x: calls.append(np.size(x[0])) or gain(*x))
+        ids, found, scores = search.best_of_questions(rows, length, live, k)
+    assert calls == [sum(map(len, at)), terms] * 2
+    got = {}
+    for q, p, x in zip(ids.to_pylist(), found.tolist(), scores.tolist(), strict=True):
+        got.setdefault(q, []).append((-round(x, 6), p))
+    for q, mean, ws in asks:
+        want = sum(w * np.where(count[t] > 0, gain(count[t], length, mean), 0.0) for t, w in ws.items()) * live
+        best = sorted((-round(x, 6), p) for p, x in enumerate(want.tolist()) if x > 0)[:k]
+        assert [p for _, p in sorted(got[q])[:k]] == [p for _, p in best]
+    assert search.best_of_questions(rows.slice(0, 0), length, live, k)[0].to_pylist() == []
