@@ -6,7 +6,7 @@ French and German ones without their last line, Spanish ones absent, and every w
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import versions as V
@@ -53,13 +53,13 @@ def ingest_diff(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("source", "uri", "status", F.col("version").cast("long").alias("version"), "content_hash")
 
 
-def passages_of(docs: DataFrame, version: int) -> DataFrame:
-    """One passage per line."""
-    p = docs.select("document_id", "content_hash", F.posexplode(F.split("text", "\n")).alias("pos", "text")).where("text <> ''")
+def passages_of(docs: DataFrame, version: int, *more: Column | str) -> DataFrame:
+    """One passage per line, with ``more`` columns of its document."""
+    p = docs.select("document_id", "content_hash", *more, F.posexplode(F.split("text", "\n")).alias("pos", "text")).where("text <> ''")
     pid = F.concat_ws(":", "document_id", F.lit(str(version)), F.col("pos").cast("string"))
     return p.select(
         pid.alias("passage_id"), "document_id", F.lit(version).cast("long").alias("version"), F.col("pos").cast("long").alias("pos"),
-        "text", "content_hash", F.lit("1").alias("source_version"), F.lit(None).cast("string").alias("superseded_by"),
+        "text", "content_hash", F.lit("1").alias("source_version"), F.lit(None).cast("string").alias("superseded_by"), *[c for c in p.columns if c not in ("document_id", "content_hash", "pos", "text")],
     )
 
 

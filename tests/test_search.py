@@ -201,3 +201,48 @@ def test_a_shard_is_scored_for_all_questions_of_a_block_at_once():
         best = sorted((-round(x, 6), p) for p, x in enumerate(want.tolist()) if x > 0)[:k]
         assert [p for _, p in sorted(got[q])[:k]] == [p for _, p in best]
     assert search.best_of_questions(rows.slice(0, 0), length, live, k)[0].to_pylist() == []
+
+
+def test_shards_are_filled_in_place_and_merged_without_lines(spark, made, tmp_path, monkeypatch):
+    """Passages are not shuffled into shards, however few a task holds at a time, and one merge of all is the same index."""
+    first, asked = made
+    monkeypatch.setattr(search, "PIECE", 1)
+    monkeypatch.setattr(search, "HELD", 4000)
+    monkeypatch.setattr(search, "_dealt", None)
+    path, one = str(tmp_path / "i"), str(tmp_path / "m")
+    qs = spark.createDataFrame(asked, "query_id string, tenant string, text string, accessible array<string>")
+    search.add_segment(spark.createDataFrame(first, SCHEMA), path, shard_passages=30)
+    same(rows_of(search.search(spark, path, qs, 7)), plain(first, asked, 7))
+    gone = [r for r in first if r[1].endswith(("2", "9"))]
+    search.add_segment(spark.createDataFrame([("t1", "new", "w1 w1 É w2", ["public"])], SCHEMA), path, gone=spark.createDataFrame(gone, SCHEMA), shard_passages=30)
+    live = [r for r in first if r not in gone] + [("t1", "new", "w1 w1 É w2", ["public"])]
+    search.merge_segments(spark, path, one, shard_passages=100)
+    counts = lambda p: sorted(tuple(r) for r in search.term_counts(spark, p, "t1", ["public"]).collect())
+    assert counts(path) == counts(one)
+    sizes = [r["count"] for r in spark.read.parquet(f"{one}/passages").groupBy("tenant", "acl_key", "part").count().collect()]
+    assert max(sizes) <= 100 and sum(sizes) == len(live)
+    same(rows_of(search.search(spark, one, qs, 7)), plain(live, asked, 7))
+
+
+def test_lists_are_packed_in_few_bytes():
+    """Each list takes the bytes that its largest number needs; terms are runs of letters and digits of ASCII."""
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(1, 50, 300)
+    top = rng.choice([2, 255, 256, 65535, 65536, 1 << 30], 300)
+    x = np.concatenate([np.r_[t, rng.integers(0, t + 1, n - 1)] for t, n in zip(top, sizes)]).astype(np.int64)
+    packed = search.narrow(x, np.cumsum(sizes) - sizes)
+    assert (search.widen(packed, sizes) == x).all()
+    assert (search.widen(packed.slice(100, 50), sizes[100:150]) == x[sizes[:100].sum() : sizes[:150].sum()]).all()
+    assert [len(b) // n for b, n in zip(packed.to_pylist(), sizes.tolist())] == [1 if t < 256 else 2 if t < 65536 else 4 for t in top]
+    lines = ["", None, "  a1-b é z", "a1", "...", "x\ny "]
+    for at in (0, 2):
+        n, words = search.split_terms(pa.array(lines).slice(at))
+        want = [re.findall("[a-z0-9]+", t or "") for t in lines[at:]]
+        assert n.tolist() == [len(w) for w in want] and words.to_pylist() == sum(want, [])
+
+
+def test_shards_that_live_are_packed_together():
+    row = lambda segment, part, n, dead, tenant="t": {"segment": segment, "tenant": tenant, "acl_key": "a", "part": part, "n": n, "dead": dead}
+    got = search.pack([row(0, 0, 90, 0), row(0, 1, 40, 5), row(1, 0, 30, 0), row(1, 1, 7, 7), row(0, 2, 120, 1), row(0, 0, 5, 0, None)], 100)
+    assert sorted(x[:1] + x[2:] for x in got if x[1]) == [(0, "a", 0, 1, True), (0, "a", 1, 0, False), (0, "a", 2, 2, False), (1, "a", 0, 0, False)]
+    assert [x for x in got if not x[1]] == [(0, None, "a", 0, 0, True)]
