@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,3 +169,23 @@ def test_symbols_are_scored_where_they_stand(spark, monkeypatch):
         want += [(k, n + 1, x[3], -x[0]) for n, x in enumerate(sorted(x for x in scored if x[0])[:5])]
     assert got == sorted(want)
     assert "MapInArrow" in out._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_leading_coordinates_decide_only_where_they_leave_few_pairs(monkeypatch):
+    """Vectors whose first coordinates agree would nearly all be computed pair by pair; single precision leaves the twins, and the result is that of brute force."""
+    rng = np.random.default_rng(8)
+    m = np.c_[np.full((400, 1), 3.0), rng.normal(size=(400, 31)) * 0.05, rng.normal(size=(400, 32)) * 0.3]
+    m[::40] = m[0] + rng.normal(scale=0.01, size=(10, 64))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    t = pa.table({"_b": pa.array([0] * 400, pa.int32()), "id": range(400), "document_id": range(400), "seq": range(400), "cell": [0] * 400, "vec": m.tolist()})
+    a = vectors._Side(t, m[:1], np.eye(64)[:, :32])
+    assert np.count_nonzero(a.lead @ a.lead.T >= 0.98) > 400 * 400 / 100
+    left, _ = vectors._filter(a, a, 0.98)
+    assert left.shape == (400, 64) and left.dtype == np.float32
+    full, einsum = [], np.einsum
+    monkeypatch.setattr(np, "einsum", lambda how, x, y: full.append(len(x)) or einsum(how, x, y))
+    got = {i: (int(j), int(o), int(c)) for r in vectors._twins(a, a, 0.98) for i, j, o, c in zip(r[0].tolist(), r[3], r[5], r[6])}
+    hit = (m @ m.T >= 0.98) & ~np.eye(400, dtype=bool)
+    want = {int(i): (int(np.flatnonzero(hit[i])[0]), int(hit[i, :i].sum()), int(hit[i, i:].sum())) for i in np.flatnonzero(hit.any(1))}
+    assert got == want and len(want) >= 10
+    assert sum(full) <= hit.sum() + 400 + 40
