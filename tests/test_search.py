@@ -246,3 +246,35 @@ def test_shards_that_live_are_packed_together():
     got = search.pack([row(0, 0, 90, 0), row(0, 1, 40, 5), row(1, 0, 30, 0), row(1, 1, 7, 7), row(0, 2, 120, 1), row(0, 0, 5, 0, None)], 100)
     assert sorted(x[:1] + x[2:] for x in got if x[1]) == [(0, "a", 0, 1, True), (0, "a", 1, 0, False), (0, "a", 2, 2, False), (1, "a", 0, 0, False)]
     assert [x for x in got if not x[1]] == [(0, None, "a", 0, 0, True)]
+
+
+def test_questions_are_not_copied_to_the_postings(spark, made, tmp_path, monkeypatch):
+    """Blocks of questions and shards are written once and meet as they are; a task keeps the best over its shards."""
+    first, asked = made
+    path = str(tmp_path / "i")
+    search.add_segment(spark.createDataFrame(first, SCHEMA), path, shard_passages=25)
+    asked = asked + [asked[0]]  # asked twice under one id: its terms count twice
+    qs = spark.createDataFrame(asked, "query_id string, tenant string, text string, accessible array<string>")
+    monkeypatch.setattr(search, "QUESTIONS", 10)
+    monkeypatch.setattr(search, "TOGETHER", 40)
+    out = search.search(spark, path, qs, 3)
+    assert "CartesianProduct" in out._jdf.queryExecution().sparkPlan().toString()
+    once = [(q, t, f"{x} {x}" if q == asked[0][0] else x, a) for q, t, x, a in asked[:-1]]
+    same(rows_of(out), plain(first, once, 3))
+
+
+def test_a_floor_spares_postings_and_scores_are_handed_back_clean():
+    """What can't reach the floor is left out; the passages over it and their scores are those of the whole."""
+    rng = np.random.default_rng(3)
+    n, score = 4000, np.zeros(4000)
+    terms = [(w, w * 2.0, np.flatnonzero(rng.random(n) < share), None) for w, share in [(9.0, 0.01), (5.0, 0.02)] + [(1.0, 0.5)] * 6]
+    terms = [(w, b, at, rng.uniform(0.5, 2.0, len(at))) for w, b, at, _ in terms]
+    want = np.zeros(n)
+    for w, _, at, gain in terms:
+        want[at] += w * gain
+    for floor in (0.0, 15.0, 25.0, 99.0):
+        at, sums, read = search._best(terms, score, None, 5, floor)
+        assert not score.any() and np.allclose(sums, want[at])
+        best = [i for i in np.lexsort((np.arange(n), -np.round(want, 6)))[:5].tolist() if want[i] >= floor]
+        assert set(best) <= set(at.tolist())
+    assert read == 0
